@@ -35,7 +35,7 @@ _feature_query("h01_feature_table_lead14", Setting(lead_days=14), LINE_PANEL, li
 
 
 @query("h01_feature_table_many_series", f"with {feature_ctes(SUPP_PANEL, DAILY)} select grp, count(*) as n_rows, count(y) as known, sum(mean_28d) as s28, "
-       "sum(sd_28d) as ssd, sum(same_wd_13w) as s13, sum(sub_share_28d) as share, sum(ratio_28_91) as ratio, sum(holidays) as hol from feat group by grp")
+       "sum(sd_28d) as ssd, sum(same_wd_13w) as s13, sum(sub_share_28d) as share, sum(ratio_28_91) as ratio, cast(sum(holidays) as bigint) as hol from feat group by grp")
 def h01m(spark, sf):
     return X.feature_table(supplier_panel(spark, sf), DAILY).groupBy("grp").agg(
         F.count(F.lit(1)).alias("n_rows"), F.count("y").alias("known"), F.sum("mean_28d").alias("s28"), F.sum("sd_28d").alias("ssd"),
@@ -87,8 +87,13 @@ _win("e05_subset_share", {f"share_{d}d": f"cast(({roll('sum', 'n_sub', d, min_sa
 _win("e06_level_ratios", {"ratio_7_28": f"({roll('avg', 'n', 7, 5)}) / nullif(({roll('avg', 'n', 28, 20)}), 0)", "ratio_28_91": f"({roll('avg', 'n', 28, 20)}) / nullif(({roll('avg', 'n', 91, 64)}), 0)"},
      lambda: {"ratio_7_28": safe_ratio(rolling(F.avg, n, SERIES, 7, 5), rolling(F.avg, n, SERIES, 28, 20)),
               "ratio_28_91": safe_ratio(rolling(F.avg, n, SERIES, 28, 20), rolling(F.avg, n, SERIES, 91, 64))})
-_win("e07_same_weekday_bulk", {f"same_wd_{k}w": same_weekday_sql(WEEKLY, k) for k in (4, 13)},
-     lambda: {f"same_wd_{k}w": X.same_weekday_mean(n, WEEKLY, k) for k in (4, 13)})
+@query("e07_same_weekday_bulk", f"with {ORDER_PANEL} select date, grp, {same_weekday_sql(WEEKLY, 4)} as same_wd_4w, {same_weekday_sql(WEEKLY, 13)} as same_wd_13w from panel {SERIES_SQL}")
+def e07(spark, sf):
+    longer = X.extend(order_panel(spark, sf), X.horizon_days(WEEKLY))
+    per_day = X.with_same_weekday(longer, WEEKLY, (4, 13)).where("__real")
+    return per_day.select("date", "grp", *((F.col(c) / 7).alias(c) for c in ("same_wd_4w", "same_wd_13w")))
+
+
 _win("e08_forward_total", {"y_daily": forward_sql(DAILY), "y_weekly": forward_sql(WEEKLY)},
      lambda: {"y_daily": X.forward_total(n, DAILY), "y_weekly": X.forward_total(n, WEEKLY)})
 _win("e09_strict_rolling_mean", {f"rolling_mean_{k}": roll("avg", "n", k, k, -3) for k in (7, 14)},
@@ -285,7 +290,8 @@ def h06(spark, sf):
 
 @query("h06_same_weekday_bulk", f"with {ORDER_PANEL}, wide as (select grp, {timing_sql(WEEKLY)}, {same_weekday_sql(WEEKLY, 13)} * 7 as y_pred from panel {SERIES_SQL}) select issue_date, grp, y_pred from wide where {schedule_sql(WEEKLY, START, END)}")
 def h06b(spark, sf):
-    wide = X.with_timing(order_panel(spark, sf).select("date", "grp", (X.same_weekday_mean(n, WEEKLY, 13) * 7).alias("y_pred")), WEEKLY)
+    longer = X.with_same_weekday(X.extend(order_panel(spark, sf), X.horizon_days(WEEKLY)), WEEKLY, (13,))
+    wide = X.with_timing(longer.where("__real").withColumnRenamed("same_wd_13w", "y_pred"), WEEKLY)
     return wide.where(B.in_schedule(WEEKLY, START, END)).select("issue_date", "grp", "y_pred")
 
 

@@ -47,17 +47,21 @@ def fourier(day: Column, order: int) -> dict[str, Column]:
     return out
 
 
-def easter_sunday(year: Column) -> Column:
-    """Gregorian computus in integer arithmetic (the anonymous algorithm)."""
+def with_easter(years: DataFrame, year: str) -> DataFrame:
+    """Add ``easter``: the Gregorian computus in integer arithmetic (anonymous algorithm)."""
     def div(a: Column, b: int) -> Column:
         return F.floor(a / b).cast("int")
 
-    a, b, c = year % 19, div(year, 100), year % 100
-    h = (19 * a + b - div(b, 4) - div(b - div(b + 8, 25) + 1, 3) + 15) % 30
-    l = (32 + 2 * (b % 4) + 2 * div(c, 4) - h - c % 4) % 7
-    m = div(a + 11 * h + 22 * l, 451)
-    x = h + l - 7 * m + 114
-    return F.make_date(year, div(x, 31), x % 31 + 1)
+    c = F.col
+    y = c(year).cast("int")
+    step = years.withColumns({"__a": y % 19, "__b": div(y, 100), "__c": y % 100})
+    step = step.withColumn(
+        "__h", (19 * c("__a") + c("__b") - div(c("__b"), 4) - div(c("__b") - div(c("__b") + 8, 25) + 1, 3) + 15) % 30
+    )
+    step = step.withColumn("__l", (32 + 2 * (c("__b") % 4) + 2 * div(c("__c"), 4) - c("__h") - c("__c") % 4) % 7)
+    step = step.withColumn("__m", div(c("__a") + 11 * c("__h") + 22 * c("__l"), 451))
+    step = step.withColumn("__x", c("__h") + c("__l") - 7 * c("__m") + 114)
+    return step.withColumn("easter", F.make_date(y, div(c("__x"), 31), c("__x") % 31 + 1)).select(*years.columns, "easter")
 
 
 def _on_or_after(day: Column, iso: int) -> Column:
@@ -75,7 +79,7 @@ def holiday_table(spark: SparkSession, first_year: int, last_year: int) -> DataF
     # The statutory days and their rules.
     rules = {
         "New Year's Day": fixed(1, 1),
-        "Good Friday": F.date_sub(easter_sunday(y), 2),
+        "Good Friday": F.date_sub("easter", 2),
         "National Patriots' Day": _on_or_after(fixed(5, 18), 1),
         "National Holiday": fixed(6, 24),
         "Canada Day": fixed(7, 1),
@@ -84,66 +88,45 @@ def holiday_table(spark: SparkSession, first_year: int, last_year: int) -> DataF
         "Christmas Day": fixed(12, 25),
     }
     pairs = F.array(*(F.struct(day.alias("holiday"), F.lit(name).alias("name")) for name, day in rules.items()))
-    years = spark.range(first_year, last_year + 1).withColumnRenamed("id", "y")
+    years = with_easter(spark.range(first_year, last_year + 1).withColumnRenamed("id", "y"), "y")
     return years.select(F.explode(pairs).alias("h")).select("h.holiday", "h.name")
 
 
-def is_holiday(day: Column) -> Column:
-    """Holiday test as a pure column expression: no join, stays in codegen.
-
-    A date is tested against the eight rules of its own year.
-    """
-    y = F.year(day)
-    m, d, wd = F.month(day), F.dayofmonth(day), F.weekday(day)
-    monday = wd == 0
-    return (
-        ((m == 1) & (d == 1))
-        | ((m == 6) & (d == 24))
-        | ((m == 7) & (d == 1))
-        | ((m == 12) & (d == 25))
-        | (monday & (m == 5) & d.between(18, 24))
-        | (monday & (m == 9) & (d <= 7))
-        | (monday & (m == 10) & d.between(8, 14))
-        | ((wd == 4) & m.isin(3, 4) & (day == F.date_sub(easter_sunday(y), 2)))
-    )
-
-
-def calendar_day(day: Column) -> dict[str, Column]:
-    """One day's regressors: weekday, month, yearly wave, holiday and adjacency."""
-    hol = is_holiday(day)
-    near = is_holiday(F.date_sub(day, 1)) | is_holiday(F.date_add(day, 1))
-    return {"holiday": hol, "adjacent": ~hol & near}
+HOLIDAY_YEARS = (1950, 2100)
 
 
-def holiday_days(spark: SparkSession, lo: Column, hi: Column) -> DataFrame:
-    """Flagged days of a calendar: ``day, holiday, adjacent`` for lo..hi."""
-    cal = spark.range(1).select(F.explode(F.sequence(lo, hi)).alias("day"))
-    return cal.select("day", *(c.cast("int").alias(k) for k, c in calendar_day(F.col("day")).items()))
+def marked_days(spark: SparkSession, years: tuple[int, int] = HOLIDAY_YEARS) -> DataFrame:
+    """Days that matter to the holiday features: ``day, holiday, adjacent`` (24 rows a year at most)."""
+    hol = holiday_table(spark, *years).select(
+        F.explode(F.array(
+            F.struct(F.col("holiday").alias("day"), F.lit(True).alias("is")),
+            F.struct(F.date_sub("holiday", 1).alias("day"), F.lit(False).alias("is")),
+            F.struct(F.date_add("holiday", 1).alias("day"), F.lit(False).alias("is")),
+        )).alias("m")
+    )
+    return hol.groupBy("m.day").agg(F.max("m.is").alias("holiday")).withColumn("adjacent", ~F.col("holiday"))
 
 
 def window_calendar(df: DataFrame, start: str, window_days: int) -> DataFrame:
     """Add calendar facts of windows starting on ``start``.
 
     Weekday, month and wave describe the first day; the holiday and adjacent counts
-    cover the window. Counts are evaluated once per distinct start day on a small
-    calendar that is broadcast (one row per day of the DATE span of ``df``).
+    cover the window. They are computed once per distinct start day on a small calendar
+    that is broadcast (at most one row per day of the DATE range).
     """
     s = F.col("__s")
-    days = df.select(F.col(start).alias("__s")).where(F.col(start).isNotNull()).distinct()
-    offsets = F.sequence(F.lit(0), F.lit(window_days - 1))
-
-    def count(which: str) -> Column:
-        flags = F.transform(offsets, lambda j: calendar_day(F.date_add(s, j))[which].cast("bigint"))
-        return F.aggregate(flags, F.lit(0).cast("bigint"), lambda acc, v: acc + v)
-
-    sin, cos = yearly_wave(s)
-    dim = days.select(
-        "__s",
-        iso_weekday(s).alias("target_weekday"),
-        F.month(s).cast("bigint").alias("target_month"),
-        sin.alias("target_doy_sin"),
-        cos.alias("target_doy_cos"),
-        count("holiday").alias("holidays"),
-        count("adjacent").alias("holiday_adjacent"),
+    starts = df.select(F.col(start).alias("__s")).where(F.col(start).isNotNull()).distinct()
+    days = starts.select("__s", F.explode(F.sequence("__s", F.date_add(s, window_days - 1))).alias("day"))
+    counts = days.join(F.broadcast(marked_days(df.sparkSession)), "day", "left").groupBy("__s").agg(
+        F.count_if("holiday").alias("holidays"), F.count_if("adjacent").alias("holiday_adjacent")
+    )
+    joined = df.join(F.broadcast(counts), df[start] == counts["__s"], "left").drop("__s")
+    sin, cos = yearly_wave(F.col(start))
+    return joined.withColumns(
+        {
+            "target_weekday": iso_weekday(F.col(start)),
+            "target_month": F.month(start).cast("bigint"),
+            "target_doy_sin": sin,
+            "target_doy_cos": cos,
+        }
     )
-    return df.join(F.broadcast(dim), df[start] == dim["__s"], "left").drop("__s")

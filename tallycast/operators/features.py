@@ -8,11 +8,13 @@ exchange and one sort, shared with the panel's own gap filling.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallycast.functions.calendar import window_calendar
-from tallycast.functions.stats import known_mean, rolling, safe_ratio, strict_mean
+from tallycast.functions.stats import rolling, safe_ratio, strict_sum
 from tallycast.spec import Setting, min_samples
 
 # Feature set.
@@ -45,20 +47,54 @@ def first_week(ahead: int) -> int:
     return -(-ahead // 7)
 
 
-def same_weekday_day(n: Column, ahead: int, weeks: int) -> list[Column]:
-    """Source values of one target day ``ahead`` days after the cutoff, newest first."""
-    start = first_week(ahead)
-    return [F.lag(n, 7 * k - ahead).over(SERIES) for k in range(start, start + weeks)]
+def extend(panel: DataFrame, days: int) -> DataFrame:
+    """Append ``days`` future rows with null counts to every series (``__real`` is false).
+
+    Forecasts whose targets lie past the end of the panel then exist like any other.
+    """
+    last = F.lead("date").over(SERIES).isNull()
+    rows = panel.select("date", "grp", "n", "n_sub", F.when(last, F.lit(days)).otherwise(F.lit(0)).alias("__ext"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("__ext"))).alias("__ahead"))
+    real = F.col("__ahead") == 0
+    return rows.select(
+        F.date_add("date", F.col("__ahead")).alias("date"), "grp",
+        F.when(real, F.col("n")).alias("n"), F.when(real, F.col("n_sub")).alias("n_sub"), real.alias("__real"),
+    )
+
+
+def with_same_weekday(longer: DataFrame, setting: Setting, weeks: Sequence[int]) -> DataFrame:
+    """Add ``same_wd_<w>w``, the same-weekday forecast total of the window of each cutoff row.
+
+    The mean of a target day over the last w usable weeks is one rolling frame over
+    (group, weekday); the window total then sums those means over the target rows. That
+    is a handful of frames instead of weeks x window lags, and the exchange by group
+    serves both sorts. ``longer`` comes from :func:`extend`.
+    """
+    ahead = [setting.gap_days + j for j in range(setting.window_days)]
+    runs: dict[int, list[int]] = {}
+    for a in ahead:
+        runs.setdefault(first_week(a), []).append(a)
+    by_weekday = Window.partitionBy("grp", "__wd").orderBy("date")
+    day = {
+        f"__p_{w}_{f}": rolling(F.avg, F.col("n"), by_weekday, w, min_samples(w), end=-f)
+        for w in weeks
+        for f in runs
+    }
+    rows = longer.withColumn("__wd", F.weekday("date"))
+    rows = rows.select("*", *(c.alias(k) for k, c in day.items()))
+
+    def total(w: int) -> Column:
+        parts = []
+        for f, span in runs.items():
+            frame, p = SERIES.rowsBetween(span[0], span[-1]), F.col(f"__p_{w}_{f}")
+            parts.append(F.when(F.count(p).over(frame) == len(span), F.sum(p).over(frame)))
+        return strict_sum(parts)
+
+    return rows.select(*longer.columns, *(total(w).alias(f"same_wd_{w}w") for w in weeks))
 
 
-def same_weekday_mean(n: Column, setting: Setting, weeks: int, need: int | None = None) -> Column:
-    """Mean per target day, averaged over the window; null if any day is short of values."""
-    need = min_samples(weeks) if need is None else need
-    days = [
-        known_mean(same_weekday_day(n, setting.gap_days + j, weeks), need)
-        for j in range(setting.window_days)
-    ]
-    return strict_mean(days)
+def horizon_days(setting: Setting) -> int:
+    return setting.gap_days + setting.window_days - 1
 
 
 def forward_total(n: Column, setting: Setting) -> Column:
@@ -74,7 +110,7 @@ def level_columns(setting: Setting) -> dict[str, Column]:
         out[f"mean_{d}d"] = rolling(F.avg, n, SERIES, d, min_samples(d))
     out[f"sd_{SD_DAYS}d"] = rolling(F.stddev_samp, n, SERIES, SD_DAYS, min_samples(SD_DAYS))
     for w in WEEKDAY_WEEKS:
-        out[f"same_wd_{w}w"] = same_weekday_mean(n, setting, w)
+        out[f"same_wd_{w}w"] = F.col(f"same_wd_{w}w") / setting.window_days
     for d in SHARE_DAYS:
         need = min_samples(d)
         out[f"sub_share_{d}d"] = safe_ratio(
@@ -108,8 +144,9 @@ def with_timing(df: DataFrame, setting: Setting) -> DataFrame:
 
 def feature_table(panel: DataFrame, setting: Setting) -> DataFrame:
     """Keys, 18 level and 6 calendar features and the target ``y`` for every cutoff."""
-    wide = panel.select("date", "grp", *(c.alias(k) for k, c in level_columns(setting).items()),
-                        forward_total(F.col("n"), setting).alias("y"))
+    longer = with_same_weekday(extend(panel, horizon_days(setting)), setting, WEEKDAY_WEEKS)
+    wide = longer.select("date", "grp", "__real", *(c.alias(k) for k, c in level_columns(setting).items()),
+                         forward_total(F.col("n"), setting).alias("y")).where("__real")
     wide = with_timing(with_ratios(wide), setting)
     wide = window_calendar(wide, "target_start", setting.window_days)
     return wide.select(*KEY_COLUMNS, *LEVEL_COLUMNS, *CALENDAR_COLUMNS, "y")
