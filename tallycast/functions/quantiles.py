@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ACCURACY = 2000
+MARGIN = 4.0 / ACCURACY
+SMALL = 4 * ACCURACY  # groups this small are resolved without a bracket
 
 
 def exact_quantiles(
@@ -31,7 +33,7 @@ def exact_quantiles(
     """
     keys = list(keys)
     names, qs = list(probs), list(probs.values())
-    eps = 2.0 / ACCURACY
+    eps = MARGIN
     base = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
     cuts = F.array(*(F.lit(x) for q in qs for x in (max(q - eps, 0.0), min(q + eps, 1.0))))
     # Sketches merge map-side, so a hot key costs no more than any other.
@@ -48,8 +50,8 @@ def exact_quantiles(
             *(
                 F.struct(
                     F.lit(i).alias("i"),
-                    (F.col("__min") if q <= eps else F.col("__cut")[2 * i]).alias("lo"),
-                    (F.col("__max") if q >= 1 - eps else F.col("__cut")[2 * i + 1]).alias("hi"),
+                    F.when((F.col("__n") <= SMALL) | F.lit(q <= eps), F.col("__min")).otherwise(F.col("__cut")[2 * i]).alias("lo"),
+                    F.when((F.col("__n") <= SMALL) | F.lit(q >= 1 - eps), F.col("__max")).otherwise(F.col("__cut")[2 * i + 1]).alias("hi"),
                 )
                 for i, q in enumerate(qs)
             )

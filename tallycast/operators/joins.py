@@ -129,17 +129,15 @@ def nearest_value(probes: DataFrame, facts: DataFrame, probe_value: str, fact_va
     ``width`` so that no task sees the whole axis.
     """
     cell = F.floor(F.col("__t") / F.lit(float(width)))
-    key = "__row"
-    ids = probes.withColumn(key, F.struct(*probes.columns))
     cols = [fact_value, *carry]
-    low = asof_join(ids, facts.withColumn("__fv", F.col(fact_value)), [], probe_value, "__fv", cols, cell)
-    low = low.select(key, F.struct(*cols).alias("__low"))
-    up_facts = facts.withColumn("__neg", -F.col(fact_value))
-    up_probes = ids.withColumn("__pneg", -F.col(probe_value))
-    high = asof_join(up_probes, up_facts, [], "__pneg", "__neg", cols, cell).select(key, F.struct(*cols).alias("__high"))
-    p = F.col(f"{key}.{probe_value}")
-    lo_v, hi_v = F.col(f"__low.{fact_value}"), F.col(f"__high.{fact_value}")
-    take_high = lo_v.isNull() | (hi_v.isNotNull() & ((hi_v - p) < (p - lo_v)))
-    return low.join(high, key).select(
-        f"{key}.*", F.when(take_high, F.col("__high")).otherwise(F.col("__low")).alias("__m")
-    ).select(*probes.columns, *(F.col(f"__m.{c}").alias(c) for c in cols))
+    lo, hi = [f"__l_{c}" for c in cols], [f"__h_{c}" for c in cols]
+    below = facts.select(*(F.col(c).alias(a) for c, a in zip(cols, lo, strict=True))).withColumn("__fv", F.col(lo[0]))
+    above = facts.select(*(F.col(c).alias(a) for c, a in zip(cols, hi, strict=True))).withColumn("__fn", -F.col(hi[0]))
+    one = asof_join(probes, below, [], probe_value, "__fv", lo, cell)
+    two = asof_join(one.withColumn("__pn", -F.col(probe_value)), above, [], "__pn", "__fn", hi, cell)
+    p = F.col(probe_value)
+    take_high = F.col(lo[0]).isNull() | (F.col(hi[0]).isNotNull() & ((F.col(hi[0]) - p) < (p - F.col(lo[0]))))
+    return two.select(
+        *probes.columns,
+        *(F.when(take_high, F.col(h)).otherwise(F.col(l)).alias(c) for c, l, h in zip(cols, lo, hi, strict=True)),
+    )
