@@ -98,9 +98,9 @@ def k05(spark, sf):
 
 @query("k03_refined_weights")
 def k03r(spark, sf):
-    """One finer lattice around each month's best vector, for the last quarter of the period."""
+    """One finer lattice around each month's best vector."""
     w = wide(spark, sf)
-    fits = E.rolling_weights(w, MEMBERS, DAILY.publication_lag_days, "1999-10-01", S_END, _STEPS)
+    fits = E.rolling_weights(w, MEMBERS, DAILY.publication_lag_days, S_START, S_END, _STEPS)
     return E.refine_weights(w, MEMBERS, fits)
 
 

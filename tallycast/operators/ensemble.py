@@ -160,26 +160,34 @@ def rolling_weights(wide: DataFrame, members: Sequence[str], lag_days: int, star
 
 
 def refine_weights(wide: DataFrame, members: Sequence[str], weights: DataFrame, fine_steps: int = 100) -> DataFrame:
-    """One finer lattice around each month's best vector.
+    """One finer lattice around each month's best vector, all months in one pass over the rows.
 
-    Months are few (one row each) and carry their candidate vectors; every month's loss is
-    still a map-side reduction over its training rows.
+    Only the coarse fits (one row per month) reach the driver; they travel to the tasks as
+    candidate vectors, and each Arrow batch reduces to one row per (month, vector).
     """
     names = list(members)
-    month_rows = weights.orderBy("month").collect()  # bounded by the months of the calendar
-    parts = []
-    for r in month_rows:
-        vectors = refine_around(np.array([r[f"w_{m}"] for m in names]), fine_steps)
-        train = wide.where(F.col("y_true").isNotNull() & (F.col("target_end") <= F.lit(r["cutoff"]))).withColumn("bucket", F.lit(0))
-        best = _loss_sums(train, names, vectors, "bucket").agg(
-            F.min_by("vec", F.struct(F.round("loss", 6), "vec")).alias("vec"), F.min(F.col("loss") / F.col("rows")).alias("train_mae"))
-        lookup = F.array(*(F.array(*(F.lit(float(x)) for x in v)) for v in vectors))
-        parts.append(best.select(F.lit(r["month"]).alias("month"), "train_mae",
-                                 *(F.get(F.get(lookup, F.col("vec")), F.lit(i)).alias(f"w_{m}") for i, m in enumerate(names))))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    fits = weights.select("month", F.unix_date("cutoff").alias("cut"), *(f"w_{m}" for m in names)).orderBy("month").collect()
+    lattices = [refine_around(np.array([r[f"w_{m}"] for m in names]), fine_steps) for r in fits]
+    cuts = [r["cut"] for r in fits]
+
+    def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            p, y, end = pdf[names].to_numpy(float), pdf[["y_true"]].to_numpy(float), pdf["end"].to_numpy()
+            for i, (vectors, cut) in enumerate(zip(lattices, cuts, strict=True)):
+                use = end <= cut
+                if use.any():
+                    loss = np.abs(p[use] @ vectors.T - y[use]).sum(axis=0)
+                    yield pd.DataFrame({"fit": i, "vec": np.arange(len(vectors)), "loss": loss, "rows": int(use.sum())})
+
+    known = wide.where("y_true is not null").select("y_true", F.unix_date("target_end").alias("end"), *names)
+    sums = known.mapInPandas(batches, "fit int, vec int, loss double, rows bigint").groupBy("fit", "vec").agg(
+        F.sum("loss").alias("loss"), F.sum("rows").alias("rows"))
+    best = sums.groupBy("fit").agg(F.min_by("vec", F.struct(F.round("loss", 6), "vec")).alias("vec"),
+                                   (F.min("loss") / F.max("rows")).alias("train_mae"))
+    table = [(i, v, fits[i]["month"], *map(float, row)) for i, lat in enumerate(lattices) for v, row in enumerate(lat)]
+    schema = "fit int, vec int, month date, " + ", ".join(f"w_{m} double" for m in names)
+    lookup = wide.sparkSession.createDataFrame(table, schema)  # months x neighbours
+    return best.join(F.broadcast(lookup), ["fit", "vec"]).select("month", "train_mae", *(f"w_{m}" for m in names))
 
 
 def combine_rows(wide: DataFrame, members: Sequence[str], start: str, end: str, weights: DataFrame | None = None) -> DataFrame:
