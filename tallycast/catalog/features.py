@@ -20,7 +20,7 @@ from tallycast.plans.backtest import rolling_origin
 from tallycast.spec import DAILY, WEEKLY, Setting, min_samples
 
 START, END = VALIDATION
-SERIES = X.SERIES
+
 _FEAT = ", ".join((*X.KEY_COLUMNS, *X.LEVEL_COLUMNS, *X.CALENDAR_COLUMNS, "y"))
 
 
@@ -74,19 +74,26 @@ def _win(name, exprs_sql: dict, exprs, panel_sql=ORDER_PANEL, make=order_panel):
     query(name, f"with {panel_sql} select date, grp, {body} from panel {SERIES_SQL}")(run)
 
 
-n, sub = F.col("n"), F.col("n_sub")
+def n():
+    return F.col("n")
+
+
+def sub():
+    return F.col("n_sub")
+
+
 _win("e01_cutoff_lags", {f"lag_{k}": f"lag(n, {k}) over w" for k in range(7)},
-     lambda: {f"lag_{k}": F.lag(n, k).over(SERIES) for k in range(7)})
+     lambda: {f"lag_{k}": F.lag(n(), k).over(X.series()) for k in range(7)})
 _win("e02_target_lags", {f"lag_{k}": f"lag(n, {k}) over w" for k in X.STRICT_LAGS},
-     lambda: {f"lag_{k}": F.lag(n, k).over(SERIES) for k in X.STRICT_LAGS})
+     lambda: {f"lag_{k}": F.lag(n(), k).over(X.series()) for k in X.STRICT_LAGS})
 _win("e03_rolling_means", {f"mean_{d}d": roll("avg", "n", d, min_samples(d)) for d in X.MEAN_DAYS},
-     lambda: {f"mean_{d}d": rolling(F.avg, n, SERIES, d, min_samples(d)) for d in X.MEAN_DAYS})
-_win("e04_rolling_sd", {"sd_28d": roll("stddev_samp", "n", 28, 20)}, lambda: {"sd_28d": rolling(F.stddev_samp, n, SERIES, 28, 20)})
+     lambda: {f"mean_{d}d": rolling(F.avg, n(), X.series(), d, min_samples(d)) for d in X.MEAN_DAYS})
+_win("e04_rolling_sd", {"sd_28d": roll("stddev_samp", "n", 28, 20)}, lambda: {"sd_28d": rolling(F.stddev_samp, n(), X.series(), 28, 20)})
 _win("e05_subset_share", {f"share_{d}d": f"cast(({roll('sum', 'n_sub', d, min_samples(d))}) as double) / nullif(cast(({roll('sum', 'n', d, min_samples(d))}) as double), 0)" for d in (7, 28)},
-     lambda: {f"share_{d}d": safe_ratio(rolling(F.sum, sub, SERIES, d, min_samples(d)), rolling(F.sum, n, SERIES, d, min_samples(d))) for d in (7, 28)})
+     lambda: {f"share_{d}d": safe_ratio(rolling(F.sum, sub(), X.series(), d, min_samples(d)), rolling(F.sum, n(), X.series(), d, min_samples(d))) for d in (7, 28)})
 _win("e06_level_ratios", {"ratio_7_28": f"({roll('avg', 'n', 7, 5)}) / nullif(({roll('avg', 'n', 28, 20)}), 0)", "ratio_28_91": f"({roll('avg', 'n', 28, 20)}) / nullif(({roll('avg', 'n', 91, 64)}), 0)"},
-     lambda: {"ratio_7_28": safe_ratio(rolling(F.avg, n, SERIES, 7, 5), rolling(F.avg, n, SERIES, 28, 20)),
-              "ratio_28_91": safe_ratio(rolling(F.avg, n, SERIES, 28, 20), rolling(F.avg, n, SERIES, 91, 64))})
+     lambda: {"ratio_7_28": safe_ratio(rolling(F.avg, n(), X.series(), 7, 5), rolling(F.avg, n(), X.series(), 28, 20)),
+              "ratio_28_91": safe_ratio(rolling(F.avg, n(), X.series(), 28, 20), rolling(F.avg, n(), X.series(), 91, 64))})
 @query("e07_same_weekday_bulk", f"with {ORDER_PANEL} select date, grp, {same_weekday_sql(WEEKLY, 4)} as same_wd_4w, {same_weekday_sql(WEEKLY, 13)} as same_wd_13w from panel {SERIES_SQL}")
 def e07(spark, sf):
     longer = X.extend(order_panel(spark, sf), X.horizon_days(WEEKLY))
@@ -95,9 +102,9 @@ def e07(spark, sf):
 
 
 _win("e08_forward_total", {"y_daily": forward_sql(DAILY), "y_weekly": forward_sql(WEEKLY)},
-     lambda: {"y_daily": X.forward_total(n, DAILY), "y_weekly": X.forward_total(n, WEEKLY)})
+     lambda: {"y_daily": X.forward_total(n(), DAILY), "y_weekly": X.forward_total(n(), WEEKLY)})
 _win("e09_strict_rolling_mean", {f"rolling_mean_{k}": roll("avg", "n", k, k, -3) for k in (7, 14)},
-     lambda: {f"rolling_mean_{k}": rolling(F.avg, n, SERIES, k, k, end=-3) for k in (7, 14)})
+     lambda: {f"rolling_mean_{k}": rolling(F.avg, n(), X.series(), k, k, end=-3) for k in (7, 14)})
 
 
 _STRICT_SQL = (f"{ORDER_PANEL}, strict as (select date, grp, n, cast(isodow(date) - 1 as bigint) as day_of_week, cast(month(date) as bigint) as month, "
@@ -349,7 +356,7 @@ def b13(spark, sf):
 @query("b14_columnwise_stats", f"with {ORDER_PANEL}, l as (select date, grp, lag(n, 1) over w as a, lag(n, 7) over w as b, lag(n, 14) over w as c from panel {SERIES_SQL}) "
        "select date, grp, (a + b + c) / 3.0 as strict_mean, least(a, b, c) as lowest, list_avg(list_value(a, b, c)) as known_mean from l")
 def b14(spark, sf):
-    l = order_panel(spark, sf).select("date", "grp", *(F.lag(n, k).over(SERIES).alias(c) for c, k in (("a", 1), ("b", 7), ("c", 14))))
+    l = order_panel(spark, sf).select("date", "grp", *(F.lag(n(), k).over(X.series()).alias(c) for c, k in (("a", 1), ("b", 7), ("c", 14))))
     abc = [F.col(c) for c in "abc"]
     return l.select("date", "grp", strict_mean(abc).alias("strict_mean"), F.least(*abc).alias("lowest"), known_mean(abc, 1).alias("known_mean"))
 
@@ -359,7 +366,7 @@ def e16(spark, sf):
     from tallycast.operators.panel import total_series
 
     t = total_series(order_panel(spark, sf))
-    return t.select("date", "n", rolling(F.avg, n, SERIES, 28, 20).alias("roll28"))
+    return t.select("date", "n", rolling(F.avg, n(), X.series(), 28, 20).alias("roll28"))
 
 
 @query("e21_latest_rows", f"with {ORDER_PANEL}, r as (select *, row_number() over (partition by grp, isodow(date) order by date desc) as rk from panel where n is not null) "

@@ -1 +1,103 @@
-"""Pending."""
+"""Fitted models, holdout, live forecast and tuning."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tallycast.catalog import query
+from tallycast.catalog.inputs import BREAK_DATE, LINE_KEEP, LINE_PANEL, ORDER_KEEP, ORDER_PANEL, TEST_START, line_panel, order_panel, roll, same_weekday_sql, supplier_panel
+from tallycast.models import learners as L
+from tallycast.models import linear, negbin, smoothing
+from tallycast.operators import features as X
+from tallycast.operators import metrics as M
+from tallycast.plans import holdout as H
+from tallycast.plans import tuning as T
+from tallycast.sources.sinks import stage
+from tallycast.spec import DAILY, WEEKLY, min_samples
+
+SPAN = ("1998-01-01", "1999-12-31")
+MONTHS = ("1999-11-01", "1999-12-01")
+
+
+def line_features(spark, sf):
+    """Feature table written once; every refit month reads it back pruned."""
+    return stage(X.feature_table(line_panel(spark, sf), DAILY), "features")
+
+
+@query("j01_linear_monthly")
+def j01(spark, sf):
+    return linear.monthly_linear(X.strict_features(line_panel(spark, sf)), LINE_KEEP, *SPAN)
+
+
+def _learner(name):
+    return lambda spark, sf: L.monthly_backtest(line_features(spark, sf), L.select_configs([name])[0], DAILY, MONTHS,
+                                                {"maxIter": 10, "stepSize": 0.1} if name.startswith("gbt") else {})
+
+
+for _q, _m in (("j02_boosted_l2_raw", "gbt_l2_raw"), ("j02_boosted_l1_raw", "gbt_l1_raw"), ("j03_boosted_ratio", "gbt_l1"),
+               ("j04_poisson_offset", "glm_poisson"), ("j04_tweedie_offset", "glm_tweedie")):
+    query(_q)(_learner(_m))
+
+
+@query("j05_negative_binomial")
+def j05(spark, sf):
+    return negbin.monthly_backtest(line_features(spark, sf), LINE_KEEP, DAILY, MONTHS)
+
+
+@query("j06_smoothing")
+def j06(spark, sf):
+    p = line_panel(spark, sf)
+    return smoothing.with_truth(smoothing.smoothing_forecasts(p, DAILY, *SPAN), p, DAILY, "ets_weekly")
+
+
+@query("j06_smoothing_weekly_many_series")
+def j06m(spark, sf):
+    return smoothing.smoothing_forecasts(supplier_panel(spark, sf), WEEKLY, *SPAN)
+
+
+@query("j07_calendar_autoregression")
+def j07(spark, sf):
+    p = line_panel(spark, sf)
+    return smoothing.with_truth(smoothing.ar_forecasts(p, DAILY, *SPAN), p, DAILY, "ar_calendar")
+
+
+@query("j08_top_down_smoothing")
+def j08(spark, sf):
+    return H.topdown_smoothing(line_panel(spark, sf), DAILY, *SPAN)
+
+
+_LIVE = (f"{ORDER_PANEL}, x as (select date, grp, n, {roll('avg', 'n', 28, 20)} as plain_28d, {same_weekday_sql(DAILY, 13)} as same_wd_13w from panel window w as (partition by grp order by date)), "
+         "tot as (select date, cast(0 as bigint) as grp, case when count(n) = (select count(distinct grp) from panel) then cast(sum(n) as bigint) end as n from panel group by date), "
+         f"base as (select date, {roll('avg', 'n', 28, 20)} as total from tot), ok as (select date, count(n) = (select count(distinct grp) from panel) as ok from panel group by date), "
+         "m as (select panel.date, grp, case when ok then n end as n from panel join ok on ok.date = panel.date), s as (select date, grp, sum(n) over w as s, count(n) over w as k from m window w as (partition by grp order by date rows between 27 preceding and current row)), t as (select date, sum(s) as t from s group by date), "
+         "e as (select x.date + 2 as issue_date, x.date + 3 as target_start, cast(x.grp as varchar) as grp, same_wd_13w, plain_28d, case when k >= 20 then cast(s.s as double) / nullif(t, 0) end * total as topdown_plain from x join s on s.date = x.date and s.grp = x.grp join t on t.date = x.date join base on base.date = x.date where x.date = (select max(date) from panel)), "
+         "f as (select *, cast(round((same_wd_13w + plain_28d + topdown_plain) / 3.0) as bigint) as forecast from e)")
+
+
+@query("j10_live_forecast", f"with {_LIVE} select * from f union all select issue_date, target_start, 'All', sum(same_wd_13w), sum(plain_28d), sum(topdown_plain), cast(sum(forecast) as bigint) from f group by 1, 2")
+def j10(spark, sf):
+    return H.live_forecast(order_panel(spark, sf), DAILY)
+
+
+@query("j10_ensemble_forecaster")
+def j10e(spark, sf):
+    return H.ensemble_forecaster(H.member_rows(line_panel(spark, sf), DAILY, *SPAN), ["ets_weekly", "topdown_ets", "plain_28d"])
+
+
+@query("k08_holdout_scores")
+def k08(spark, sf):
+    return H.holdout_scores(H.holdout_results(line_panel(spark, sf), DAILY, TEST_START, "2001-06-30", BREAK_DATE))
+
+
+# The trial grid; trial 0 holds the defaults.
+GRID = ({"regParam": 1e-4, "variancePower": 1.5}, {"regParam": 1e-2, "variancePower": 1.5}, {"regParam": 0.1, "variancePower": 1.5},
+        {"regParam": 1e-4, "variancePower": 1.2}, {"regParam": 1e-2, "variancePower": 1.2}, {"regParam": 1.0, "variancePower": 1.8})
+TUNE_MONTHS = ("1998-09-01", "1998-10-01", "1998-11-01", "1998-12-01")
+
+
+@query("k10_tuning_trials")
+def k10(spark, sf):
+    feats = line_features(spark, sf)
+    config = L.select_configs(["glm_tweedie"])[0]
+    running = stage(T.run_trials(GRID, lambda p: L.monthly_backtest(feats, config, DAILY, TUNE_MONTHS, p)).select("trial", "step", "running", "best_so_far"), "trials")
+    return T.trial_log("glm_tweedie", GRID, T.apply_pruning(running))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallycast.functions.stats import rolling
-from tallycast.operators.features import SERIES, with_timing
+from tallycast.operators.features import series, with_timing
 from tallycast.operators.panel import group_shares, total_series
 from tallycast.spec import Setting, min_samples
 
@@ -23,5 +23,5 @@ def top_down_plain(panel: DataFrame, setting: Setting, days: int = SHARE_DAYS) -
     """Top-down with the plain mean of the total series as its base, for all cutoffs."""
     total = total_series(panel)
     base = total.select(
-        F.col("date").alias("cutoff"), (rolling(F.avg, F.col("n"), SERIES, 28, min_samples(28)) * setting.window_days).alias("total"))
+        F.col("date").alias("cutoff"), (rolling(F.avg, F.col("n"), series(), 28, min_samples(28)) * setting.window_days).alias("total"))
     return with_timing(split_total(panel, base, days).withColumn("date", F.col("cutoff")), setting)

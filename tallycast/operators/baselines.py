@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallycast.functions.stats import known_mean, rolling
-from tallycast.operators.features import SERIES, extend, forward_total, horizon_days, with_same_weekday, with_timing
+from tallycast.operators.features import series, extend, forward_total, horizon_days, with_same_weekday, with_timing
 from tallycast.operators.joins import asof_join
 from tallycast.spec import Setting, min_samples
 
@@ -60,7 +60,7 @@ def actual_totals(panel: DataFrame, issues: DataFrame, setting: Setting) -> Data
 
 def plain_mean(setting: Setting, days: int = PLAIN_DAYS, need: int | None = None) -> Column:
     need = min_samples(days) if need is None else need
-    return rolling(F.avg, F.col("n"), SERIES, days, need) * setting.window_days
+    return rolling(F.avg, F.col("n"), series(), days, need) * setting.window_days
 
 
 def baseline_wide(panel: DataFrame, setting: Setting, weeks: Sequence[int] = WEEK_CANDIDATES,
@@ -131,7 +131,7 @@ def preview_baselines(panel: DataFrame, weeks: Sequence[int]) -> DataFrame:
     n = F.col("n")
     cols = {}
     for w in weeks:
-        back = [F.lag(n, 7 * i).over(SERIES) for i in range(1, w + 1)]
+        back = [F.lag(n, 7 * i).over(series()) for i in range(1, w + 1)]
         cols[f"same_wd_{w}w"] = known_mean(back, 1)
-    cols["plain_28d"] = rolling(F.avg, n, SERIES, 28, 20, end=-3)
+    cols["plain_28d"] = rolling(F.avg, n, series(), 28, 20, end=-3)
     return panel.select("date", "grp", "n", *(c.alias(k) for k, c in cols.items()))

@@ -8,31 +8,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallycast.functions.quantiles import exact_quantiles
-from tallycast.operators.series import interpolate
+from tallycast.operators.series import interpolate, spread
 from tallycast.sources.sinks import stage
 
 
 # --- LOESS pieces (regular grid, so every local fit is a row of one matrix expression) ----
 
-def _loess(y: np.ndarray, at: np.ndarray, span: int, robust: np.ndarray) -> np.ndarray:
-    """Local linear fit of ``y`` (positions 0..n-1) at positions ``at`` with tricube weights."""
-    n = len(y)
+def _geometry(n: int, at: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Neighbour positions, tricube weights and fit positions; independent of the data."""
     width = min(span, n)
     left = np.clip(np.ceil(at - (width - 1) / 2 - 1e-9).astype(int), 0, n - width)
     idx = left[:, None] + np.arange(width)[None, :]
     dist = np.abs(idx - at[:, None])
     h = dist.max(axis=1) + (max(span - n, 0) // 2)
     h = np.where(h == 0, 1.0, h)[:, None]
-    w = np.where(dist <= 0.001 * h, 1.0, np.where(dist < 0.999 * h, (1 - (dist / h) ** 3) ** 3, 0.0)) * robust[idx]
-    total = w.sum(axis=1, keepdims=True)
-    flat = total[:, 0] <= 0
-    w = w / np.where(total <= 0, 1.0, total)
-    mean_x = (w * idx).sum(axis=1)
-    var_x = (w * (idx - mean_x[:, None]) ** 2).sum(axis=1)
+    tricube = np.where(dist <= 0.001 * h, 1.0, np.where(dist < 0.999 * h, (1 - (dist / h) ** 3) ** 3, 0.0))
+    return idx, tricube, at
+
+
+def _loess(y: np.ndarray, geometry: tuple[np.ndarray, np.ndarray, np.ndarray], robust: np.ndarray) -> np.ndarray:
+    """Local linear fit of ``y`` (positions 0..n-1) at every position of the geometry."""
+    idx, tricube, at = geometry
+    n = len(y)
+    w = tricube * robust[idx]
+    total = w.sum(axis=1)
+    flat = total <= 0
+    w = w / np.where(flat, 1.0, total)[:, None]
+    mean_x = np.einsum("ij,ij->i", w, idx)
+    off = idx - mean_x[:, None]
+    var_x = np.einsum("ij,ij,ij->i", w, off, off)
     slope_on = np.sqrt(var_x) > 0.001 * (n - 1)
     lever = np.where(slope_on, (at - mean_x) / np.where(slope_on, var_x, 1.0), 0.0)
-    w = w * (1 + lever[:, None] * (idx - mean_x[:, None]))
-    fit = (w * y[idx]).sum(axis=1)
+    near = y[idx]
+    fit = np.einsum("ij,ij->i", w, near) + lever * np.einsum("ij,ij,ij->i", w, off, near)
     return np.where(flat, y[np.clip(np.rint(at).astype(int), 0, n - 1)], fit)
 
 
@@ -45,17 +53,20 @@ def stl(y: np.ndarray, period: int = 7, seasonal: int = 7, trend: int = 29, roun
     n = len(y)
     low = period + 1 + period % 2
     weights, trend_c, seas = np.ones(n), np.zeros(n), np.zeros(n)
-    grid = np.arange(n, dtype=float)
+    grid, even = np.arange(n, dtype=float), np.ones(n)
+    lengths = {len(range(k, n, period)) for k in range(period)}
+    cycles = {m: _geometry(m, np.arange(-1, m + 1, dtype=float), seasonal) for m in lengths}
+    low_fit, trend_fit = _geometry(n, grid, low), _geometry(n, grid, trend)
     for r in range(rounds + 1):
         for _ in range(inner):
             detrended = y - trend_c
             cycle = np.empty(n + 2 * period)
             for s in range(period):
                 sub, rw = detrended[s::period], weights[s::period]
-                cycle[s::period][: len(sub) + 2] = _loess(sub, np.arange(-1, len(sub) + 1, dtype=float), seasonal, rw)
+                cycle[s::period][: len(sub) + 2] = _loess(sub, cycles[len(sub)], rw)
             smooth = _moving(_moving(_moving(cycle, period), period), 3)
-            seas = cycle[period:-period] - _loess(smooth, grid, low, np.ones(n))
-            trend_c = _loess(y - seas, grid, trend, weights)
+            seas = cycle[period:-period] - _loess(smooth, low_fit, even)
+            trend_c = _loess(y - seas, trend_fit, weights)
         if r < rounds:
             resid = np.abs(y - seas - trend_c)
             h = 6 * np.median(resid)
@@ -84,7 +95,7 @@ def decompose(panel: DataFrame, period: int = 7, trend: int = 29) -> DataFrame:
         return out
 
     kind = panel.schema["grp"].dataType.simpleString()
-    out = filled.groupBy("grp").applyInPandas(per_series, f"date date, grp {kind}, n bigint, seasonal double, trend double, resid double")
+    out = spread(filled).groupBy("grp").applyInPandas(per_series, f"date date, grp {kind}, n bigint, seasonal double, trend double, resid double")
     return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("seasonal", "trend", "resid")})
 
 

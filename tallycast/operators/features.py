@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tallycast.functions.calendar import window_calendar
@@ -39,7 +39,9 @@ CALENDAR_COLUMNS = (
 )
 KEY_COLUMNS = ("issue_date", "cutoff", "target_start", "grp")
 
-SERIES = Window.partitionBy("grp").orderBy("date")
+def series() -> WindowSpec:
+    """Rows of one group in date order: the window every level feature shares."""
+    return Window.partitionBy("grp").orderBy("date")
 
 
 def first_week(ahead: int) -> int:
@@ -52,7 +54,7 @@ def extend(panel: DataFrame, days: int) -> DataFrame:
 
     Forecasts whose targets lie past the end of the panel then exist like any other.
     """
-    last = F.lead("date").over(SERIES).isNull()
+    last = F.lead("date").over(series()).isNull()
     rows = panel.select("date", "grp", "n", "n_sub", F.when(last, F.lit(days)).otherwise(F.lit(0)).alias("__ext"))
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("__ext"))).alias("__ahead"))
     real = F.col("__ahead") == 0
@@ -86,7 +88,7 @@ def with_same_weekday(longer: DataFrame, setting: Setting, weeks: Sequence[int])
     def total(w: int) -> Column:
         parts = []
         for f, span in runs.items():
-            frame, p = SERIES.rowsBetween(span[0], span[-1]), F.col(f"__p_{w}_{f}")
+            frame, p = series().rowsBetween(span[0], span[-1]), F.col(f"__p_{w}_{f}")
             parts.append(F.when(F.count(p).over(frame) == len(span), F.sum(p).over(frame)))
         return strict_sum(parts)
 
@@ -99,22 +101,22 @@ def horizon_days(setting: Setting) -> int:
 
 def forward_total(n: Column, setting: Setting) -> Column:
     """Total over the target window; null when a target day is missing or off the end."""
-    frame = SERIES.rowsBetween(setting.gap_days, setting.gap_days + setting.window_days - 1)
+    frame = series().rowsBetween(setting.gap_days, setting.gap_days + setting.window_days - 1)
     return F.when(F.count(n).over(frame) == setting.window_days, F.sum(n).over(frame).cast("double"))
 
 
 def level_columns(setting: Setting) -> dict[str, Column]:
     n, sub = F.col("n"), F.col("n_sub")
-    out = {f"lag_{k}": F.lag(n, k).over(SERIES).cast("double") for k in range(LAG_COUNT)}
+    out = {f"lag_{k}": F.lag(n, k).over(series()).cast("double") for k in range(LAG_COUNT)}
     for d in MEAN_DAYS:
-        out[f"mean_{d}d"] = rolling(F.avg, n, SERIES, d, min_samples(d))
-    out[f"sd_{SD_DAYS}d"] = rolling(F.stddev_samp, n, SERIES, SD_DAYS, min_samples(SD_DAYS))
+        out[f"mean_{d}d"] = rolling(F.avg, n, series(), d, min_samples(d))
+    out[f"sd_{SD_DAYS}d"] = rolling(F.stddev_samp, n, series(), SD_DAYS, min_samples(SD_DAYS))
     for w in WEEKDAY_WEEKS:
         out[f"same_wd_{w}w"] = F.col(f"same_wd_{w}w") / setting.window_days
     for d in SHARE_DAYS:
         need = min_samples(d)
         out[f"sub_share_{d}d"] = safe_ratio(
-            rolling(F.sum, sub, SERIES, d, need), rolling(F.sum, n, SERIES, d, need)
+            rolling(F.sum, sub, series(), d, need), rolling(F.sum, n, series(), d, need)
         )
     return out
 
@@ -199,8 +201,8 @@ def strict_calendar(day: Column) -> dict[str, Column]:
 def strict_features(panel: DataFrame) -> DataFrame:
     """12-feature table keyed by target date: the group, calendar, lags, full-window means."""
     n = F.col("n")
-    cols = {f"lag_{k}": F.lag(n, k).over(SERIES).cast("double") for k in STRICT_LAGS}
-    cols |= {f"rolling_mean_{k}": rolling(F.avg, n, SERIES, k, k, end=-STRICT_GAP) for k in STRICT_MEANS}
+    cols = {f"lag_{k}": F.lag(n, k).over(series()).cast("double") for k in STRICT_LAGS}
+    cols |= {f"rolling_mean_{k}": rolling(F.avg, n, series(), k, k, end=-STRICT_GAP) for k in STRICT_MEANS}
     return panel.select("date", "grp", "n", *(c.alias(k) for k, c in (strict_calendar(F.col("date")) | cols).items()))
 
 
@@ -222,7 +224,7 @@ def feature_completeness(features: DataFrame) -> DataFrame:
 
 def day_steps(panel: DataFrame) -> DataFrame:
     """Continuity check: rows per group whose step from the previous row is not one day."""
-    step = F.datediff("date", F.lag("date").over(SERIES))
+    step = F.datediff("date", F.lag("date").over(series()))
     return panel.select("grp", step.alias("step")).groupBy("grp").agg(
         F.count("step").alias("steps"), F.count_if(F.col("step") != 1).alias("broken_steps")
     )

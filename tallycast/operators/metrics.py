@@ -11,14 +11,11 @@ from tallycast.functions.calendar import week_key
 from tallycast.functions.quantiles import exact_quantiles
 from tallycast.functions.stats import safe_ratio
 
-ERROR = F.col("y_pred") - F.col("y_true")
-
-
 def scored(results: DataFrame) -> DataFrame:
     """Rows with a known truth, plus the error and the usual report columns."""
     return results.where(F.col("y_true").isNotNull()).withColumns(
         {
-            "error": ERROR,
+            "error": F.col("y_pred") - F.col("y_true"),
             "month": F.month("target_start").cast("bigint"),
             "year": F.year("target_start").cast("bigint"),
         }

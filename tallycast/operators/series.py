@@ -10,19 +10,31 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tallycast.functions.stats import safe_ratio
 
-SERIES = Window.partitionBy("grp").orderBy("date")
+def series() -> WindowSpec:
+    """Rows of one group in date order: the window every level feature shares."""
+    return Window.partitionBy("grp").orderBy("date")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread series over all shuffle partitions before per-series Python work.
+
+    The rows are few but each series costs real CPU, so size-based coalescing of the
+    exchange would put all of them into one task.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, "grp")
 
 
 def acf(panel: DataFrame, lags: int) -> DataFrame:
     """``grp, lag, acf``: known days renumbered, mean and denominator of the whole series."""
     known = panel.where("n is not null").select("grp", "date", F.col("n").cast("double").alias("n"))
     dev = known.withColumn("d", F.col("n") - F.avg("n").over(Window.partitionBy("grp")))
-    prods = dev.select("grp", *((F.col("d") * F.lag("d", k).over(SERIES)).alias(f"p{k}") for k in range(lags + 1)))
+    prods = dev.select("grp", *((F.col("d") * F.lag("d", k).over(series())).alias(f"p{k}") for k in range(lags + 1)))
     sums = prods.groupBy("grp").agg(*(F.coalesce(F.sum(f"p{k}"), F.lit(0.0)).alias(f"s{k}") for k in range(lags + 1)))
     pairs = F.array(*(F.struct(F.lit(k).cast("bigint").alias("lag"), safe_ratio(F.col(f"s{k}"), F.col("s0")).alias("acf")) for k in range(lags + 1)))
     return sums.select("grp", F.explode(pairs).alias("x")).select("grp", "x.lag", "x.acf")
@@ -93,7 +105,7 @@ def adf(panel: DataFrame) -> DataFrame:
         return pd.DataFrame({"grp": [pdf["grp"].iloc[0]], "used_lag": [best], "statistic": [t], "p_value": [adf_p(t)]})
 
     known = panel.where("n is not null").select("grp", "date", F.col("n").cast("double").alias("n"))
-    return known.groupBy("grp").applyInPandas(per_series, f"grp {panel.schema['grp'].dataType.simpleString()}, used_lag bigint, statistic double, p_value double")
+    return spread(known).groupBy("grp").applyInPandas(per_series, f"grp {panel.schema['grp'].dataType.simpleString()}, used_lag bigint, statistic double, p_value double")
 
 
 def kpss(panel: DataFrame) -> DataFrame:
@@ -115,19 +127,19 @@ def kpss(panel: DataFrame) -> DataFrame:
         return pd.DataFrame({"grp": [pdf["grp"].iloc[0]], "lags": [lags], "statistic": [stat], "p_value": [p]})
 
     known = panel.where("n is not null").select("grp", "date", F.col("n").cast("double").alias("n"))
-    return known.groupBy("grp").applyInPandas(per_series, f"grp {panel.schema['grp'].dataType.simpleString()}, lags bigint, statistic double, p_value double")
+    return spread(known).groupBy("grp").applyInPandas(per_series, f"grp {panel.schema['grp'].dataType.simpleString()}, lags bigint, statistic double, p_value double")
 
 
 # --- filling and trimming -------------------------------------------------------------
 
 def forward_fill(column: str) -> Column:
-    return F.last(column, ignorenulls=True).over(SERIES.rowsBetween(Window.unboundedPreceding, 0))
+    return F.last(column, ignorenulls=True).over(series().rowsBetween(Window.unboundedPreceding, 0))
 
 
 def interpolate(panel: DataFrame, column: str, out: str, edges: bool = False) -> DataFrame:
     """Linear interpolation of interior gaps; ``edges`` extends the nearest known value outward."""
-    before = SERIES.rowsBetween(Window.unboundedPreceding, 0)
-    after = SERIES.rowsBetween(0, Window.unboundedFollowing)
+    before = series().rowsBetween(Window.unboundedPreceding, 0)
+    after = series().rowsBetween(0, Window.unboundedFollowing)
     known = F.when(F.col(column).isNotNull(), F.struct(F.col("date").alias("d"), F.col(column).cast("double").alias("v")))
     withk = panel.withColumn("__k", known)
     marked = withk.withColumn("__p", F.last("__k", ignorenulls=True).over(before)).withColumn("__q", F.first("__k", ignorenulls=True).over(after))
