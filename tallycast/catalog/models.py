@@ -86,7 +86,9 @@ def j10e(spark, sf):
 
 @query("k08_holdout_scores")
 def k08(spark, sf):
-    return H.holdout_scores(H.holdout_results(line_panel(spark, sf), DAILY, TEST_START, "2001-06-30", BREAK_DATE))
+    panel = stage(line_panel(spark, sf), "panel")
+    rows = stage(H.holdout_results(panel, DAILY, TEST_START, "2001-06-30", BREAK_DATE), "holdout")
+    return H.holdout_scores(H.require_both_periods(rows))
 
 
 # The trial grid; trial 0 holds the defaults.
@@ -99,5 +101,5 @@ TUNE_MONTHS = ("1998-09-01", "1998-10-01", "1998-11-01", "1998-12-01")
 def k10(spark, sf):
     feats = line_features(spark, sf)
     config = L.select_configs(["glm_tweedie"])[0]
-    running = stage(T.run_trials(GRID, lambda p: L.monthly_backtest(feats, config, DAILY, TUNE_MONTHS, p)).select("trial", "step", "running", "best_so_far"), "trials")
+    running = stage(T.run_trials(L.monthly_backtests(feats, config, DAILY, TUNE_MONTHS, GRID)).select("trial", "step", "running", "best_so_far"), "trials")
     return T.trial_log("glm_tweedie", GRID, T.apply_pruning(running))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline
@@ -93,35 +93,46 @@ def _stages(config: Config, groups: int, params: Mapping[str, object]) -> list:
     return [index, hot, vector, glm]
 
 
-def fit_month(train: DataFrame, config: Config, setting: Setting, params: Mapping[str, object] = {}) -> Callable[[DataFrame], DataFrame]:
-    """Fit one month; returns a function that adds ``y_pred`` to feature rows."""
-    fills = training_medians(train, INPUTS)
-    label = F.col("y") / F.col("level") if config.level == "ratio" else F.col("y")
-    rows = prepared(train, fills, setting).withColumns({"label": label.cast("double"), "grp_key": F.col("grp").cast("string")})
-    groups = train.select(F.approx_count_distinct("grp")).first()[0]
-    model = Pipeline(stages=_stages(config, int(groups * 1.2) + 2, params)).fit(rows)
+def month_training(features: DataFrame, month: str, setting: Setting) -> DataFrame:
+    """Rows whose whole target was known at the cutoff of the month's first issue date."""
+    first = F.lit(month).cast("date")
+    known = setting.end_of_issue(F.col("issue_date")) <= setting.cutoff_of_issue(first)
+    return features.where(F.col("y").isNotNull() & (F.col("mean_28d") > 0) & known)
 
-    def predict(features: DataFrame) -> DataFrame:
-        ready = prepared(features, fills, setting).where("level > 0").withColumn("grp_key", F.col("grp").cast("string"))
-        y = F.col("raw") * F.col("level") if config.level == "ratio" else F.col("raw")
-        return model.transform(ready).withColumn("y_pred", y)
 
-    return predict
+def month_issues(features: DataFrame, month: str) -> DataFrame:
+    first = F.lit(month).cast("date")
+    return features.where((F.col("issue_date") >= first) & (F.col("issue_date") < F.add_months(first, 1)))
 
 
-def monthly_backtest(features: DataFrame, config: Config, setting: Setting, months: Sequence[str], params: Mapping[str, object] = {}) -> DataFrame:
-    """Refit at each month's first issue date on all targets known by its cutoff, then predict.
+def monthly_backtests(features: DataFrame, config: Config, setting: Setting, months: Sequence[str],
+                      trials: Sequence[Mapping[str, object]]) -> list[DataFrame]:
+    """Prediction rows of each parameter set: refit monthly on everything known, then predict.
 
-    The loop is over refit months only; every fit is distributed. ``features`` is read
-    once per month, so pass a staged table.
+    The driver loops over refit months and parameter sets only; every fit is distributed.
+    Imputation and training rows of a month are prepared once and shared by all sets.
+    ``features`` is read once per month, so pass a staged table.
     """
-    parts = []
+    ratio = config.level == "ratio"
+    out: list[list[DataFrame]] = [[] for _ in trials]
     for month in months:
-        first = F.lit(month).cast("date")
-        train = features.where(F.col("y").isNotNull() & (F.col("mean_28d") > 0) & (setting.end_of_issue(F.col("issue_date")) <= setting.cutoff_of_issue(first)))
-        rows = features.where((F.col("issue_date") >= first) & (F.col("issue_date") < F.add_months(first, 1)))
-        parts.append(_rows(fit_month(train, config, setting, params)(rows), config.name, setting))
-    return append_all(parts)
+        train = month_training(features, month, setting)
+        fills = training_medians(train, INPUTS)
+        label = F.col("y") / F.col("level") if ratio else F.col("y")
+        rows = prepared(train, fills, setting).withColumns({"label": label.cast("double"), "grp_key": F.col("grp").cast("string")})
+        rows = rows.select("label", "level", "log_level", "grp_key", "missing", *INPUTS).persist()
+        groups = rows.select(F.approx_count_distinct("grp_key")).first()[0]
+        ready = prepared(month_issues(features, month), fills, setting).where("level > 0").withColumn("grp_key", F.col("grp").cast("string"))
+        y = F.col("raw") * F.col("level") if ratio else F.col("raw")
+        for i, params in enumerate(trials):
+            model = Pipeline(stages=_stages(config, int(groups * 1.2) + 2, params)).fit(rows)
+            out[i].append(_rows(model.transform(ready).withColumn("y_pred", y), config.name, setting))
+        rows.unpersist()
+    return [append_all(parts) for parts in out]
+
+
+def monthly_backtest(features: DataFrame, config: Config, setting: Setting, months: Sequence[str], params: Mapping[str, object] | None = None) -> DataFrame:
+    return monthly_backtests(features, config, setting, months, [params or {}])[0]
 
 
 def _rows(predicted: DataFrame, name: str, setting: Setting) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tallycast.functions.stats import log_ratio, one_hot, safe_ratio
 from tallycast.models.gram import collect_gram, solve
-from tallycast.models.learners import median_column
+from tallycast.models.learners import median_column, month_issues, month_training
 from tallycast.operators.profile import append_all
 from tallycast.spec import Setting
 
@@ -102,11 +102,8 @@ def _working(base: DataFrame, names: Sequence[str], beta: np.ndarray, alpha: flo
 def monthly_backtest(features: DataFrame, groups: Sequence[int], setting: Setting, months: Sequence[str], name: str = "nb_glm") -> DataFrame:
     parts = []
     for month in months:
-        first = F.lit(month).cast("date")
-        train = features.where(F.col("y").isNotNull() & (F.col("mean_28d") > 0) & (setting.end_of_issue(F.col("issue_date")) <= setting.cutoff_of_issue(first)))
-        model = fit(train, groups, setting)
-        rows = features.where((F.col("issue_date") >= first) & (F.col("issue_date") < F.add_months(first, 1)))
-        parts.append(rows.select(
+        model = fit(month_training(features, month, setting), groups, setting)
+        parts.append(month_issues(features, month).select(
             F.lit(setting.key).alias("spec"), F.lit(name).alias("model"), "issue_date", "cutoff", "target_start",
             setting.end_of_issue(F.col("issue_date")).alias("target_end"), "grp", F.col("y").alias("y_true"), model.mean(setting).alias("y_pred")))
     return append_all(parts)

@@ -139,10 +139,12 @@ def forward_fill(column: str) -> Column:
 def interpolate(panel: DataFrame, column: str, out: str, edges: bool = False) -> DataFrame:
     """Linear interpolation of interior gaps; ``edges`` extends the nearest known value outward."""
     before = series().rowsBetween(Window.unboundedPreceding, 0)
-    after = series().rowsBetween(0, Window.unboundedFollowing)
+    # Looking ahead is a running frame in reverse order: linear, unlike a frame that
+    # starts at the current row and is re-read for every row.
+    after = Window.partitionBy("grp").orderBy(F.desc("date")).rowsBetween(Window.unboundedPreceding, 0)
     known = F.when(F.col(column).isNotNull(), F.struct(F.col("date").alias("d"), F.col(column).cast("double").alias("v")))
     withk = panel.withColumn("__k", known)
-    marked = withk.withColumn("__p", F.last("__k", ignorenulls=True).over(before)).withColumn("__q", F.first("__k", ignorenulls=True).over(after))
+    marked = withk.withColumn("__p", F.last("__k", ignorenulls=True).over(before)).withColumn("__q", F.last("__k", ignorenulls=True).over(after))
     p, q = F.col("__p"), F.col("__q")
     span = F.datediff(q["d"], p["d"])
     inner = p["v"] + (q["v"] - p["v"]) * F.datediff("date", p["d"]) / F.nullif(span, F.lit(0))

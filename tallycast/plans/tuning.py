@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -69,9 +69,9 @@ def apply_pruning(running: DataFrame, startup: int = STARTUP_TRIALS, warmup: int
     return running.sparkSession.createDataFrame(out, "trial bigint, state string, value double, n_steps bigint")
 
 
-def run_trials(trials: Sequence[Mapping[str, float]], backtest: Callable[[Mapping[str, float]], DataFrame]) -> DataFrame:
-    """Running MAE of every parameter set; trial 0 holds the defaults."""
-    parts = [month_losses(backtest(p), i) for i, p in enumerate(trials)]
+def run_trials(results: Sequence[DataFrame]) -> DataFrame:
+    """Running MAE of every trial's prediction rows; trial 0 holds the defaults."""
+    parts = [month_losses(r, i) for i, r in enumerate(results)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
