@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallycast.catalog import query
-from tallycast.catalog.inputs import LINE_PANEL, ORDER_PANEL, SCORED_SQL, VALIDATION, line_panel, order_panel, results_ctes
+from tallycast.catalog.inputs import LINE_PANEL, SCORED_SQL, VALIDATION, line_panel, results_ctes, staged
 from tallycast.operators import alerts as A
 from tallycast.operators import metrics as M
 from tallycast.plans.backtest import rolling_origin
@@ -34,7 +34,7 @@ _FLAG = f"{results_ctes(LINE_PANEL, DAILY, START, END, (4, 13))}, {SCORED_SQL},
 
 
 def flagged(spark, sf):
-    p = line_panel(spark, sf)
+    p = staged(line_panel(spark, sf))
     r = rolling_origin(p, DAILY, START, END, (4, 13)).where("y_true is not null")
     return A.with_month_threshold(r, A.expanding_thresholds(p, "1996-01-01", "1999-12-01"))
 
@@ -62,7 +62,7 @@ def _alerts_sql(strict):
 
 
 def class_rows(spark, sf):
-    p = line_panel(spark, sf)
+    p = staged(line_panel(spark, sf))
     r = rolling_origin(p, DAILY, START, END, (4, 13)).where("y_true is not null")
     th = A.rolling_thresholds(p).select("grp", F.col("date").alias("target_start"), "low", "high")
     return r.join(th, ["grp", "target_start"])

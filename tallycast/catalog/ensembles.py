@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallycast.catalog import query
-from tallycast.catalog.inputs import LINE_PANEL, ORDER_PANEL, SCORED, SCORED_SQL, VALIDATION, line_panel, order_panel, results_ctes, roll, schedule_sql, table
+from tallycast.catalog.inputs import LINE_PANEL, ORDER_PANEL, SCORED, SCORED_SQL, VALIDATION, line_panel, order_panel, results_ctes, roll, staged, table
 from tallycast.operators import ensemble as E
 from tallycast.operators import metrics as M
 from tallycast.plans.backtest import rolling_origin
@@ -68,7 +68,7 @@ _STEPS = 10
 _LATTICE = (f"ra as (select cast(unnest(generate_series(0, {_STEPS})) as integer) as k), lat as (select row_number() over (order by a.k, b.k, c.k) - 1 as vec, a.k / {_STEPS}.0 as wa, b.k / {_STEPS}.0 as wb, c.k / {_STEPS}.0 as wc, ({_STEPS} - a.k - b.k - c.k) / {_STEPS}.0 as wd "
             f"from ra a, ra b, ra c where a.k + b.k + c.k <= {_STEPS})")
 _K03 = (f"{_WIDE}, {_LATTICE}, mo as (select date_trunc('month', issue_date) as month, min(issue_date) as issue_date, min(issue_date) - 2 as cutoff from wp group by 1 having count(*) filter (where target_start >= date '{S_START}' and target_end <= date '{S_END}') > 0), "
-        f"tr as (select mo.month, vec, sum(abs(cast({_A} as double) * cast(wa as double) + {_B} * cast(wb as double) + {_C} * cast(wc as double) + {_D} * cast(wd as double) - y_true)) as loss, count(*) as n_rows from mo join wp on wp.target_end <= mo.cutoff and y_true is not null cross join lat group by 1, 2), "
+        f"tr as (select mo.month, vec, sum(abs(cast({_A} as double) * cast(wa as double) + {_B} * cast(wb as double) + {_C} * cast(wc as double) + {_D} * cast(wd as double) - y_true)) as loss, count(*) as n_rows from mo join wp on wp.target_end <= mo.cutoff and y_true is not null and {_A} + {_B} + {_C} + {_D} is not null cross join lat group by 1, 2), "
         "be as (select month, arg_min(vec, {'l': round(loss, 6), 'v': vec}) as vec, min(loss) / max(n_rows) as train_mae, max(n_rows) as n_rows from tr group by month), "
         f"fit as (select cast(mo.month as date) as month, mo.issue_date, mo.cutoff, n_rows, train_mae, cast(wa as double) as w_{_A}, cast(wb as double) as w_{_B}, cast(wc as double) as w_{_C}, cast(wd as double) as w_{_D} from mo join be on be.month = mo.month join lat on lat.vec = be.vec)")
 
@@ -125,7 +125,7 @@ _TOP = (f"{ORDER_PANEL}, tot as (select date, cast(0 as bigint) as grp, case whe
 def j08(spark, sf):
     from tallycast.models.topdown import top_down_plain
 
-    return top_down_plain(order_panel(spark, sf), DAILY).select("issue_date", "cutoff", "grp", "y_pred")
+    return top_down_plain(staged(order_panel(spark, sf)), DAILY, n_groups=5).select("issue_date", "cutoff", "grp", "y_pred")
 
 
 # Trial scores: each supplier nation acts as a trial, each year as a step.

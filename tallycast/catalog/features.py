@@ -9,7 +9,7 @@ from tallycast.catalog import query
 from tallycast.catalog.inputs import (
     HOLIDAY_SQL, LINE_PANEL, ORDER_PANEL, SERIES_SQL, SUPP_PANEL, SCORED_SQL, TEST_START, VALIDATION,
     days_sql, feature_ctes, forward_sql, line_panel, order_panel, results_ctes, roll, same_weekday_sql,
-    schedule_sql, supplier_panel, table, timing_sql, window_holiday_sql,
+    schedule_sql, staged, supplier_panel, table, timing_sql, window_holiday_sql,
 )
 from tallycast.functions import calendar as cal
 from tallycast.functions.stats import known_mean, log_ratio, one_hot, rolling, safe_ratio, strict_mean
@@ -153,7 +153,7 @@ _align = " union all ".join(
 
 @query("c10_shifted_self_join", f"with {_STRICT_SQL} {_align}")
 def c10(spark, sf):
-    p = order_panel(spark, sf)
+    p = staged(order_panel(spark, sf))
     return X.lag_alignment(X.strict_features(p), p)
 
 
@@ -166,7 +166,7 @@ _SHIFTED = (f"{_STRICT_SQL}, bad as (select date, grp, case when n = 0 then 1.0
        "or coalesce(abs(bad.rolling_mean_7 - expected) <= 1e-9 * greatest(abs(expected), 1.0), false))) as mismatches from bad left join ref on ref.grp = bad.grp and ref.date = bad.date")
 def e20(spark, sf):
     """The audit on a table with deliberately misaligned values: it must count them."""
-    p = order_panel(spark, sf)
+    p = staged(order_panel(spark, sf))
     bad = X.strict_features(p).withColumn("rolling_mean_7", F.when(F.col("n") == 0, F.lit(1.0)).otherwise(F.col("rolling_mean_7")))
     return X.lag_alignment(bad, p, lags=(), means=(7,))
 
@@ -365,7 +365,7 @@ def b14(spark, sf):
 def e16(spark, sf):
     from tallycast.operators.panel import total_series
 
-    t = total_series(order_panel(spark, sf))
+    t = total_series(order_panel(spark, sf), n_groups=5)
     return t.select("date", "n", rolling(F.avg, n(), X.series(), 28, 20).alias("roll28"))
 
 

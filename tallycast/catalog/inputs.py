@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallycast.operators.panel import daily_panel, records
+from tallycast.sources.sinks import stage
 from tallycast.spec import Setting, min_samples
 
 # Spans of the 1995-2001 tables: context, validation, scored part, held-out test.
@@ -45,6 +46,11 @@ def supplier_panel(spark, sf) -> DataFrame:
     return daily_panel(line_records(spark, sf, "l_suppkey"))
 
 
+def staged(panel: DataFrame) -> DataFrame:
+    """Written once to the shared folder, for queries that read the panel several times."""
+    return stage(panel, "panel")
+
+
 # --- SQL side ------------------------------------------------------------------------
 
 ORDER_REC = (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallycast.catalog import query
-from tallycast.catalog.inputs import BREAK_DATE, LINE_KEEP, LINE_PANEL, ORDER_KEEP, ORDER_PANEL, TEST_START, line_panel, order_panel, roll, same_weekday_sql, supplier_panel
+from tallycast.catalog.inputs import BREAK_DATE, LINE_KEEP, ORDER_PANEL, TEST_START, line_panel, order_panel, roll, same_weekday_sql, staged, supplier_panel
 from tallycast.models import learners as L
 from tallycast.models import linear, negbin, smoothing
 from tallycast.operators import features as X
@@ -13,7 +13,7 @@ from tallycast.operators import metrics as M
 from tallycast.plans import holdout as H
 from tallycast.plans import tuning as T
 from tallycast.sources.sinks import stage
-from tallycast.spec import DAILY, WEEKLY, min_samples
+from tallycast.spec import DAILY, WEEKLY
 
 SPAN = ("1998-01-01", "1999-12-31")
 MONTHS = ("1999-11-01", "1999-12-01")
@@ -63,7 +63,7 @@ def j07(spark, sf):
 
 @query("j08_top_down_smoothing")
 def j08(spark, sf):
-    return H.topdown_smoothing(line_panel(spark, sf), DAILY, *SPAN)
+    return H.topdown_smoothing(staged(line_panel(spark, sf)), DAILY, *SPAN)
 
 
 _LIVE = (f"{ORDER_PANEL}, x as (select date, grp, n, {roll('avg', 'n', 28, 20)} as plain_28d, {same_weekday_sql(DAILY, 13)} as same_wd_13w from panel window w as (partition by grp order by date)), "
@@ -76,17 +76,17 @@ _LIVE = (f"{ORDER_PANEL}, x as (select date, grp, n, {roll('avg', 'n', 28, 20)}
 
 @query("j10_live_forecast", f"with {_LIVE} select * from f union all select issue_date, target_start, 'All', sum(same_wd_13w), sum(plain_28d), sum(topdown_plain), cast(sum(forecast) as bigint) from f group by 1, 2")
 def j10(spark, sf):
-    return H.live_forecast(order_panel(spark, sf), DAILY)
+    return H.live_forecast(staged(order_panel(spark, sf)), DAILY)
 
 
 @query("j10_ensemble_forecaster")
 def j10e(spark, sf):
-    return H.ensemble_forecaster(H.member_rows(line_panel(spark, sf), DAILY, *SPAN), ["ets_weekly", "topdown_ets", "plain_28d"])
+    return H.ensemble_forecaster(H.member_rows(staged(line_panel(spark, sf)), DAILY, *SPAN), ["ets_weekly", "topdown_ets", "plain_28d"])
 
 
 @query("k08_holdout_scores")
 def k08(spark, sf):
-    panel = stage(line_panel(spark, sf), "panel")
+    panel = staged(line_panel(spark, sf))
     rows = stage(H.holdout_results(panel, DAILY, TEST_START, "2001-06-30", BREAK_DATE), "holdout")
     return H.holdout_scores(H.require_both_periods(rows))
 

@@ -8,7 +8,7 @@ from tallycast.catalog import query
 from tallycast.catalog.inputs import (
     LINE_KEEP, LINE_PANEL, LINE_REC, ORDER_KEEP, ORDER_PANEL, ORDER_REC, FLAG_REC, SUPP_PANEL,
     TEST_START, VALIDATION, days_sql, line_panel, line_records, order_panel, order_records, panel_ctes,
-    supplier_panel, table,
+    staged, supplier_panel, table,
 )
 from tallycast.functions import calendar as cal
 from tallycast.operators import panel as P
@@ -115,7 +115,7 @@ def c05b(spark, sf):
        "case when count(n) = (select count(distinct grp) from panel) then cast(sum(n) as bigint) end as n, "
        "case when count(n) = (select count(distinct grp) from panel) then cast(sum(n_sub) as bigint) end as n_sub from panel group by date")
 def d25(spark, sf):
-    return P.total_series(order_panel(spark, sf))
+    return P.total_series(order_panel(spark, sf), n_groups=len(ORDER_KEEP))
 
 
 @query("d26_group_shares", f"with {ORDER_PANEL}, ok as (select date, count(n) = (select count(distinct grp) from panel) as ok from panel group by date), "
@@ -124,7 +124,7 @@ def d25(spark, sf):
        "t as (select date, sum(s) as t from s group by date) "
        "select s.date as cutoff, grp, case when k >= 20 then cast(s as double) / nullif(t, 0) end as share from s join t on t.date = s.date")
 def d26(spark, sf):
-    return P.group_shares(order_panel(spark, sf), 28, 20)
+    return P.group_shares(staged(order_panel(spark, sf)), 28, 20, len(ORDER_KEEP))
 
 
 # --- scans and appends over the driver tables ----------------------------------------

@@ -92,7 +92,7 @@ def holiday_table(spark: SparkSession, first_year: int, last_year: int) -> DataF
     return years.select(F.explode(pairs).alias("h")).select("h.holiday", "h.name")
 
 
-HOLIDAY_YEARS = (1950, 2100)
+HOLIDAY_YEARS = (1900, 2200)
 
 
 def marked_days(spark: SparkSession, years: tuple[int, int] = HOLIDAY_YEARS) -> DataFrame:
@@ -107,24 +107,33 @@ def marked_days(spark: SparkSession, years: tuple[int, int] = HOLIDAY_YEARS) ->
     return hol.groupBy("m.day").agg(F.max("m.is").alias("holiday")).withColumn("adjacent", ~F.col("holiday"))
 
 
+def window_counts(spark: SparkSession, window_days: int) -> DataFrame:
+    """Holiday and adjacent days of the windows that hold any: ``start, holidays, holiday_adjacent``.
+
+    Built from the rules alone (every marked day reaches ``window_days`` starts), so it
+    never reads the data and its size is fixed by the year span.
+    """
+    marks = marked_days(spark)
+    reach = F.sequence(F.date_sub("day", window_days - 1), F.col("day"))
+    return marks.select(F.explode(reach).alias("start"), "holiday", "adjacent").groupBy("start").agg(
+        F.count_if("holiday").alias("holidays"), F.count_if("adjacent").alias("holiday_adjacent"))
+
+
 def window_calendar(df: DataFrame, start: str, window_days: int) -> DataFrame:
     """Add calendar facts of windows starting on ``start``.
 
     Weekday, month and wave describe the first day; the holiday and adjacent counts
-    cover the window. They are computed once per distinct start day on a small calendar
-    that is broadcast (at most one row per day of the DATE range).
+    cover the window (years ``HOLIDAY_YEARS``).
     """
-    s = F.col("__s")
-    starts = df.select(F.col(start).alias("__s")).where(F.col(start).isNotNull()).distinct()
-    days = starts.select("__s", F.explode(F.sequence("__s", F.date_add(s, window_days - 1))).alias("day"))
-    counts = days.join(F.broadcast(marked_days(df.sparkSession)), "day", "left").groupBy("__s").agg(
-        F.count_if("holiday").alias("holidays"), F.count_if("adjacent").alias("holiday_adjacent")
-    )
-    joined = df.join(F.broadcast(counts), df[start] == counts["__s"], "left").drop("__s")
-    sin, cos = yearly_wave(F.col(start))
-    return joined.withColumns(
+    s = F.col(start)
+    counts = F.broadcast(window_counts(df.sparkSession, window_days).withColumnRenamed("start", "__s"))
+    sin, cos = yearly_wave(s)
+    zero = F.lit(0).cast("bigint")
+    return df.join(counts, s == F.col("__s"), "left").drop("__s").withColumns(
         {
-            "target_weekday": iso_weekday(F.col(start)),
+            "holidays": F.coalesce("holidays", zero),
+            "holiday_adjacent": F.coalesce("holiday_adjacent", zero),
+            "target_weekday": iso_weekday(s),
             "target_month": F.month(start).cast("bigint"),
             "target_doy_sin": sin,
             "target_doy_cos": cos,

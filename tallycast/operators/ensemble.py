@@ -128,6 +128,14 @@ def _loss_sums(rows: DataFrame, members: Sequence[str], vectors: np.ndarray, key
     return part.groupBy(key, "vec").agg(F.sum("loss").alias("loss"), F.sum("rows").alias("rows"))
 
 
+def complete_rows(wide: DataFrame, members: Sequence[str]) -> DataFrame:
+    """Rows weights can be learned from: known truth and every member's forecast.
+
+    Null forecasts on known truth are reported by :func:`alignment_audit`.
+    """
+    return wide.dropna(subset=["y_true", *members])
+
+
 def rolling_weights(wide: DataFrame, members: Sequence[str], lag_days: int, start: str, end: str, steps: int = 10) -> DataFrame:
     """MAE-optimal lattice weights per month, on all outcomes known by its first issue date.
 
@@ -144,7 +152,7 @@ def rolling_weights(wide: DataFrame, members: Sequence[str], lag_days: int, star
     days = index.select("bucket", since.alias("__a"), F.col("cutoff").alias("__z")).select(
         "bucket", F.explode(F.sequence("__a", "__z")).alias("target_end"))
     # Day -> bucket: one row per calendar day, broadcast. Later outcomes train nothing.
-    known = wide.where("y_true is not null").join(F.broadcast(days), "target_end")
+    known = complete_rows(wide, members).join(F.broadcast(days), "target_end")
     sums = _loss_sums(known, members, vectors, "bucket")
     grid = index.select("bucket").withColumn("vec", F.explode(F.sequence(F.lit(0), F.lit(len(vectors) - 1))))
     w = Window.partitionBy("vec").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
@@ -179,7 +187,7 @@ def refine_weights(wide: DataFrame, members: Sequence[str], weights: DataFrame,
                     loss = np.abs(p[use] @ vectors.T - y[use]).sum(axis=0)
                     yield pd.DataFrame({"fit": i, "vec": np.arange(len(vectors)), "loss": loss, "rows": int(use.sum())})
 
-    known = wide.where("y_true is not null").select("y_true", F.unix_date("target_end").alias("end"), *names)
+    known = complete_rows(wide, members).select("y_true", F.unix_date("target_end").alias("end"), *names)
     sums = known.mapInPandas(batches, "fit int, vec int, loss double, rows bigint").groupBy("fit", "vec").agg(
         F.sum("loss").alias("loss"), F.sum("rows").alias("rows"))
     best = sums.groupBy("fit").agg(F.min_by("vec", F.struct(F.round("loss", 6), "vec")).alias("vec"),

@@ -84,9 +84,14 @@ def require_rows(df: DataFrame) -> DataFrame:
     return df
 
 
-def total_series(panel: DataFrame, label: int = 0) -> DataFrame:
+def group_count(panel: DataFrame, groups: int | None) -> Column:
+    """Number of groups: given by the caller, or counted in one more pass over the panel."""
+    return F.lit(groups) if groups is not None else panel.select(F.count_distinct("grp")).scalar()
+
+
+def total_series(panel: DataFrame, label: int = 0, n_groups: int | None = None) -> DataFrame:
     """Sum of all groups per day; null on days where any group is null or absent."""
-    groups = panel.select(F.count_distinct("grp")).scalar()
+    groups = group_count(panel, n_groups)
     known = F.count("n") == groups
     return panel.groupBy("date").agg(
         F.lit(label).cast("bigint").alias("grp"),
@@ -137,13 +142,14 @@ def coverage(panel: DataFrame) -> DataFrame:
     )
 
 
-def group_shares(panel: DataFrame, days: int, need: int) -> DataFrame:
+def group_shares(panel: DataFrame, days: int, need: int, n_groups: int | None = None) -> DataFrame:
     """Share of each group in the complete days of the ``days`` days ending at each cutoff.
 
     A day counts only when every group is known on it. Null when fewer than ``need``
-    days are complete.
+    days are complete. The panel is read for the day totals and again for the groups: pass
+    a staged one.
     """
-    groups = panel.select(F.count_distinct("grp")).scalar()
+    groups = group_count(panel, n_groups)
     complete = panel.groupBy("date").agg((F.count("n") == groups).alias("__ok"))
     marked = panel.join(F.broadcast(complete), "date").withColumn("__n", F.when(F.col("__ok"), F.col("n")))
     w = Window.partitionBy("grp").orderBy("date").rowsBetween(-(days - 1), 0)
