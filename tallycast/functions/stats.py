@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column, WindowSpec
+from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -27,6 +27,50 @@ def rolling(fn, value: Column, w: WindowSpec, size: int, need: int, end: int = 0
     return gated(fn(value).over(frame), F.count(value).over(frame), need)
 
 
+class Running:
+    """Rolling sums as differences of running sums.
+
+    A sliding frame re-adds its rows for every row it moves to; a running sum is one
+    addition per row whatever the window length. Counts are integers, so the differences
+    are exact. Create the running columns in one projection, then read spans from them in
+    the next (same window, so the sort is shared).
+    """
+
+    def __init__(self, w: WindowSpec, values: dict[str, Column]) -> None:
+        self.w = w
+        start = w.rowsBetween(Window.unboundedPreceding, 0)
+        self.columns = {f"__s_{k}": F.coalesce(F.sum(v).over(start), F.lit(0)) for k, v in values.items()}
+        self.columns |= {f"__c_{k}": F.count(v).over(start) for k, v in values.items()}
+
+    def _at(self, name: str, row: int) -> Column:
+        if row == 0:
+            return F.col(name)
+        if row > 0:  # past the end: unknown
+            return F.lead(name, row).over(self.w)
+        return F.coalesce(F.lag(name, -row).over(self.w), F.lit(0))
+
+    def total(self, name: str, first: int, last: int) -> Column:
+        """Sum over rows first..last relative to the current row."""
+        return self._at(f"__s_{name}", last) - self._at(f"__s_{name}", first - 1)
+
+    def known(self, name: str, first: int, last: int) -> Column:
+        return self._at(f"__c_{name}", last) - self._at(f"__c_{name}", first - 1)
+
+    def mean(self, name: str, size: int, need: int, end: int = 0) -> Column:
+        c = self.known(name, end - size + 1, end)
+        return F.when(c >= need, self.total(name, end - size + 1, end).cast("double") / F.nullif(c, F.lit(0)))
+
+    def gated_total(self, name: str, size: int, need: int, end: int = 0) -> Column:
+        return F.when(self.known(name, end - size + 1, end) >= need, self.total(name, end - size + 1, end))
+
+    def sample_sd(self, name: str, square: str, size: int, need: int) -> Column:
+        """ddof 1, from integer sums of values and squares: no rounding before the division."""
+        c = self.known(name, 1 - size, 0)
+        s, q = self.total(name, 1 - size, 0), self.total(square, 1 - size, 0)
+        spread = (c * q - s * s).cast("double")
+        return F.when((c >= need) & (c > 1), F.sqrt(spread / F.nullif(c * (c - 1), F.lit(0))))
+
+
 def strict_sum(cols: list[Column]) -> Column:
     """Row-wise sum, null when any column is null (plain ``+`` does exactly that)."""
     return reduce(add, cols)

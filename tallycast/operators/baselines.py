@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallycast.functions.stats import known_mean, rolling
-from tallycast.operators.features import series, extend, forward_total, horizon_days, with_same_weekday, with_timing
+from tallycast.operators.features import extend, horizon_days, running_counts, series, window_total, with_same_weekday, with_timing
 from tallycast.operators.joins import asof_join
 from tallycast.spec import Setting, min_samples
 
@@ -66,10 +66,10 @@ def plain_mean(setting: Setting, days: int = PLAIN_DAYS, need: int | None = None
 def baseline_wide(panel: DataFrame, setting: Setting, weeks: Sequence[int] = WEEK_CANDIDATES,
                   plain: Sequence[int] = (PLAIN_DAYS,)) -> DataFrame:
     """All cutoffs: timing, ``y_true`` and one forecast column per baseline."""
-    longer = with_same_weekday(extend(panel, horizon_days(setting)), setting, weeks)
-    cols = {f"plain_{d}d": plain_mean(setting, d) for d in plain}
+    longer, run = running_counts(with_same_weekday(extend(panel, horizon_days(setting)), setting, weeks))
+    cols = {f"plain_{d}d": run.mean("n", d, min_samples(d)) * setting.window_days for d in plain}
     wide = longer.select(
-        "date", "grp", "__real", forward_total(F.col("n"), setting).alias("y_true"),
+        "date", "grp", "__real", window_total(run, setting).alias("y_true"),
         *(f"same_wd_{w}w" for w in weeks), *(c.alias(k) for k, c in cols.items()),
     )
     return with_timing(wide.where("__real").drop("__real"), setting)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tallycast.functions.calendar import window_calendar
-from tallycast.functions.stats import rolling, safe_ratio, strict_sum
+from tallycast.functions.stats import Running, rolling, safe_ratio, strict_sum
 from tallycast.spec import Setting, min_samples
 
 # Feature set.
@@ -67,22 +67,19 @@ def extend(panel: DataFrame, days: int) -> DataFrame:
 def with_same_weekday(longer: DataFrame, setting: Setting, weeks: Sequence[int]) -> DataFrame:
     """Add ``same_wd_<w>w``, the same-weekday forecast total of the window of each cutoff row.
 
-    The mean of a target day over the last w usable weeks is one rolling frame over
-    (group, weekday); the window total then sums those means over the target rows. That
-    is a handful of frames instead of weeks x window lags, and the exchange by group
+    The mean of a target day over the last w usable weeks is a difference of running
+    sums over (group, weekday); the window total then sums those means over the target rows. That
+    is a handful of columns instead of weeks x window lags, and the exchange by group
     serves both sorts. ``longer`` comes from :func:`extend`.
     """
     ahead = [setting.gap_days + j for j in range(setting.window_days)]
     runs: dict[int, list[int]] = {}
     for a in ahead:
         runs.setdefault(first_week(a), []).append(a)
-    by_weekday = Window.partitionBy("grp", "__wd").orderBy("date")
-    day = {
-        f"__p_{w}_{f}": rolling(F.avg, F.col("n"), by_weekday, w, min_samples(w), end=-f)
-        for w in weeks
-        for f in runs
-    }
+    run = Running(Window.partitionBy("grp", "__wd").orderBy("date"), {"wd": F.col("n")})
     rows = longer.withColumn("__wd", F.weekday("date"))
+    rows = rows.select("*", *(c.alias(k) for k, c in run.columns.items()))
+    day = {f"__p_{w}_{f}": run.mean("wd", w, min_samples(w), end=-f) for w in weeks for f in runs}
     rows = rows.select("*", *(c.alias(k) for k, c in day.items()))
 
     def total(w: int) -> Column:
@@ -105,19 +102,28 @@ def forward_total(n: Column, setting: Setting) -> Column:
     return F.when(F.count(n).over(frame) == setting.window_days, F.sum(n).over(frame).cast("double"))
 
 
-def level_columns(setting: Setting) -> dict[str, Column]:
-    n, sub = F.col("n"), F.col("n_sub")
-    out = {f"lag_{k}": F.lag(n, k).over(series()).cast("double") for k in range(LAG_COUNT)}
+def running_counts(longer: DataFrame) -> tuple[DataFrame, Running]:
+    """Add the running sums every level feature is read from."""
+    run = Running(series(), {"n": F.col("n"), "sub": F.col("n_sub"), "sq": F.col("n") * F.col("n")})
+    return longer.select("*", *(c.alias(k) for k, c in run.columns.items())), run
+
+
+def window_total(run: Running, setting: Setting) -> Column:
+    """Total over the target window from running sums; null when a day is missing or off the end."""
+    first, last = setting.gap_days, horizon_days(setting)
+    return F.when(run.known("n", first, last) == setting.window_days, run.total("n", first, last).cast("double"))
+
+
+def level_columns(run: Running, setting: Setting) -> dict[str, Column]:
+    out = {f"lag_{k}": F.lag("n", k).over(run.w).cast("double") for k in range(LAG_COUNT)}
     for d in MEAN_DAYS:
-        out[f"mean_{d}d"] = rolling(F.avg, n, series(), d, min_samples(d))
-    out[f"sd_{SD_DAYS}d"] = rolling(F.stddev_samp, n, series(), SD_DAYS, min_samples(SD_DAYS))
+        out[f"mean_{d}d"] = run.mean("n", d, min_samples(d))
+    out[f"sd_{SD_DAYS}d"] = run.sample_sd("n", "sq", SD_DAYS, min_samples(SD_DAYS))
     for w in WEEKDAY_WEEKS:
         out[f"same_wd_{w}w"] = F.col(f"same_wd_{w}w") / setting.window_days
     for d in SHARE_DAYS:
         need = min_samples(d)
-        out[f"sub_share_{d}d"] = safe_ratio(
-            rolling(F.sum, sub, series(), d, need), rolling(F.sum, n, series(), d, need)
-        )
+        out[f"sub_share_{d}d"] = safe_ratio(run.gated_total("sub", d, need), run.gated_total("n", d, need))
     return out
 
 
@@ -147,8 +153,9 @@ def with_timing(df: DataFrame, setting: Setting) -> DataFrame:
 def feature_table(panel: DataFrame, setting: Setting) -> DataFrame:
     """Keys, 18 level and 6 calendar features and the target ``y`` for every cutoff."""
     longer = with_same_weekday(extend(panel, horizon_days(setting)), setting, WEEKDAY_WEEKS)
-    wide = longer.select("date", "grp", "__real", *(c.alias(k) for k, c in level_columns(setting).items()),
-                         forward_total(F.col("n"), setting).alias("y")).where("__real")
+    longer, run = running_counts(longer)
+    wide = longer.select("date", "grp", "__real", *(c.alias(k) for k, c in level_columns(run, setting).items()),
+                         window_total(run, setting).alias("y")).where("__real")
     wide = with_timing(with_ratios(wide), setting)
     wide = window_calendar(wide, "target_start", setting.window_days)
     return wide.select(*KEY_COLUMNS, *LEVEL_COLUMNS, *CALENDAR_COLUMNS, "y")
