@@ -11,10 +11,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ACCURACY = 2000
+ACCURACY = 10000
 MARGIN = 4.0 / ACCURACY
 SMALL = 4 * ACCURACY  # groups this small are resolved without a bracket
 
@@ -25,27 +25,35 @@ def exact_quantiles(
     value: str,
     probs: Mapping[str, float],
     nearest: bool = False,
+    also: Sequence[Column] = (),
 ) -> DataFrame:
     """Exact quantiles of ``value`` by ``keys``: one column per entry of ``probs``.
 
     ``nearest`` picks the element at index ``round(q * (n - 1))``; otherwise the two
-    neighbours are interpolated linearly. Null values are ignored.
+    neighbours are interpolated linearly. Null values are
+    ignored; a key with nothing else gets null. ``also`` lists further
+    (aliased) aggregates of the same rows, computed in the sketch pass: the input is read
+    twice in all.
     """
     keys = list(keys)
     names, qs = list(probs), list(probs.values())
     eps = MARGIN
-    base = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
+    rows = df.withColumn("__v", F.col(value).cast("double"))
+    base = rows.select(*keys, "__v")
     cuts = F.array(*(F.lit(x) for q in qs for x in (max(q - eps, 0.0), min(q + eps, 1.0))))
     # Sketches merge map-side, so a hot key costs no more than any other.
-    sketch = base.groupBy(*keys).agg(
+    sketch = rows.groupBy(*keys).agg(
+        *also,
         F.count("__v").alias("__n"),
         F.percentile_approx("__v", cuts, F.lit(ACCURACY)).alias("__cut"),
         F.min("__v").alias("__min"),
         F.max("__v").alias("__max"),
     )
+    extra = [c for c in sketch.columns if c not in (*keys, "__n", "__cut", "__min", "__max")]
     bracket = sketch.select(
         *keys,
         "__n",
+        F.struct(*extra, F.lit(1).alias("__one")).alias("__x"),
         F.array(
             *(
                 F.struct(
@@ -61,14 +69,15 @@ def exact_quantiles(
         # Keys may be null (rolled-up groups), so the small side carries them renamed.
         small = bracket.withColumnsRenamed({k: f"__k_{k}" for k in keys})
         cond = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys]
-        joined = base.join(small, cond).select(*keys, "__v", "__n", "__q")
+        joined = base.join(small, cond).select(*keys, "__v", "__n", "__x", "__q")
     else:
         joined = base.join(F.broadcast(bracket))  # one row
-    # Values below a bracket only need counting, values above are dropped.
+    # Values below a bracket only need counting; values above it and nulls fold into one
+    # empty row that keeps the key.
     hits = (
-        joined.withColumn("__h", F.explode(F.filter("__q", lambda q: F.col("__v") <= q["hi"])))
-        .select(*keys, "__n", F.col("__h.i").alias("__i"), F.when(F.col("__v") >= F.col("__h.lo"), F.col("__v")).alias("__v"))
-        .groupBy(*keys, "__n", "__i", "__v")
+        joined.withColumn("__h", F.explode_outer(F.filter("__q", lambda q: F.col("__v") <= q["hi"])))
+        .select(*keys, "__n", "__x", F.col("__h.i").alias("__i"), F.when(F.col("__v") >= F.col("__h.lo"), F.col("__v")).alias("__v"))
+        .groupBy(*keys, "__n", "__x", "__i", "__v")
         .agg(F.count(F.lit(1)).alias("__c"))
     )
     order = Window.partitionBy(*keys, "__i").orderBy(F.col("__v").asc_nulls_first())
@@ -76,13 +85,14 @@ def exact_quantiles(
     q = F.element_at(F.array(*(F.lit(x) for x in qs)), F.col("__i") + 1)
     pos = q * (F.col("__n") - 1)
     k0, k1 = (F.round(pos), F.round(pos)) if nearest else (F.floor(pos), F.ceil(pos))
-    at = seen.where(F.col("__v").isNotNull()).groupBy(*keys, "__i", pos.alias("__pos")).agg(
+    at = seen.groupBy(*keys, "__x", "__i", pos.alias("__pos")).agg(
         F.min(F.when(F.col("__cum") > k0, F.col("__v"))).alias("__a"),
         F.min(F.when(F.col("__cum") > k1, F.col("__v"))).alias("__b"),
     )
     frac = F.col("__pos") - F.floor("__pos")
     exact = F.col("__a") if nearest else F.col("__a") + (F.col("__b") - F.col("__a")) * frac
-    return at.groupBy(*keys).agg(*(F.max(F.when(F.col("__i") == i, exact)).alias(n) for i, n in enumerate(names)))
+    out = at.groupBy(*keys, "__x").agg(*(F.max(F.when(F.col("__i") == i, exact)).alias(n) for i, n in enumerate(names)))
+    return out.select(*keys, *(f"__x.{c}" for c in extra), *names)
 
 
 def nearest_rank(values: str, q: float):

@@ -40,9 +40,8 @@ def score(results: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """
     rows = scored(results)
     keys = ["model", *by]
-    plain = rows.groupBy(*keys).agg(*point_scores())
-    med = exact_quantiles(rows, keys, "error", {"median_error": 0.5})
-    return plain.join(med, keys, "left").select(*keys, "n", "mae", "bias", "median_error", "under_share")
+    table = exact_quantiles(rows, keys, "error", {"median_error": 0.5}, also=point_scores())
+    return table.select(*keys, "n", "mae", "bias", "median_error", "under_share")
 
 
 def score_sets(results: DataFrame, sets: Sequence[Sequence[str]]) -> DataFrame:

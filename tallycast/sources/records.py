@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Accepted timestamp layouts, tried in this order.
-TIME_FORMATS = ("yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd")
+# Accepted timestamp layouts, full and date only.
+TIME_PATTERN = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}(T[0-9]{2}:[0-9]{2}:[0-9]{2})?$"
 
 
 def event_schema(longs: Sequence[str], strings: Sequence[str], doubles: Sequence[str], order: Sequence[str]) -> T.StructType:
@@ -28,8 +28,12 @@ def read_events(spark: SparkSession, paths: str | Sequence[str], schema: T.Struc
 
 
 def parse_time(text: Column) -> Column:
-    """First layout that fits, as a zone-less timestamp; null when none does."""
-    return F.coalesce(*(F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in TIME_FORMATS))
+    """Zone-less timestamp of either layout; null when neither fits.
+
+    The cast never passes through the session time zone, so hours skipped by a clock
+    change stay what they are.
+    """
+    return F.when(text.rlike(TIME_PATTERN), text.try_cast("timestamp_ntz"))
 
 
 def with_event_time(df: DataFrame, text: str) -> DataFrame:
