@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallycast.functions.stats import safe_ratio
-from tallycast.operators.profile import append_all
 
 # Quantiles and window of the alert rules.
 LOW_Q, HIGH_Q = 0.10, 0.90
@@ -105,7 +104,3 @@ def class_comparison(days: DataFrame, actual: str = "n") -> DataFrame:
         F.struct(demand_class(F.col(actual), True).alias("category"), F.lit(0).alias("inc"), F.lit(1).alias("str")),
     )).alias("x")).where("x.category is not null")
     return both.groupBy("x.category").agg(F.sum("x.inc").alias("inclusive"), F.sum("x.str").alias("strict"))
-
-
-def union_models(parts: Sequence[DataFrame]) -> DataFrame:
-    return append_all(parts)

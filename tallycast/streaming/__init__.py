@@ -1,4 +1,4 @@
-"""Empty on purpose: every entry point of the reference is a batch job.
+"""Empty on purpose: everything in scope is a batch job.
 
 The daily re-published export is handled by re-running the batch panel, which
 reads only the pruned date range (see ``operators.features.issue_rows``).
