@@ -17,7 +17,7 @@ SAMPLE = ("a04_two_format_times", "b09_window_holidays", "c06_interval_join", "c
 def test_names_and_twins():
     q, o = entry_module.queries(), entry_module.oracle_sql()
     assert set(o) <= set(q) and len(q) > 180
-    assert all(re.fullmatch(r"[a-z]\d\d_[a-z0-9_]+", k) for k in q)
+    assert all(re.fullmatch(r"([a-z]\d\d|op\d+)_[a-z0-9_]+|pipeline", k) for k in q)
 
 
 def test_flagship(spark):
