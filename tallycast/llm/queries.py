@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallycast.llm import bpe, tokenfiles
+from tallycast.llm import bpe, tokenfiles, toxicity
 from tallycast.llm.common import fresh_path, table
+from tallycast.llm.training import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -43,3 +44,10 @@ def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = tokenfiles.write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder)
     read = tokenfiles.read_all(manifest, folder)
     return read.select("doc_id", "start", F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op10_toxicity")
+def toxic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), remainder(3) == 1
+    model = toxicity.fit_on(docs, table(spark, sf_dir, "labels"), held_out)
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
