@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallycast.llm import bpe, tokenfiles, toxicity
+from tallycast.llm import bpe, quality, tokenfiles, toxicity
 from tallycast.llm.common import fresh_path, table
 from tallycast.llm.training import remainder
 
@@ -51,3 +51,10 @@ def toxic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), remainder(3) == 1
     model = toxicity.fit_on(docs, table(spark, sf_dir, "labels"), held_out)
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+@query("op8_quality_rules")
+def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), remainder(4) == 2
+    model = quality.fit_on(docs, table(spark, sf_dir, "labels"), held_out)
+    return quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
