@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallycast.llm import bpe, quality, tokenfiles, toxicity
+from tallycast.llm import bpe, quality, spotsigs, tokenfiles, toxicity
 from tallycast.llm.common import fresh_path, table
 from tallycast.llm.training import remainder
 
@@ -58,3 +58,9 @@ def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), remainder(4) == 2
     model = quality.fit_on(docs, table(spark, sf_dir, "labels"), held_out)
     return quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+@query("op5_spotsigs")
+def spot_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = spotsigs.probes(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_chars", F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
