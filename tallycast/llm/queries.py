@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallycast.llm import bpe, quality, spotsigs, tokenfiles, toxicity
+from tallycast.llm import bpe, neardup, quality, spotsigs, tokenfiles, toxicity
 from tallycast.llm.common import fresh_path, table
 from tallycast.llm.training import remainder
 
@@ -64,3 +64,8 @@ def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def spot_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = spotsigs.probes(table(spark, sf_dir, "documents"))
     return got.select("doc_id", "n_chars", F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+@query("op7_prob_minhash")
+def near_duplicate_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))

@@ -117,8 +117,8 @@ def shingles_of(w: Words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     at = np.repeat(w.first[:-1] - offsets[:-1], each) + np.arange(offsets[-1])
     out = mix(rolled[at])
     for d in np.flatnonzero((count > 0) & (count < k)):
-        h = np.uint64(count[d])
-        for x in w.hash[w.first[d] : w.first[d + 1]]:
-            h = np.multiply(h, STEP) + x
-        out[offsets[d]] = mix(np.array([h], np.uint64))[0]
+        h = count[d : d + 1].astype(np.uint64)
+        for i in range(w.first[d], w.first[d + 1]):
+            h = h * STEP + w.hash[i : i + 1]
+        out[offsets[d]] = mix(h)[0]
     return out, offsets
