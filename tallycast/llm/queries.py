@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallycast.llm import bpe, neardup, quality, spotsigs, tokenfiles, toxicity
+from tallycast.llm import bpe, neardup, quality, sharding, spotsigs, tokenfiles, toxicity
 from tallycast.llm.common import fresh_path, table
 from tallycast.llm.training import remainder
 
@@ -69,3 +69,8 @@ def spot_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_prob_minhash")
 def near_duplicate_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op3_minimax_shards")
+def minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards_by_bytes(table(spark, sf_dir, "documents"))
