@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tallycast.llm.common import columns_free, small_batches
 from tallycast.llm.pretokens import LETTER, NUMBER, OTHER, SPACE, class_table
 from tallycast.llm.training import training_rows
-from tallycast.llm.words import SEP, SEP_CODE, code_points, steps, words_of
+from tallycast.llm.words import SEP, SEP_CODE, code_points, fold, steps, words_of
 
 THRESHOLD = 0.7
 TREES, DEPTH = 20, 3
@@ -77,7 +77,7 @@ def statistics(texts: list[str]) -> np.ndarray:
     bounds = np.append(begin, len(cp))
     chars = (end - begin).astype(float)
     letters, numbers, other, space = (_sums(kind == k, bounds) for k in (LETTER, NUMBER, OTHER, SPACE))
-    low = code_points("".join(c.lower() if len(c.lower()) == 1 else c for c in joined)) if not joined.isascii() else code_points(joined.lower())
+    low = code_points(fold(joined))
     upper = _sums((low != cp) & (kind == LETTER), bounds)
     plain = np.isin(cp, [ord(c) for c in PLAIN_MARKS])
     marks = _sums((kind == OTHER) & ~plain, bounds)

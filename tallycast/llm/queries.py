@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallycast.llm import bpe, decontamination, neardup, quality, sharding, spotsigs, tokenfiles, toxicity
+from tallycast.llm import bpe, decontamination, neardup, passages, quality, sharding, spotsigs, tokenfiles, toxicity
 from tallycast.llm.common import fresh_path, table
 from tallycast.llm.training import remainder
 
@@ -79,3 +79,8 @@ def minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_spaced_seeds", decontamination.ORACLE)
 def benchmark_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key")
+
+
+@query("op1_repeated_passages")
+def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.removals(table(spark, sf_dir, "documents")).drop("node")

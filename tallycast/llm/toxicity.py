@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 
 from tallycast.llm.common import small_batches
 from tallycast.llm.training import training_rows
-from tallycast.llm.words import steps, words_of
+from tallycast.llm.words import SEP, fold, steps, words_of
 
 WINDOW = 200
 THRESHOLD = 0.7
@@ -34,6 +34,8 @@ RATIO, LEAST_TEXTS = 20.0, 5
 #: A text counts as a near copy if this share of its sampled word chains was seen before.
 COPIED = 0.3
 FLAT = 1.0
+#: Labelled rows of each class that are learned from at most: the driver holds their texts.
+TRAIN_ROWS = 2500
 
 
 @dataclass
@@ -99,11 +101,11 @@ def _fresh(texts: list[str]) -> list[int]:
 
 
 def _spelled(texts: list[str]) -> list[list[str]]:
-    out = []
+    out, same = [], {}
     for a, b in steps(texts):
-        joined = "\ud800".join(t.lower() for t in texts[a:b])
+        joined = SEP.join(map(fold, texts[a:b]))
         w = words_of(texts[a:b])
-        spelled = [joined[x:y] for x, y in zip(w.start.tolist(), w.end.tolist())]
+        spelled = [same.setdefault(s, s) for s in (joined[x:y] for x, y in zip(w.start.tolist(), w.end.tolist()))]
         out += [spelled[x:y] for x, y in zip(w.first.tolist(), w.first[1:].tolist())]
     return out
 
@@ -172,8 +174,8 @@ def fit(texts: list[str], labels: list[int]) -> Model:
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, held_out: Column) -> Model:
-    """Fit on a bounded sample of the labelled rows that are not held out (training.TRAIN_ROWS of each class)."""
-    rows = sorted((r.doc_id, r.text, r.label) for r in training_rows(docs, labels, "toxic", held_out).collect())
+    """Fit on a bounded sample of the labelled rows that are not held out (TRAIN_ROWS of each class)."""
+    rows = sorted((r.doc_id, r.text, r.label) for r in training_rows(docs, labels, "toxic", held_out, TRAIN_ROWS).collect())
     order = np.random.default_rng(7).permutation(len(rows))
     return fit([rows[i][1] for i in order], [rows[i][2] for i in order])
 

@@ -68,6 +68,12 @@ def steps(texts: list[str], most: int = STEP_CHARS) -> Iterator[tuple[int, int]]
         yield begin, len(texts)
 
 
+def fold(text: str) -> str:
+    """Lower case of the same length, so that positions stay those of the text."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
 def code_points(joined: str) -> np.ndarray:
     return np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
 
@@ -86,10 +92,9 @@ class Words:
         return np.diff(self.first)
 
 
-def words_of(texts: list[str], lower: bool = True) -> Words:
+def words_of(texts: list[str]) -> Words:
     """Words of texts that together fit one array step."""
-    joined = SEP.join(t.lower() for t in texts) if lower else SEP.join(texts)
-    cp = code_points(joined)
+    cp = code_points(SEP.join(map(fold, texts)))
     n = len(cp)
     inside = np.zeros(n + 2, np.int8)
     inside[1:-1] = word_table()[cp]
