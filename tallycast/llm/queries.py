@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallycast.llm import bpe, decontamination, neardup, passages, quality, sharding, spotsigs, tokenfiles, toxicity
+from tallycast.llm import bpe, decontamination, lm_scoring, neardup, passages, quality, sharding, spotsigs, tokenfiles, toxicity
 from tallycast.llm.common import fresh_path, table
 from tallycast.llm.training import remainder
 
@@ -84,3 +84,10 @@ def benchmark_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_repeated_passages")
 def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.removals(table(spark, sf_dir, "documents")).drop("node")
+
+
+@query("op6_cross_entropy_difference")
+def cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = lm_scoring.fit(docs, lm_scoring.labelled(docs, table(spark, sf_dir, "labels")))
+    return lm_scoring.score(docs, model)
