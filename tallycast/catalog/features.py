@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallycast.catalog import query
+from tallycast.operators.profile import append_all
 from tallycast.catalog.inputs import (
     HOLIDAY_SQL, LINE_PANEL, ORDER_PANEL, SERIES_SQL, SUPP_PANEL, SCORED_SQL, TEST_START, VALIDATION,
     days_sql, feature_ctes, forward_sql, line_panel, order_panel, results_ctes, roll, same_weekday_sql,
@@ -234,19 +235,6 @@ def h09(spark, sf):
     return p.rollup("grp").agg(*aggs).withColumn("grp", F.coalesce(F.col("grp").cast("string"), F.lit("all")))
 
 
-@query("h10_issue_dates", "with s as (" + " union all ".join(
-    f"select '{s.key}' as spec, target_start - {s.lead_days} as issue_date, target_start - {s.gap_days} as cutoff, target_start, target_end from "
-    f"(select date as target_start, date + {s.window_days - 1} as target_end from ({days_sql(chr(39) + START + chr(39), chr(39) + END + chr(39))}) d) t where {schedule_sql(s, START, END)}" for s in (DAILY, WEEKLY, Setting(lead_days=3, window_days=5)))
-    + ") select * from s, (select count(*) as events from events) e")
-def h10(spark, sf):
-    """Schedules of three settings; the events table only supplies a row count to report against."""
-    out = None
-    for s in (DAILY, WEEKLY, Setting(lead_days=3, window_days=5)):
-        one = B.issue_dates(spark, START, END, s).select(F.lit(s.key).alias("spec"), "*")
-        out = one if out is None else out.unionByName(one)
-    return out.withColumn("events", table(spark, sf, "events").select(F.count(F.lit(1))).scalar())
-
-
 def _span_issues(spark, sf, setting):
     """Issue dates over the whole span of the orders table."""
     p = order_panel(spark, sf)
@@ -263,6 +251,15 @@ def _iss(s):
     return _ISS.format(lead=s.lead_days, gap=s.gap_days, w1=s.window_days - 1, sched=schedule_sql(s, START, END))
 
 
+_THREE = (DAILY, WEEKLY, Setting(lead_days=3, window_days=5))
+
+
+@query("h10_issue_dates", " union all ".join(f"select * from (with {ORDER_PANEL}, {_iss(s)} select '{s.key}' as spec, * from iss) q{i}" for i, s in enumerate(_THREE)))
+def h10(spark, sf):
+    """Schedules of three settings over the days of the orders."""
+    return append_all([_span_issues(spark, sf, s)[1].select(F.lit(s.key).alias("spec"), "*") for s in _THREE])
+
+
 @query("h11_actual_totals", f"with {ORDER_PANEL}, {_iss(WEEKLY)}, w as (select issue_date, target_start + cast(j as integer) as date from iss cross join (select unnest(generate_series(0, 6)) as j) r) "
        "select w.issue_date, panel.grp, case when count(n) = 7 then cast(sum(n) as double) end as y_true from w join panel on panel.date = w.date group by 1, 2")
 def h11(spark, sf):
@@ -329,7 +326,8 @@ def b07(spark, sf):
 @query("b08_holidays", f"with {HOLIDAY_SQL}, y as (select distinct cast(year(o_orderdate) as bigint) as yr from orders) select holiday, count(*) over (partition by year(holiday)) as in_year from hol where year(holiday) in (select yr from y)")
 def b08(spark, sf):
     years = table(spark, sf, "orders").select(F.year("o_orderdate").alias("yr")).distinct()
-    hol = cal.holiday_table(spark, 1990, 2030).select("holiday", F.count(F.lit(1)).over(Window.partitionBy(F.year("holiday"))).alias("in_year"))
+    span = years.agg(F.min("yr").alias("lo"), F.max("yr").alias("hi")).first()
+    hol = cal.holiday_table(spark, span.lo, span.hi).select("holiday", F.count(F.lit(1)).over(Window.partitionBy(F.year("holiday"))).alias("in_year"))
     return hol.join(years, F.year("holiday") == F.col("yr"), "left_semi")
 
 

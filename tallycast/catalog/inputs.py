@@ -13,12 +13,19 @@ from tallycast.spec import Setting, min_samples
 VALIDATION = ("1996-01-01", "1999-12-31")
 SCORED = ("1997-01-01", "1999-12-31")
 TEST_START = "2000-01-01"
+TEST_END = "2001-11-04"  # last day of the panel
 BREAK_DATE = "2000-10-01"
 
 LINE_KEEP = (1, 2, 3, 4, 5, 6, 7)
 ORDER_KEEP = (1, 2, 3, 4, 5)
 
 
+def months_between(start: str, end: str) -> tuple[str, ...]:
+    """First days of the months of a period that begins with a month."""
+    (y, m), (last_y, last_m) = (map(int, d.split("-")[:2]) for d in (start, end))
+    return tuple(f"{k // 12}-{k % 12 + 1:02d}-01" for k in range(y * 12 + m - 1, last_y * 12 + last_m))
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 

@@ -173,10 +173,9 @@ def l13h(spark, sf):
     return L.upload_hours(uploads(spark, sf), "America/Toronto")
 
 
-@query("l13_days_without", "with d as (select distinct cast(ts as date) as date from events where event_type = 'error' and value > 250), s as (select cast(unnest(generate_series((select min(date) from d)::timestamp, (select max(date) from d)::timestamp, interval 1 day)) as date) as date) select date from s where date not in (select date from d)")
+@query("l13_days_without", "with d as (select distinct cast(o_orderdate as date) as date from orders), s as (select cast(unnest(generate_series((select min(date) from d)::timestamp, (select max(date) from d)::timestamp, interval 1 day)) as date) as date) select date from s where date not in (select date from d)")
 def l13d(spark, sf):
-    ev = table(spark, sf, "events").where("event_type = 'error' and value > 250")
-    return L.days_without(ev, F.to_date("ts"))
+    return L.days_without(table(spark, sf, "orders"), F.to_date("o_orderdate"))
 
 
 @query("l13_residuals", f"with {_UP} select count(*) as uploads, max(abs(residual_share)) as abs_max, min(residual_share) as min, median(residual_share) as median, quantile_cont(abs(residual_share), 0.95) as abs_q95 from mt")

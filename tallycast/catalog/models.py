@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallycast.catalog import query
-from tallycast.catalog.inputs import BREAK_DATE, LINE_KEEP, ORDER_PANEL, TEST_START, line_panel, order_panel, roll, same_weekday_sql, staged, supplier_panel
+from tallycast.catalog.inputs import BREAK_DATE, LINE_KEEP, ORDER_PANEL, TEST_END, TEST_START, VALIDATION, line_panel, months_between, order_panel, roll, same_weekday_sql, staged, supplier_panel
 from tallycast.models import learners as L
 from tallycast.models import linear, negbin, smoothing
 from tallycast.operators import features as X
@@ -15,8 +15,8 @@ from tallycast.plans import tuning as T
 from tallycast.sources.sinks import stage
 from tallycast.spec import DAILY, WEEKLY
 
-SPAN = ("1998-01-01", "1999-12-31")
-MONTHS = ("1999-11-01", "1999-12-01")
+SPAN = VALIDATION
+MONTHS = months_between(*VALIDATION)
 
 
 def line_features(spark, sf):
@@ -30,8 +30,7 @@ def j01(spark, sf):
 
 
 def _learner(name):
-    return lambda spark, sf: L.monthly_backtest(line_features(spark, sf), L.select_configs([name])[0], DAILY, MONTHS,
-                                                {"maxIter": 10, "stepSize": 0.1} if name.startswith("gbt") else {})
+    return lambda spark, sf: L.monthly_backtest(line_features(spark, sf), L.select_configs([name])[0], DAILY, MONTHS)
 
 
 for _q, _m in (("j02_boosted_l2_raw", "gbt_l2_raw"), ("j02_boosted_l1_raw", "gbt_l1_raw"), ("j03_boosted_ratio", "gbt_l1"),
@@ -87,14 +86,14 @@ def j10e(spark, sf):
 @query("k08_holdout_scores")
 def k08(spark, sf):
     panel = staged(line_panel(spark, sf))
-    rows = stage(H.holdout_results(panel, DAILY, TEST_START, "2001-06-30", BREAK_DATE), "holdout")
+    rows = stage(H.holdout_results(panel, DAILY, TEST_START, TEST_END, BREAK_DATE), "holdout")
     return H.holdout_scores(H.require_both_periods(rows))
 
 
 # The trial grid; trial 0 holds the defaults.
 GRID = ({"regParam": 1e-4, "variancePower": 1.5}, {"regParam": 1e-2, "variancePower": 1.5}, {"regParam": 0.1, "variancePower": 1.5},
         {"regParam": 1e-4, "variancePower": 1.2}, {"regParam": 1e-2, "variancePower": 1.2}, {"regParam": 1.0, "variancePower": 1.8})
-TUNE_MONTHS = ("1998-09-01", "1998-10-01", "1998-11-01", "1998-12-01")
+TUNE_MONTHS = months_between("1998-01-01", "1998-12-31")
 
 
 @query("k10_tuning_trials")

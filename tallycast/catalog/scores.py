@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallycast.catalog import query
-from tallycast.catalog.inputs import BREAK_DATE, LINE_PANEL, ORDER_PANEL, SCORED_SQL, TEST_START, VALIDATION, line_panel, order_panel, results_ctes
+from tallycast.catalog.inputs import BREAK_DATE, LINE_PANEL, ORDER_PANEL, SCORED_SQL, TEST_END, TEST_START, VALIDATION, line_panel, order_panel, results_ctes
 from tallycast.catalog.joins import _CAL, anomaly_calendar
 from tallycast.functions.stats import rolling
 from tallycast.operators import ensemble as E
@@ -103,11 +103,11 @@ def e15(spark, sf):
     return d.select("model", "date", *(rolling(F.avg, F.col(c), w, 7, 7).alias(f"{c}_7d") for c in ("actual", "forecast")))
 
 
-_TEST = f"{results_ctes(LINE_PANEL, DAILY, TEST_START, '2001-06-30', (13,))}, {SCORED_SQL}"
+_TEST = f"{results_ctes(LINE_PANEL, DAILY, TEST_START, TEST_END, (13,))}, {SCORED_SQL}"
 
 
 def test_results(spark, sf):
-    return rolling_origin(line_panel(spark, sf), DAILY, TEST_START, "2001-06-30", (13,), test_start=TEST_START, allow_test=True)
+    return rolling_origin(line_panel(spark, sf), DAILY, TEST_START, TEST_END, (13,), test_start=TEST_START, allow_test=True)
 
 
 @query("k07_break_periods", f"with {_TEST}, p as (select *, case when target_start < date '{BREAK_DATE}' then 'before_break' else 'after_break' end as period, strftime(target_start, '%Y-%m') as year_month from sc) "
@@ -118,12 +118,12 @@ def k07(spark, sf):
 
 
 @query("k08_break_bootstrap", " union all ".join(
-    f"(select '{p}' as period, q.* from ({_boot_sql(_TEST.replace('where y_true is not null', f'where y_true is not null and target_start {op} date {chr(39)}{BREAK_DATE}{chr(39)}'), 'plain_28d', 'same_wd_13w', 500)}) q)"
+    f"(select '{p}' as period, q.* from ({_boot_sql(_TEST.replace('where y_true is not null', f'where y_true is not null and target_start {op} date {chr(39)}{BREAK_DATE}{chr(39)}'), 'plain_28d', 'same_wd_13w', 2000)}) q)"
     for p, op in (("before_break", "<"), ("after_break", ">="))))
 def k08b(spark, sf):
     r = E.with_period(test_results(spark, sf), BREAK_DATE)
     return append_all([
-        M.paired_bootstrap(r.where(F.col("period") == p), "plain_28d", "same_wd_13w", 500).select(F.lit(p).alias("period"), "*")
+        M.paired_bootstrap(r.where(F.col("period") == p), "plain_28d", "same_wd_13w", 2000).select(F.lit(p).alias("period"), "*")
         for p in (E.BEFORE, E.AFTER)])
 
 

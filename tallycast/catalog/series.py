@@ -63,7 +63,7 @@ def q07(spark, sf):
 
 @query("q08_median_polish")
 def q08(spark, sf):
-    return D.polish_summary(D.median_polish(D.monthly_log_table(line_panel(spark, sf)), max_iter=6), "2001-01-01")
+    return D.polish_summary(D.median_polish(D.monthly_log_table(line_panel(spark, sf))), "2001-01-01")
 
 
 _GAP = "g as (select date, grp, case when n > 0 then n end as v from panel)"

@@ -92,10 +92,7 @@ def holiday_table(spark: SparkSession, first_year: int, last_year: int) -> DataF
     return years.select(F.explode(pairs).alias("h")).select("h.holiday", "h.name")
 
 
-HOLIDAY_YEARS = (1900, 2200)
-
-
-def marked_days(spark: SparkSession, years: tuple[int, int] = HOLIDAY_YEARS) -> DataFrame:
+def marked_days(spark: SparkSession, years: tuple[int, int]) -> DataFrame:
     """Days that matter to the holiday features: ``day, holiday, adjacent`` (24 rows a year at most)."""
     hol = holiday_table(spark, *years).select(
         F.explode(F.array(
@@ -107,13 +104,13 @@ def marked_days(spark: SparkSession, years: tuple[int, int] = HOLIDAY_YEARS) ->
     return hol.groupBy("m.day").agg(F.max("m.is").alias("holiday")).withColumn("adjacent", ~F.col("holiday"))
 
 
-def window_counts(spark: SparkSession, window_days: int) -> DataFrame:
+def window_counts(spark: SparkSession, window_days: int, years: tuple[int, int]) -> DataFrame:
     """Holiday and adjacent days of the windows that hold any: ``start, holidays, holiday_adjacent``.
 
-    Built from the rules alone (every marked day reaches ``window_days`` starts), so it
-    never reads the data and its size is fixed by the year span.
+    Built from the rules (every marked day reaches ``window_days`` starts); its size is
+    fixed by the year span.
     """
-    marks = marked_days(spark)
+    marks = marked_days(spark, years)
     reach = F.sequence(F.date_sub("day", window_days - 1), F.col("day"))
     return marks.select(F.explode(reach).alias("start"), "holiday", "adjacent").groupBy("start").agg(
         F.count_if("holiday").alias("holidays"), F.count_if("adjacent").alias("holiday_adjacent"))
@@ -123,10 +120,12 @@ def window_calendar(df: DataFrame, start: str, window_days: int) -> DataFrame:
     """Add calendar facts of windows starting on ``start``.
 
     Weekday, month and wave describe the first day; the holiday and adjacent counts
-    cover the window (years ``HOLIDAY_YEARS``).
+    cover the window. The years are those of the starts, read first.
     """
     s = F.col(start)
-    counts = F.broadcast(window_counts(df.sparkSession, window_days).withColumnRenamed("start", "__s"))
+    span = df.agg(F.min(F.year(s)).alias("lo"), F.max(F.year(s)).alias("hi")).first()
+    years = (span.lo - 1, span.hi + 1 + window_days // 365) if span.lo is not None else (2000, 2000)
+    counts = F.broadcast(window_counts(df.sparkSession, window_days, years).withColumnRenamed("start", "__s"))
     sin, cos = yearly_wave(s)
     zero = F.lit(0).cast("bigint")
     return df.join(counts, s == F.col("__s"), "left").drop("__s").withColumns(

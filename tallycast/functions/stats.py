@@ -66,7 +66,7 @@ class Running:
     def sample_sd(self, name: str, square: str, size: int, need: int) -> Column:
         """ddof 1, from integer sums of values and squares: no rounding before the division."""
         c = self.known(name, 1 - size, 0)
-        s, q = self.total(name, 1 - size, 0), self.total(square, 1 - size, 0)
+        s, q = self.total(name, 1 - size, 0).cast("decimal(19,0)"), self.total(square, 1 - size, 0)  # squares outgrow 64 bits
         spread = (c * q - s * s).cast("double")
         return F.when((c >= need) & (c > 1), F.sqrt(spread / F.nullif(c * (c - 1), F.lit(0))))
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,12 +17,14 @@ from pyspark.sql import functions as F
 
 from tallycast.functions.stats import log_ratio, one_hot, safe_ratio
 from tallycast.models.gram import collect_gram, solve
-from tallycast.models.learners import median_column, month_issues, month_training
+from tallycast.models.learners import FIT_THREADS, median_column, month_issues, month_training
 from tallycast.operators.profile import append_all
 from tallycast.spec import Setting
 
 # Floor of the log ratios.
 RATIO_FLOOR = 0.05
+# Largest linear predictor, apart from the offset, that a step may reach.
+FAR = 30.0
 
 
 def design(groups: Sequence[int], share_fill: float) -> dict[str, Column]:
@@ -54,7 +57,7 @@ class Fit:
         return F.when(F.col("mean_28d") > 0, F.exp(eta))
 
 
-def fit(train: DataFrame, groups: Sequence[int], setting: Setting, rounds: int = 4, steps: int = 4) -> Fit:
+def fit(train: DataFrame, groups: Sequence[int], setting: Setting, rounds: int = 50, steps: int = 50) -> Fit:
     """IRLS for fixed dispersion inside, method-of-moments dispersion outside."""
     fill = median_column(train, "sub_share_28d")
     cols = design(groups, fill)
@@ -68,16 +71,22 @@ def fit(train: DataFrame, groups: Sequence[int], setting: Setting, rounds: int =
                 work = _working(base, names, beta, alpha)
                 g = collect_gram(work, [*names, "z"], "w")
                 new = solve(g[:-1, :-1], g[:-1, -1])
+                while base.agg(F.max(F.abs(_linear(names, new)))).first()[0] > FAR:  # halve a step that leaves the range
+                    new = (new + beta) / 2
                 moved = float(np.abs(new - beta).max())
                 beta = new
-                if moved < 1e-8:
+                if moved < 1e-6:
                     break
+            else:
+                raise RuntimeError("negative-binomial coefficients did not settle")
             mu = F.exp(_linear(names, beta) + F.col("off"))
             row = base.select(((F.pow(F.col("y") - mu, 2) - mu) / (mu * mu)).alias("a")).agg(F.sum("a"), F.count("a")).first()
             new_alpha = max(row[0] / max(row[1] - len(names), 1), 0.0) if row[1] else 0.0
             done, alpha = math.isclose(alpha, new_alpha, rel_tol=1e-6, abs_tol=1e-9), new_alpha
             if done:
                 break
+        else:
+            raise RuntimeError("negative-binomial dispersion did not settle")
     finally:
         base.unpersist()
     if not np.isfinite(beta).all():
@@ -94,16 +103,17 @@ def _linear(names: Sequence[str], beta: np.ndarray) -> Column:
 
 def _working(base: DataFrame, names: Sequence[str], beta: np.ndarray, alpha: float) -> DataFrame:
     lin = _linear(names, beta)
-    step = base.withColumn("lin", F.greatest(F.lit(-30.0), F.least(F.lit(30.0), lin))).withColumn("mu", F.exp(F.col("lin") + F.col("off")))
+    step = base.withColumn("lin", lin).withColumn("mu", F.exp(F.col("lin") + F.col("off")))
     return step.withColumns(
         {"z": F.col("lin") + (F.col("y") - F.col("mu")) / F.col("mu"), "w": F.col("mu") / (1 + F.lit(float(alpha)) * F.col("mu"))})
 
 
 def monthly_backtest(features: DataFrame, groups: Sequence[int], setting: Setting, months: Sequence[str], name: str = "nb_glm") -> DataFrame:
-    parts = []
-    for month in months:
+    def of_month(month: str) -> DataFrame:
         model = fit(month_training(features, month, setting), groups, setting)
-        parts.append(month_issues(features, month).select(
+        return month_issues(features, month).select(
             F.lit(setting.key).alias("spec"), F.lit(name).alias("model"), "issue_date", "cutoff", "target_start",
-            setting.end_of_issue(F.col("issue_date")).alias("target_end"), "grp", F.col("y").alias("y_true"), model.mean(setting).alias("y_pred")))
-    return append_all(parts)
+            setting.end_of_issue(F.col("issue_date")).alias("target_end"), "grp", F.col("y").alias("y_true"), model.mean(setting).alias("y_pred"))
+
+    with ThreadPoolExecutor(FIT_THREADS) as pool:  # months are independent
+        return append_all(list(pool.map(of_month, months)))

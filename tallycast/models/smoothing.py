@@ -19,6 +19,8 @@ from tallycast.spec import Setting
 
 # Week length, days needed for a fit and for a forecast, AR order.
 WEEK, MIN_FIT_DAYS, MIN_DAYS, ORDER = 7, 91, 14, 7
+# Fixed value: keeps the error terms solvable with few rows.
+RIDGE = 1e-9
 GRID = [(a, g) for a in (0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.45, 0.6, 0.8) for g in (0.0, 0.01, 0.03, 0.06, 0.1, 0.2) if g <= 1 - a]
 
 
@@ -153,7 +155,8 @@ def ar_forecasts(panel: DataFrame, setting: Setting, start: str, end: str) -> Da
             u = y - x @ beta
             past = np.lib.stride_tricks.sliding_window_view(u[:stop], ORDER + 1)
             past = past[~np.isnan(past).any(axis=1)]
-            phi = np.linalg.lstsq(past[:, :ORDER], past[:, ORDER], rcond=None)[0] if len(past) > 3 * ORDER else np.zeros(ORDER)
+            lags = past[:, :ORDER]  # a trace of ridge: few rows give small terms, none give zero
+            phi = np.linalg.solve(lags.T @ lags + RIDGE * np.eye(ORDER), lags.T @ past[:, ORDER])
             for i in np.flatnonzero(firsts == first):
                 now = issues[i] - lag - day0  # position of the cutoff
                 tail = list(np.nan_to_num(u[max(now - 60, 0) : now + 1]))  # an unknown error has mean zero

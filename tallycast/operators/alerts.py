@@ -38,8 +38,11 @@ def expanding_thresholds(panel: DataFrame, first_month: str, last_month: str, q:
     usable = F.greatest(F.when(at == reach, reach).otherwise(F.add_months(at, 1)), lo)
     rows = panel.select("grp", "n", usable.alias("month")).where(F.col("month") <= hi)
     w = Window.partitionBy("grp").orderBy("month").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    # One row without a count for every (group, month), so months beyond the last day are there, too.
+    months = F.explode(F.sequence(F.trunc(lo, "month"), hi, F.expr("interval 1 month")))
+    empty = panel.select("grp").distinct().select("grp", F.lit(None).cast(panel.schema["n"].dataType).alias("n"), months.alias("month")).where((F.col("month") >= lo) & (F.col("month") <= hi))
+    rows = rows.unionByName(empty)
     stepped = rows.select("grp", "month", F.percentile("n", F.lit(q)).over(w).alias("threshold"), F.count("n").over(w).alias("known_days"))
-    # A dense panel reaches every month's bucket, so one row per (group, month) remains.
     return stepped.groupBy("grp", "month").agg(F.max("threshold").alias("threshold"), F.max("known_days").alias("known_days"))
 
 

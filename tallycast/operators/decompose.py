@@ -75,13 +75,10 @@ def stl(y: np.ndarray, period: int = 7, seasonal: int = 7, trend: int = 29, roun
     return seas, trend_c, y - seas - trend_c
 
 
-MIN_DAYS = 29
-
-
 def decompose(panel: DataFrame, period: int = 7, trend: int = 29) -> DataFrame:
     """Robust decomposition of every series: one task per series, millions of series.
 
-    Interior missing days are interpolated first; series without two full trend windows
+    Interior missing days are interpolated first; series without two full periods
     keep a null remainder.
     """
     filled = interpolate(panel, "n", "filled").where("filled is not null").select("date", "grp", "n", "filled")
@@ -89,7 +86,7 @@ def decompose(panel: DataFrame, period: int = 7, trend: int = 29) -> DataFrame:
     def per_series(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date")
         y = pdf["filled"].to_numpy(float)
-        parts = stl(y, period, 7, trend) if len(y) >= 2 * MIN_DAYS else (np.full(len(y), np.nan),) * 3
+        parts = stl(y, period, 7, trend) if len(y) >= 2 * period else (np.full(len(y), np.nan),) * 3
         out = pdf[["date", "grp", "n"]].copy()
         out["seasonal"], out["trend"], out["resid"] = parts
         return out
@@ -147,8 +144,8 @@ def median_polish(table: DataFrame, max_iter: int = 20, tol: float = 1e-9, many_
     for _ in range(max_iter):
         state = stage(sweep(sweep(state, "month", "month_effect"), "grp", "group_effect"), "polish")
         if (state.select(F.max("moved")).first()[0] or 0.0) < tol:
-            break
-    return state.drop("moved")
+            return state.drop("moved")
+    raise RuntimeError(f"medians still move after {max_iter} rounds")
 
 
 def polish_summary(polished: DataFrame, late_from: str) -> DataFrame:

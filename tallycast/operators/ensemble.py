@@ -214,7 +214,7 @@ def weight_summary(weights: DataFrame, members: Sequence[str]) -> DataFrame:
     """Mean, min and max weight per member over the refits."""
     names = [f"w_{m}" for m in members]
     long = weights.select("month", *names).unpivot("month", names, "member", "weight")
-    return long.groupBy(F.substring(F.col("member"), 3, 200).alias("member")).agg(
+    return long.groupBy(F.expr("substring(member, 3)").alias("member")).agg(
         F.avg("weight").alias("mean"), F.min("weight").alias("min"), F.max("weight").alias("max"))
 
 

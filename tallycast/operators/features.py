@@ -104,7 +104,7 @@ def forward_total(n: Column, setting: Setting) -> Column:
 
 def running_counts(longer: DataFrame) -> tuple[DataFrame, Running]:
     """Add the running sums every level feature is read from."""
-    run = Running(series(), {"n": F.col("n"), "sub": F.col("n_sub"), "sq": F.col("n") * F.col("n")})
+    run = Running(series(), {"n": F.col("n"), "sub": F.col("n_sub"), "sq": F.col("n").cast("decimal(19,0)") * F.col("n").cast("decimal(19,0)")})
     return longer.select("*", *(c.alias(k) for k, c in run.columns.items())), run
 
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallycast.sources.sinks import stage
+
 
 def records(df: DataFrame, day: Column, group: Column, subset: Column | None = None) -> DataFrame:
     """Project raw events to ``date, grp, sub``; only these columns reach the scan."""
@@ -31,14 +33,15 @@ def daily_panel(recs: DataFrame, keep: Sequence | None = None) -> DataFrame:
     No calendar x group product is built and the exchange is reused by any later window
     over ``grp`` / ``date``.
     """
-    observed = observed_dates(recs)
-    lo, hi = observed.select(F.min("date")).scalar(), observed.select(F.max("date")).scalar()
-    wanted = recs.where(F.col("date").isNotNull() & F.col("grp").isNotNull())
-    if keep is not None:
-        wanted = wanted.where(F.col("grp").isin(list(keep)))
-    counts = wanted.groupBy("date", "grp").agg(
+    every = recs.where(F.col("date").isNotNull()).groupBy("date", "grp").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("sub")).alias("n_sub")
     )
+    every = stage(every, "counts")  # the only scan of the events; a row per day and group is read from here on
+    observed = observed_dates(every)
+    lo, hi = observed.select(F.min("date")).scalar(), observed.select(F.max("date")).scalar()
+    counts = every.where(F.col("grp").isNotNull())
+    if keep is not None:
+        counts = counts.where(F.col("grp").isin(list(keep)))
     if keep is not None:
         # A sentinel the day before the calendar keeps groups without any record.
         kind = recs.schema["grp"].dataType.simpleString()

@@ -12,7 +12,9 @@ def fingerprint(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     A file is hashed whole, so this is meant for exports of up to about 1 GB per file.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("path"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
+    root = path.rstrip("/").rsplit("/", 1)[-1]  # a file is named relative to the folder given
+    inside = F.substring_index(F.col("path"), f"/{root}/", -1)
+    return files.select(inside.alias("path"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
 
 
 def diff(expected: DataFrame, actual: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from tallycast.functions import calendar as C
 from tallycast.operators import baselines as B
 from tallycast.operators import features as X
 from tallycast.plans.backtest import require_forecasts, rolling_origin
-from tallycast.spec import DAILY, WEEKLY, Setting, daily_leads, label_columns, label_of, label_path, min_samples, parse_label
+from tallycast.spec import DAILY, WEEKLY, Setting, daily_leads, label_columns, min_samples
 
 
 @pytest.fixture(scope="module")
@@ -109,12 +109,6 @@ def test_settings():
         Setting(lead_days=0)
     assert DAILY.key == "lag2_lead1_win1" and DAILY.gap_days == 3
     assert [s.lead_days for s in daily_leads(3)] == [1, 2, 3]
-    assert parse_label("weekly") == WEEKLY and label_of(parse_label("lead1")) == "v2" and label_of(Setting(lead_days=30)) == "lead30"
-    for bad in ("lead0", "lead", "monthly", "lead01"):
-        with pytest.raises(ValueError):
-            parse_label(bad)
-    assert label_path("out/models_v2.json", "lead7") == "out/models_lead7.json"
-    assert label_path("out/report.json", "weekly") == "out/report_weekly.json"
 
 
 def test_label_columns(spark):
