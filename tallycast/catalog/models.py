@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallycast.catalog import query
-from tallycast.catalog.inputs import BREAK_DATE, LINE_KEEP, ORDER_PANEL, TEST_END, TEST_START, VALIDATION, line_panel, months_between, order_panel, roll, same_weekday_sql, staged, supplier_panel
+from tallycast.catalog.inputs import BREAK_DATE, LINE_KEEP, LINE_PANEL, ORDER_PANEL, TEST_END, TEST_START, VALIDATION, line_panel, months_between, order_panel, roll, same_weekday_sql, staged, supplier_panel
 from tallycast.models import learners as L
 from tallycast.models import linear, negbin, smoothing
 from tallycast.operators import features as X
 from tallycast.operators import metrics as M
 from tallycast.plans import holdout as H
 from tallycast.plans import tuning as T
+from tallycast.plans.registry import registry_run
 from tallycast.sources.sinks import stage
 from tallycast.spec import DAILY, WEEKLY
 
@@ -73,6 +74,18 @@ _LIVE = (f"{ORDER_PANEL}, x as (select date, grp, n, {roll('avg', 'n', 28, 20)}
          "f as (select *, cast(round((same_wd_13w + plain_28d + topdown_plain) / 3.0) as bigint) as forecast from e)")
 
 
+_SERIES_MODELS = ("linear", "ets_weekly", "ar_calendar", "topdown_ets")
+
+
+@query("j09_registry_run", f"with {LINE_PANEL} select model, cast(date_trunc('month', date - 1) as date) as month, count(*) as n from panel cross join (values "
+       + ", ".join(f"('{m}')" for m in _SERIES_MODELS) + f") v(model) where n is not null and date between date '{VALIDATION[0]}' and date '{VALIDATION[1]}' group by 1, 2")
+def j09(spark, sf):
+    """Scored rows of each registered model and issue month of one run."""
+    rows = registry_run(staged(line_panel(spark, sf)), _SERIES_MODELS, DAILY, *VALIDATION, LINE_KEEP)
+    done = rows.where("y_true is not null and y_pred is not null")
+    return done.groupBy("model", F.trunc("issue_date", "month").alias("month")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("j10_live_forecast", f"with {_LIVE} select * from f union all select issue_date, target_start, 'All', sum(same_wd_13w), sum(plain_28d), sum(topdown_plain), cast(sum(forecast) as bigint) from f group by 1, 2")
 def j10(spark, sf):
     return H.live_forecast(staged(order_panel(spark, sf)), DAILY)

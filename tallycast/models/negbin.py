@@ -65,14 +65,15 @@ def fit(train: DataFrame, groups: Sequence[int], setting: Setting, rounds: int =
     base = train.select(*(c.alias(k) for k, c in cols.items()), F.col("y").cast("double").alias("y"),
                         F.log(F.col("mean_28d") * setting.window_days).alias("off")).persist()
     beta, alpha = np.zeros(len(names)), 0.0
+    reach = np.array([x or 0.0 for x in base.agg(*(F.max(F.abs(c)) for c in names)).first()])
     try:
         for _ in range(rounds):
             for _ in range(steps):
                 work = _working(base, names, beta, alpha)
                 g = collect_gram(work, [*names, "z"], "w")
                 new = solve(g[:-1, :-1], g[:-1, -1])
-                while base.agg(F.max(F.abs(_linear(names, new)))).first()[0] > FAR:  # halve a step that leaves the range
-                    new = (new + beta) / 2
+                while float(np.abs(new) @ reach) > FAR and base.agg(F.max(F.abs(_linear(names, new)))).first()[0] > FAR:
+                    new = (new + beta) / 2  # halve a step that leaves the range
                 moved = float(np.abs(new - beta).max())
                 beta = new
                 if moved < 1e-6:

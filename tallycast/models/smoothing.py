@@ -119,7 +119,9 @@ def smoothing_forecasts(panel: DataFrame, setting: Setting, start: str, end: str
 def calendar_rows(panel: DataFrame, setting: Setting) -> DataFrame:
     """Daily rows with calendar regressors, extended past the end by the forecast horizon."""
     longer = extend(panel, horizon_days(setting))
-    marks = F.broadcast(marked_days(panel.sparkSession).withColumnRenamed("day", "date"))
+    span = longer.agg(F.min(F.year("date")).alias("lo"), F.max(F.year("date")).alias("hi")).first()
+    years = (span.lo - 1, span.hi + 1) if span.lo is not None else (2000, 2000)
+    marks = F.broadcast(marked_days(panel.sparkSession, years).withColumnRenamed("day", "date"))  # a few days a year
     d = F.col("date")
     cols = {f"weekday_{k}": (iso_weekday(d) == k).cast("double") for k in range(2, 8)} | fourier(d, 3)
     cols |= {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ("holiday", "adjacent")}
