@@ -26,6 +26,8 @@ MASKS = ("111101001", "100110111")
 SPAN = 9
 #: Benchmark words of one block; the seeds of a block are broadcast, two for each word.
 BLOCK_WORDS = 200_000
+#: Stands for a null doc_id.
+LOWEST = -(2**63)
 
 
 def word_hashes(text: str) -> Column:
@@ -34,55 +36,56 @@ def word_hashes(text: str) -> Column:
 
 
 def _seeded(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """One row a position and mask: the kept columns, `at` and `seed`."""
+    """One row a position and mask: the kept columns, `at` and `seed`. The words stay behind, so rows are small."""
     last = F.size("words") - SPAN
     places = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
     placed = rows.select(*keep, "words", F.explode(places).alias("at"))
     of_mask = [F.xxhash64(F.lit(m), *[F.get("words", F.col("at") + j) for j, c in enumerate(mask) if c == "1"]) for m, mask in enumerate(MASKS)]
-    return placed.select("*", F.explode(F.array(*of_mask)).alias("seed"))
+    return placed.select(*keep, "at", F.explode(F.array(*of_mask)).alias("seed"))
 
 
-def _around(hits: DataFrame) -> DataFrame:
-    """Adds to each hit the first and last equal word, by item position, of the accepted windows that hold it."""
-    reach = WINDOW - 1
+def _accepted(aligned: DataFrame) -> DataFrame:
+    """Adds the first and last equal word, by item position, of the accepted windows of an alignment (words, item_words, shift)."""
+    count = F.size("item_words")
+    same = F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.coalesce(F.get("words", k + F.col("shift")) == F.get("item_words", k), F.lit(False)).cast("int"))
+    compared = aligned.withColumn("equal", same)
 
-    def equal(o: Column) -> Column:
-        return F.coalesce(F.get("words", F.col("at") + o) == F.get("item_words", F.col("item_at") + o), F.lit(False)).cast("int")
+    def held(k: Column) -> Column:  # equal words of the window that begins with word k
+        return F.aggregate(F.slice("equal", k + 1, WINDOW), F.lit(0), lambda s, x: s + x)
 
-    compared = hits.withColumn("equal", F.transform(F.sequence(F.lit(-reach), F.lit(reach)), equal))
-
-    def held(o: Column) -> Column:  # equal words of the window that begins o words from the hit
-        return F.aggregate(F.slice("equal", o + reach + 1, WINDOW), F.lit(0), lambda s, x: s + x)
-
-    begins = F.filter(F.sequence(F.lit(SPAN - WINDOW), F.lit(0)), lambda o: (F.get("equal", o + reach) == 1) & (held(o) >= LEAST))
+    begins = F.filter(F.sequence(F.lit(0), count - 1), lambda k: (F.get("equal", k) == 1) & (held(k) >= LEAST))
     found = compared.withColumn("begins", begins).where(F.size("begins") > 0)
-    last = F.array_max(F.transform("begins", lambda o: F.array_max(F.filter(F.sequence(o, o + reach), lambda q: F.get("equal", q + reach) == 1))))
-    return found.select("*", (F.col("item_at") + F.array_min("begins")).alias("first"), (F.col("item_at") + last).alias("last"))
+    ends = F.transform("begins", lambda k: F.array_max(F.filter(F.sequence(k, F.least(k + WINDOW, count) - 1), lambda q: F.get("equal", q) == 1)))
+    return found.select("*", F.array_min("begins").alias("first"), F.array_max(ends).alias("last"))
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, key: Column | None = None) -> DataFrame:
-    """doc_id, item_id, doc_word, item_word, n_words of every overlap of a document and a benchmark item.
+def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, key (text key), item_id, doc_word, item_word, n_words of every overlap of a document and a benchmark item.
 
     Positions are word numbers from 0. Null texts count as empty. Texts and items too short for LEAST
     equal words give nothing. Repeated rows of a document give each overlap once; null ids are kept.
-    Other columns are ignored. A key, if given, is kept as `key` beside doc_id. The benchmark is
-    taken in blocks of bounded size, each against all documents, so its seeds can be broadcast.
+    Other columns are ignored. The benchmark is taken in blocks of bounded size, each against all
+    documents, so its seeds can be broadcast; texts are met again only to compare alignments with a hit.
     """
-    key = F.lit(None).cast("string") if key is None else key
-    items = benchmark.select(F.col("item_id").alias("item_id"), word_hashes("text").alias("words")).where(F.size("words") >= LEAST)
+    items = benchmark.select("item_id", word_hashes("text").alias("words")).where(F.size("words") >= LEAST)
     total = items.agg(F.coalesce(F.sum(F.size("words")), F.lit(0)).alias("n")).first().n
     blocks = max(1, -(-total // BLOCK_WORDS))
-    rows = docs.select(F.col("doc_id").alias("doc_id"), key.alias("key"), word_hashes("text").alias("words"))
-    placed = _seeded(rows, ["doc_id", "key"])
+    place = F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("place")
+    rows = docs.select(place, text_key().alias("key"), word_hashes("text").alias("words"))
+    placed = _seeded(rows, ["place", "key"])
+    texts = docs.select(place, text_key().alias("key"), "text")
     out = []
     for b in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item_id", "words"), F.lit(blocks)) == b)
-        item_seeds = _seeded(block, ["item_id"]).select("item_id", F.col("words").alias("item_words"), F.col("at").alias("item_at"), "seed")
+        item_seeds = _seeded(block, ["item_id"]).select("item_id", F.col("at").alias("item_at"), "seed")
         hits = placed.join(F.broadcast(item_seeds), "seed")
-        out.append(_around(hits).select("doc_id", "key", "item_id", (F.col("at") - F.col("item_at")).alias("shift"), "first", "last"))
-    met = reduce(DataFrame.unionAll, out).groupBy("doc_id", "key", "item_id", "shift").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-    return met.select(
-        "doc_id", "key", "item_id",
+        shifts = hits.select("place", "key", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+        met = texts.join(shifts.hint("merge"), ["place", "key"]).withColumn("words", word_hashes("text"))
+        aligned = met.join(F.broadcast(block.select("item_id", F.col("words").alias("item_words"))), "item_id")
+        out.append(_accepted(aligned.select("place", "key", "item_id", "shift", "words", "item_words")).select("place", "key", "item_id", "shift", "first", "last"))
+    found = reduce(DataFrame.unionAll, out).groupBy("place", "key", "item_id", "shift").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    return found.select(
+        F.nullif(F.col("place"), F.lit(LOWEST)).alias("doc_id"), "key", "item_id",
         (F.col("shift") + F.col("first")).cast("long").alias("doc_word"),
         F.col("first").cast("long").alias("item_word"),
         (F.col("last") - F.col("first") + 1).cast("long").alias("n_words"),
@@ -91,8 +94,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: Column | None = None) -
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs whose text overlaps no benchmark item; all columns stay as they are."""
-    found = overlaps(docs, benchmark, text_key()).select(F.col("key").alias("_key")).distinct()
-    return docs.withColumn("_key", text_key()).join(found, "_key", "left_anti").select(*docs.columns)
+    found = overlaps(docs, benchmark).select(F.col("key").alias("_key")).distinct()
+    return docs.withColumn("_key", text_key()).join(found.hint("merge"), "_key", "left_anti").select(*docs.columns)
 
 
 #: The same overlaps without seeds: every pair of equal words, by alignment.
