@@ -51,7 +51,7 @@ def partitions(spark: SparkSession) -> int:
 
 def text_key(text: str = "text"):
     """128-bit identity of a text; null counts as empty."""
-    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
+    return F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")))
 
 
 def join_on_hot_key(rows: DataFrame, keyed: DataFrame, key: str, count: str, total: int, how: str = "inner") -> DataFrame:
