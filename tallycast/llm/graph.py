@@ -5,11 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallycast.llm.common import small_batches, staged
 
+#: Factor of hubs a bucket from round to round.
+HUBS = 8
+#: Hubs of a bucket in the last round: comparisons stay linear in the members, however large a bucket is.
+MOST_HUBS = 64
 #: (first texts, second texts) -> whether each pair is linked.
 Verify = Callable[[list[str], list[str]], list[bool]]
 
@@ -42,8 +46,8 @@ def components(edges: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, texts: DataFrame, verify: Verify) -> DataFrame:
     """The linked ones of pairs (node, hub), by both texts. The hub's text is met last, so a popular hub is sent once."""
     small_batches(pairs.sparkSession)
-    one = pairs.join(texts.select("node", F.col("text").alias("x")), "node")
-    two = one.join(texts.select(F.col("node").alias("hub"), F.col("text").alias("y")), "hub").select("node", "hub", "x", "y")
+    one = pairs.hint("merge").join(texts.select("node", F.col("text").alias("x")), "node")
+    two = one.hint("merge").join(texts.select(F.col("node").alias("hub"), F.col("text").alias("y")), "hub").select("node", "hub", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -54,15 +58,32 @@ def _verified(pairs: DataFrame, texts: DataFrame, verify: Verify) -> DataFrame:
     return two.mapInArrow(run, "a binary, b binary")
 
 
-def links(bands: DataFrame, texts: DataFrame, verify: Verify) -> DataFrame:
-    """Verified links (a, b) among items that share a bucket; their components are the classes of similar items.
+def _merged(roots: DataFrame | None, new: DataFrame) -> DataFrame:
+    """Roots after new links: only the components that these touch are joined anew."""
+    if roots is None:
+        return components(new)
+    ends = new.select(F.col("a").alias("node")).unionAll(new.select(F.col("b").alias("node"))).distinct()
+    fresh = ends.join(roots, "node", "left_anti").select("node", F.col("node").alias("root"))
+    known = staged(roots.unionAll(fresh), "known")
+    a = new.join(known.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a")
+    both = a.join(known.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
+    moved = components(both.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    moved = moved.select(F.col("node").alias("root"), F.col("root").alias("next"))
+    return staged(known.join(moved, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "roots")
+
+
+def linked_classes(bands: DataFrame, texts: DataFrame, verify: Verify) -> DataFrame:
+    """node and root of the items that have a verified link; items of one component of links share a root.
 
     bands: (band, node), a row for each bucket of an item. texts: (node, text), any number of equal rows a node.
 
     A bucket is not expanded into pairs. Its members are compared with one of them, its hub, drawn
-    by hash. Where members of a bucket then lie in different components, the best-linked member that
-    has not been a hub becomes the next one, and is compared with those outside its component. This
-    goes on as long as a round finds links; most buckets are settled by the first.
+    by hash. Where members of a bucket then lie in different components, more of them become hubs,
+    the best-linked first, and each is compared with the members outside its component. Every round
+    has HUBS times as many hubs as the one before, up to MOST_HUBS; the search ends earlier when a
+    round finds no link. Buckets of up to MOST_HUBS members are so compared in full. In a larger one
+    a link is missed only if neither end is among its MOST_HUBS best-linked members, nor in any other
+    bucket that both share, and no path of other links joins them.
     """
     members = staged(bands.select("band", "node").distinct(), "bands")
     buckets = members.groupBy("band").agg(F.min_by("node", F.xxhash64("node", "band")).alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -70,25 +91,23 @@ def links(bands: DataFrame, texts: DataFrame, verify: Verify) -> DataFrame:
     wanted = members.select("node").distinct()
     one_each = texts.groupBy("node").agg(F.first("text").alias("text"))
     texts = staged(one_each.join(wanted, "node", "left_semi"), "texts")
-    tried = members.select("band", "hub").distinct()
-    pairs = members.where("node <> hub").select("node", "hub").distinct()
-    found = staged(_verified(pairs, texts, verify), "links")
-    while not found.isEmpty():
-        roots = components(found)
-        both = found.unionAll(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        degree = both.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
+    pairs = members.where("node <> hub").select(F.least("node", "hub").alias("node"), F.greatest("node", "hub").alias("hub")).distinct()
+    pairs = staged(pairs, "pairs")
+    new = staged(_verified(pairs, texts, verify), "links")
+    roots, found, tried, hubs = _merged(None, new), new, pairs, 1
+    place = Window.partitionBy("band").orderBy(F.desc("degree"), F.xxhash64("node", "band"))
+    while hubs < MOST_HUBS and not new.isEmpty():
+        hubs *= HUBS
+        degree = found.unionAll(found.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
         known = roots.join(degree, "node")
         named = members.select("band", "node").join(known, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree"))
         split = named.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
         open_ = staged(named.join(split, "band", "left_semi"), "open")
-        if open_.isEmpty():
-            break
-        fresh = open_.join(tried.withColumnRenamed("hub", "node"), ["band", "node"], "left_anti")
-        hubs = staged(fresh.groupBy("band").agg(F.max_by(F.struct("node", "root"), F.struct("degree", F.xxhash64("node", "band"))).alias("best")).select("band", F.col("best.node").alias("hub"), F.col("best.root").alias("hub_root")), "hubs")
-        tried = tried.unionAll(hubs.select("band", "hub"))
-        pairs = open_.join(hubs, "band").where("root <> hub_root").select("node", "hub").distinct()
+        best = open_.withColumn("place", F.row_number().over(place)).where(F.col("place") <= hubs)
+        best = staged(best.select("band", F.col("node").alias("hub"), F.col("root").alias("hub_root")), "hubs")
+        pairs = open_.join(best, "band").where("root <> hub_root").select(F.least("node", "hub").alias("node"), F.greatest("node", "hub").alias("hub")).distinct()
+        pairs = staged(pairs.join(tried, ["node", "hub"], "left_anti"), "pairs")
+        tried = tried.unionAll(pairs)
         new = staged(_verified(pairs, texts, verify), "links")
-        if new.isEmpty():
-            break
-        found = staged(found.unionAll(new), "links")
-    return found
+        roots, found = _merged(roots, new), found.unionAll(new)
+    return roots

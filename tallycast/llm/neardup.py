@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallycast.llm.common import join_on_hot_key, small_batches, staged, text_key
-from tallycast.llm.graph import components, links
+from tallycast.llm.graph import linked_classes
 from tallycast.llm.words import mix, shingles_of, steps, words_of
 
 THRESHOLD = 0.8
@@ -112,14 +112,22 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(total), float(shared.sum() / len(every))
 
 
-@lru_cache(64)
+@lru_cache(2048)
 def _set_of(text: str) -> tuple[np.ndarray, np.ndarray]:
     _, element, count = weighted_shingles([text])
     return element, count
 
 
 def near(first: list[str], second: list[str], threshold: float = THRESHOLD) -> list[bool]:
-    return [max(similarity(_set_of(x), _set_of(y))) >= threshold for x, y in zip(first, second)]
+    out = []
+    for x, y in zip(first, second):
+        a, b = _set_of(x), _set_of(y)
+        if a[1].max(initial=1) == 1 == b[1].max(initial=1):  # without repeats both similarities are the plain one
+            both = len(np.intersect1d(a[0], b[0], assume_unique=True))
+            out.append(both > 0 and both >= threshold * (len(a[0]) + len(b[0]) - both))
+        else:
+            out.append(max(similarity(a, b)) >= threshold)
+    return out
 
 
 def _nodes(docs: DataFrame) -> DataFrame:
@@ -133,8 +141,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, D
     has no other). Null texts count as empty; texts without words are alike only if equal.
     """
     docs = _nodes(docs)
-    found = links(band_rows(docs, threshold), docs.select("node", "text"), lambda a, b: near(a, b, threshold))
-    roots = components(found)
+    roots = linked_classes(band_rows(docs, threshold), docs.select("node", "text"), lambda a, b: near(a, b, threshold))
     rows = staged(docs.select("doc_id", "node"), "rows")
     texts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("first"))
     rooted = staged(texts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
@@ -160,4 +167,4 @@ def without_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> Da
     unnamed = named.where("class_id is null").select(F.lit(None).cast("long").alias("class_id"), "node")
     kept = best.unionByName(unnamed).select(F.coalesce("class_id", F.lit(-(2**63))).alias("_place"), F.col("node").alias("_node"))
     keyed = docs.withColumns({"_place": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "_node": text_key()})
-    return keyed.join(kept, ["_place", "_node"], "left_semi").dropDuplicates(["_place", "_node"]).select(*docs.columns)
+    return keyed.join(kept.hint("merge"), ["_place", "_node"], "left_semi").dropDuplicates(["_place", "_node"]).select(*docs.columns)

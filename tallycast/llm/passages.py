@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallycast.llm.common import join_on_hot_key, small_batches, staged, text_key
-from tallycast.llm.graph import components, links
+from tallycast.llm.graph import linked_classes
 from tallycast.llm.neardup import band_keys, prob_minhash, tuned_bands, weighted_shingles
 from tallycast.llm.words import STEP, mix, steps, words_of
 
@@ -109,7 +109,7 @@ def paragraph_bands(docs: DataFrame, least: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "band long, node binary")
 
 
-@lru_cache(64)
+@lru_cache(2048)
 def _shingle_set(text: str) -> np.ndarray:
     return weighted_shingles([text])[1]
 
@@ -118,15 +118,14 @@ def alike(first: list[str], second: list[str]) -> list[bool]:
     """Whether the exact Jaccard similarity of the shingles of each two paragraphs reaches the threshold."""
     out = []
     for a, b in zip(map(_shingle_set, first), map(_shingle_set, second)):
-        union = len(np.union1d(a, b))
-        out.append(len(a) + len(b) - union >= THRESHOLD * union)
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        out.append(both >= THRESHOLD * (len(a) + len(b) - both))
     return out
 
 
 def repeated_paragraphs(docs: DataFrame, least: int) -> DataFrame:
     """doc_id, node, begin, end of paragraphs of a class that are not its first, and kept_doc_id."""
-    found = links(paragraph_bands(docs, least), _paragraph_texts(docs, least), alike)
-    roots = components(found).withColumnRenamed("node", "paragraph")
+    roots = linked_classes(paragraph_bands(docs, least), _paragraph_texts(docs, least), alike).withColumnRenamed("node", "paragraph")
     rows = staged(paragraph_rows(docs, least), "paragraphs")
     counted = rows.groupBy("paragraph").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "doc_id", "begin")).alias("first"))
     rooted = counted.join(roots, "paragraph", "left").withColumn("root", F.coalesce("root", "paragraph"))
@@ -174,7 +173,7 @@ def chains_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def chain_rows(docs: DataFrame) -> DataFrame:
-    """chain, key (64-bit key of the text) and word position of the selected chains of every different text of a batch."""
+    """chain, key (60 bits of the text key) and word position of the selected chains of every different text of a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,7 +212,7 @@ def equal_runs(kept: str, text: str, shifts: list[int], least: int = LEAST) -> l
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """key, begin, end of passages of a text that an earlier text has, and kept_key.
 
-    Two different texts of one 64-bit key (a chance of 1e-9 a text among 3e10) are left as they are.
+    Two different texts of one 60-bit key (a chance of 3e-8 a text among 3e10) are left as they are.
     """
     rows = chain_rows(docs)
     first = rows.groupBy("chain").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.min(F.struct("key", "at")).alias("hub")).where("low <> high")
@@ -223,7 +222,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     wanted = pairs.select("key").unionAll(pairs.select("kept_key")).distinct()
     one_each = docs.groupBy("key").agg(F.first("text").alias("text"), F.min("node").alias("node"), F.max("node").alias("other")).where("node = other").select("key", "text")
     texts = staged(one_each.join(wanted, "key", "left_semi"), "texts")
-    both = pairs.join(texts, "key").join(texts.select(F.col("key").alias("kept_key"), F.col("text").alias("kept")), "kept_key")
+    both = pairs.hint("merge").join(texts, "key").hint("merge").join(texts.select(F.col("key").alias("kept_key"), F.col("text").alias("kept")), "kept_key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -246,7 +245,8 @@ def removals(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("doc_id"), text_key().alias("node"), F.xxhash64(text).alias("key"), text.alias("text"))
+    key = F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")  # in the order of the whole text key
+    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("doc_id"), text_key().alias("node"), key.alias("key"), text.alias("text"))
     words = F.size(F.split(F.trim("text"), r"\s+"))
     rows = base.select("doc_id", "node", "key", F.char_length("text").cast("long").alias("n_chars"), words.alias("words")).distinct()
     rows = staged(rows, "rows")
@@ -287,7 +287,7 @@ def deduplicated(docs: DataFrame, least: int = LEAST) -> DataFrame:
         return pd.Series([t if b is None else cut(t, b, e) for t, b, e in zip(text, begins, ends)], dtype=object)
 
     keyed = docs.withColumns({"_place": F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)), "_node": text_key()})
-    met = keyed.join(lost, ["_place", "_node"], "left")
+    met = keyed.join(lost.hint("merge"), ["_place", "_node"], "left")
     untouched = met.where("_lost is null")
     touched = met.where("_lost is not null").withColumn("text", shortened(F.col("text"), F.col("_lost.begin"), F.col("_lost.end"))).where(F.trim("text") != "")
     if "n_chars" in docs.columns:
