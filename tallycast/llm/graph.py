@@ -4,18 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallycast.llm.common import small_batches, staged
 
-#: Factor of hubs a bucket from round to round.
+#: Hubs of a bucket in the second round.
 HUBS = 8
-#: Hubs of a bucket in the last round: comparisons stay linear in the members, however large a bucket is.
-MOST_HUBS = 64
+#: Members and bytes of text of a block, about; what hubs leave is compared block by block.
+BLOCK, BLOCK_BYTES = 64, 1 << 20
+#: Rows of an Arrow batch of block pairs.
+BLOCK_ROWS = 16
 #: (first texts, second texts) -> whether each pair is linked.
 Verify = Callable[[list[str], list[str]], list[bool]]
+#: (first texts, second texts) -> matrix of the pairs that may be linked; all others surely are not.
+Possible = Callable[[list[str], list[str]], np.ndarray]
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -72,42 +77,113 @@ def _merged(roots: DataFrame | None, new: DataFrame) -> DataFrame:
     return staged(known.join(moved, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "roots")
 
 
-def linked_classes(bands: DataFrame, texts: DataFrame, verify: Verify) -> DataFrame:
-    """node and root of the items that have a verified link; items of one component of links share a root.
+def _block_links(band: int, left: list[dict], right: list[dict] | None, verify: Verify, possible: Possible | None) -> list[tuple[bytes, bytes]]:
+    """Links that join the components of two blocks of a bucket (of one block, if right is None), after all their pairs were tried or joined.
+
+    A pair that shares several open buckets is compared in the first of them.
+    """
+    other = left if right is None else right
+    numbers: dict[bytes, int] = {}
+    a, b = (np.array([numbers.setdefault(m["root"], len(numbers)) for m in side]) for side in (left, other))
+    open_ = a[:, None] != b[None, :]
+    if right is None:
+        open_ = np.triu(open_)
+    if open_.any() and possible is not None:
+        open_ &= possible([m["text"] for m in left], [m["text"] for m in other])
+    parent = list(range(len(numbers)))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(open_)):
+        x, y = root(a[i]), root(b[j])
+        if x != y and min(set(left[i]["bands"]).intersection(other[j]["bands"])) == band and verify([left[i]["text"]], [other[j]["text"]])[0]:
+            parent[x] = y
+            out.append((left[i]["node"], other[j]["node"]))
+    return out
+
+
+def _rest_links(open_: DataFrame, texts: DataFrame, verify: Verify, possible: Possible | None) -> DataFrame:
+    """Links between the components of each bucket, all its pairs compared but those within a component.
+
+    open_: band, node and root of the members. They are dealt into blocks by hash: a component of BLOCK
+    members or more of a bucket has blocks of its own, the others share theirs. A row is a pair of
+    blocks, so a bucket of n members gives at most (n / BLOCK) ** 2 rows.
+    """
+    spark = open_.sparkSession
+    size = F.octet_length("text").cast("long").alias("bytes")
+    sized = staged(open_.join(texts.select("node", size), "node"), "sized")
+    each = sized.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    each = staged(each.withColumn("own", F.when(F.col("n") >= BLOCK, F.col("root")).otherwise(F.unhex(F.lit("")))), "components")
+    slots = each.groupBy("band", "own").agg(F.ceil(F.greatest(F.sum("n") / BLOCK, F.sum("bytes") / BLOCK_BYTES)).cast("long").alias("slots"))
+    groups = staged(each.select("band", "root", "own").join(slots, ["band", "own"]), "groups")
+    slot = F.pmod(F.xxhash64("node", "band"), F.col("slots"))
+    placed = staged(sized.select("band", "node", "root").join(groups, ["band", "root"]).select("band", "node", "root", F.struct("own", slot.alias("slot")).alias("block")), "placed")
+    shared = placed.groupBy("node").agg(F.collect_list("band").alias("bands"))
+    full = placed.join(shared, "node").hint("merge").join(texts, "node")
+    blocks = staged(full.groupBy("band", "block").agg(F.collect_list(F.struct("node", "root", "text", "bands")).alias("members")), "blocks")
+    one = blocks.select("band", F.col("block").alias("x"))
+    two = blocks.select("band", F.col("block").alias("y"))
+    met = one.join(two, "band").where((F.col("x") <= F.col("y")) & ((F.col("x.own") != F.col("y.own")) | (F.col("x.own") == F.unhex(F.lit("")))))
+    met = staged(met, "block-pairs")
+    left = met.join(blocks.select("band", F.col("block").alias("x"), F.col("members").alias("left")).hint("merge"), ["band", "x"])
+    right = blocks.select("band", F.col("block").alias("y"), F.col("members").alias("right")).hint("merge")
+    both = left.where("x <> y").join(right, ["band", "y"]).select("band", "left", "right")
+    both = both.unionAll(left.where("x = y").select("band", "left", F.lit(None).cast(right.schema["right"].dataType).alias("right")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                band, left, right = (batch.column(c)[i].as_py() for c in range(3))
+                a, b = zip(*found) if (found := _block_links(band, left, right, verify, possible)) else ((), ())
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows)
+    spark.conf.set(rows, str(BLOCK_ROWS))
+    try:
+        return staged(both.mapInArrow(run, "a binary, b binary"), "links")
+    finally:
+        spark.conf.set(rows, before)
+
+
+def linked_classes(bands: DataFrame, texts: DataFrame, verify: Verify, possible: Possible | None = None) -> DataFrame:
+    """node and root of the items of the components of verified links; items of one component share a root.
 
     bands: (band, node), a row for each bucket of an item. texts: (node, text), any number of equal rows a node.
+    possible: a test that rules out most pairs that are not linked, and none that are.
 
-    A bucket is not expanded into pairs. Its members are compared with one of them, its hub, drawn
-    by hash. Where members of a bucket then lie in different components, more of them become hubs,
-    the best-linked first, and each is compared with the members outside its component. Every round
-    has HUBS times as many hubs as the one before, up to MOST_HUBS; the search ends earlier when a
-    round finds no link. Buckets of up to MOST_HUBS members are so compared in full. In a larger one
-    a link is missed only if neither end is among its MOST_HUBS best-linked members, nor in any other
-    bucket that both share, and no path of other links joins them.
+    Any two members of a bucket that are linked come into one component. To spare comparisons, the
+    members first meet one of them, its hub, drawn by hash; where members then lie in different
+    components, those outside a hub's component meet HUBS hubs, the best-linked ones. In buckets
+    of more members whose components still differ, all pairs from different components are compared.
     """
     members = staged(bands.select("band", "node").distinct(), "bands")
     buckets = members.groupBy("band").agg(F.min_by("node", F.xxhash64("node", "band")).alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = staged(members.join(buckets.select("band", "hub"), "band"), "members")
+    members = staged(members.join(buckets, "band"), "members")
     wanted = members.select("node").distinct()
     one_each = texts.groupBy("node").agg(F.first("text").alias("text"))
     texts = staged(one_each.join(wanted, "node", "left_semi"), "texts")
     pairs = members.where("node <> hub").select(F.least("node", "hub").alias("node"), F.greatest("node", "hub").alias("hub")).distinct()
-    pairs = staged(pairs, "pairs")
-    new = staged(_verified(pairs, texts, verify), "links")
-    roots, found, tried, hubs = _merged(None, new), new, pairs, 1
-    place = Window.partitionBy("band").orderBy(F.desc("degree"), F.xxhash64("node", "band"))
-    while hubs < MOST_HUBS and not new.isEmpty():
-        hubs *= HUBS
-        degree = found.unionAll(found.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
-        known = roots.join(degree, "node")
-        named = members.select("band", "node").join(known, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree"))
+    tried = staged(pairs, "pairs")
+    found = staged(_verified(tried, texts, verify), "links")
+    roots = _merged(None, found)
+
+    def still_open(least: int) -> DataFrame:
+        """band, node and root of the members of buckets of `least` members or more in different components."""
+        named = members.where(F.col("n") >= least).select("band", "node").join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
         split = named.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
-        open_ = staged(named.join(split, "band", "left_semi"), "open")
-        best = open_.withColumn("place", F.row_number().over(place)).where(F.col("place") <= hubs)
-        best = staged(best.select("band", F.col("node").alias("hub"), F.col("root").alias("hub_root")), "hubs")
-        pairs = open_.join(best, "band").where("root <> hub_root").select(F.least("node", "hub").alias("node"), F.greatest("node", "hub").alias("hub")).distinct()
-        pairs = staged(pairs.join(tried, ["node", "hub"], "left_anti"), "pairs")
-        tried = tried.unionAll(pairs)
-        new = staged(_verified(pairs, texts, verify), "links")
-        roots, found = _merged(roots, new), found.unionAll(new)
-    return roots
+        return staged(named.join(split, "band", "left_semi"), "open")
+
+    degree = found.unionAll(found.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
+    open_ = still_open(3)
+    place = Window.partitionBy("band").orderBy(F.desc(F.coalesce("degree", F.lit(0))), F.xxhash64("node", "band"))
+    best = open_.join(degree, "node", "left").withColumn("place", F.row_number().over(place)).where(F.col("place") <= HUBS)
+    best = staged(best.select("band", F.col("node").alias("hub"), F.col("root").alias("hub_root")), "hubs")
+    pairs = open_.join(best, "band").where("root <> hub_root").select(F.least("node", "hub").alias("node"), F.greatest("node", "hub").alias("hub")).distinct()
+    pairs = staged(pairs.join(tried, ["node", "hub"], "left_anti"), "pairs")
+    roots = _merged(roots, staged(_verified(pairs, texts, verify), "links"))
+    return _merged(roots, _rest_links(still_open(HUBS + 2), texts, verify, possible))

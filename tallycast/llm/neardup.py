@@ -27,6 +27,8 @@ from tallycast.llm.words import mix, shingles_of, steps, words_of
 THRESHOLD = 0.8
 RECALL = 0.999
 SLOTS = 64
+#: Cells of shingle hashes, for bounds of the similarity, and what rounding may cost these.
+CELLS, SLACK = 256, 1e-3
 
 
 def tuned_bands(threshold: float = THRESHOLD, recall: float = RECALL, slots: int = SLOTS) -> tuple[int, int]:
@@ -130,6 +132,32 @@ def near(first: list[str], second: list[str], threshold: float = THRESHOLD) -> l
     return out
 
 
+@lru_cache(2048)
+def _cells(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Different shingles in each of CELLS cells of their hashes, and the share of all shingles in each."""
+    element, count = _set_of(text)
+    cell = (element % np.uint64(CELLS)).astype(np.int64)
+    return np.bincount(cell, minlength=CELLS).astype(np.int32), (np.bincount(cell, count, CELLS) / max(count.sum(), 1)).astype(np.float32)
+
+
+def may_be_near(first: list[str], second: list[str], threshold: float = THRESHOLD, weighted: bool = True) -> np.ndarray:
+    """Matrix of the pairs that bounds from counts by cell do not rule out.
+
+    What two sets share is at most the sum of the lesser counts of each cell. The probability Jaccard
+    similarity is the chance that two draws, one from each text's shares, are equal, so it is at most
+    the sum of the lesser shares, and of those of cells.
+    """
+    a, b = [_cells(t) for t in first], [_cells(t) for t in second]
+    sets, shares = np.array([c for c, _ in b]), np.array([w for _, w in b])
+    out = np.zeros((len(first), len(second)), bool)
+    for i, (x, w) in enumerate(a):
+        both = np.minimum(sets, x).sum(1)
+        out[i] = both >= threshold * (x.sum() + sets.sum(1) - both) - SLACK
+        if weighted:
+            out[i] |= np.minimum(shares, w).sum(1) >= threshold - SLACK
+    return out
+
+
 def _nodes(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("node"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
@@ -141,7 +169,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, D
     has no other). Null texts count as empty; texts without words are alike only if equal.
     """
     docs = _nodes(docs)
-    roots = linked_classes(band_rows(docs, threshold), docs.select("node", "text"), lambda a, b: near(a, b, threshold))
+    roots = linked_classes(band_rows(docs, threshold), docs.select("node", "text"), lambda a, b: near(a, b, threshold), lambda a, b: may_be_near(a, b, threshold))
     rows = staged(docs.select("doc_id", "node"), "rows")
     texts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("first"))
     rooted = staged(texts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")

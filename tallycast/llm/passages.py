@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tallycast.llm.common import join_on_hot_key, small_batches, staged, text_key
 from tallycast.llm.graph import linked_classes
-from tallycast.llm.neardup import band_keys, prob_minhash, tuned_bands, weighted_shingles
+from tallycast.llm.neardup import band_keys, may_be_near, prob_minhash, tuned_bands, weighted_shingles
 from tallycast.llm.words import STEP, mix, steps, words_of
 
 LEAST = 50
@@ -125,7 +125,7 @@ def alike(first: list[str], second: list[str]) -> list[bool]:
 
 def repeated_paragraphs(docs: DataFrame, least: int) -> DataFrame:
     """doc_id, node, begin, end of paragraphs of a class that are not its first, and kept_doc_id."""
-    roots = linked_classes(paragraph_bands(docs, least), _paragraph_texts(docs, least), alike).withColumnRenamed("node", "paragraph")
+    roots = linked_classes(paragraph_bands(docs, least), _paragraph_texts(docs, least), alike, lambda a, b: may_be_near(a, b, THRESHOLD, weighted=False)).withColumnRenamed("node", "paragraph")
     rows = staged(paragraph_rows(docs, least), "paragraphs")
     counted = rows.groupBy("paragraph").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "doc_id", "begin")).alias("first"))
     rooted = counted.join(roots, "paragraph", "left").withColumn("root", F.coalesce("root", "paragraph"))

@@ -126,3 +126,37 @@ def test_components(spark):
         want[root(x)].add(key[x])
         have[got[key[x]]].add(key[x])
     assert sorted(map(sorted, want.values())) == sorted(map(sorted, have.values()))
+
+
+def test_pairs_beside_a_large_component(spark):
+    """Members linked only with each other, in buckets that also hold a component of more members than any number of hubs."""
+    groups = {"g": 150, "a": 2, "b": 3, "c": 1}
+    texts = [f"{g}{i}" for g, n in groups.items() for i in range(n)]
+    rows = [(band, t.encode()) for band in range(6) for t in texts]
+    bands = spark.createDataFrame(rows, "band long, node binary")
+    docs = spark.createDataFrame([(t.encode(), t) for t in texts], "node binary, text string")
+    compared = lambda a, b: [x[0] == y[0] for x, y in zip(a, b)]
+    got = {bytes(r.node).decode(): bytes(r.root) for r in graph.linked_classes(bands, docs, compared).collect()}
+    classes = defaultdict(set)
+    for t, r in got.items():
+        classes[r].add(t)
+    assert sorted(map(sorted, classes.values())) == sorted(sorted(f"{g}{i}" for i in range(n)) for g, n in groups.items() if n > 1)
+
+
+def test_links_between_members_of_large_buckets(spark):
+    """Blocks meet each other: pairs that no hub joins, in a bucket of many blocks."""
+    texts = [f"{i % 140}:{i}" for i in range(280)]
+    bands = spark.createDataFrame([(7, t.encode()) for t in texts], "band long, node binary")
+    docs = spark.createDataFrame([(t.encode(), t) for t in texts], "node binary, text string")
+    alike = lambda a, b: [x.split(":")[0] == y.split(":")[0] for x, y in zip(a, b)]
+    roots = {bytes(r.node).decode(): bytes(r.root) for r in graph.linked_classes(bands, docs, alike).collect()}
+    assert len(set(roots.values())) == 140 and all(roots[f"{i}:{i}"] == roots[f"{i}:{i + 140}"] for i in range(140))
+
+
+def test_bounds_rule_out_no_near_pair():
+    rnd = random.Random(8)
+    texts = [*corpus(9, 30), *(" ".join(["a b c d e f g h"] * n + [f"v{rnd.randrange(60)}" for _ in range(60)]) for n in (1, 2, 9, 30))]
+    may = nd.may_be_near(texts, texts)
+    assert not may.all()
+    for i, a in enumerate(texts):
+        assert all(may[i][np.array(nd.near([a] * len(texts), texts))])
