@@ -4,7 +4,8 @@ A text's elements are its shingles of five words, weighted by how often they occ
 for each element the arrivals of a Poisson process whose rate is its weight; every arrival falls into
 a random one of SLOTS slots, and a slot keeps the element that arrived first. Once all slots are
 taken, arrivals later than the latest of them cannot win, so most elements stop after the first.
-Two signatures agree in a slot with the probability Jaccard similarity of the two texts. Equal bands
+Two signatures agree in a slot with the probability Jaccard similarity of the two texts. Where shingles
+repeat, a second signature takes each once, and agrees with the plain Jaccard similarity. Equal bands
 of signatures make candidates, whose similarity is then computed from their whole texts: a pair is
 linked if the probability Jaccard similarity, or the plain one of the two shingle sets, is THRESHOLD
 or more. Classes are the components of links; copies of one text count as one node.
@@ -83,7 +84,11 @@ def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def band_rows(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(band, node) of every different text in docs (node, text); texts without a word have no band."""
+    """(band, node) of every different text in docs (node, text); texts without a word have no band.
+
+    A text in which a shingle repeats has two signatures, by counts and by the set alone, one for
+    either similarity; without repeats both are the same.
+    """
     small_batches(docs.sparkSession)
     bands, rows = tuned_bands(threshold)
 
@@ -94,7 +99,14 @@ def band_rows(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             text, element, count = weighted_shingles(texts)
             keys = band_keys(prob_minhash(text, element, count.astype(float), len(texts)), bands, rows)
             some = np.flatnonzero(np.bincount(text, minlength=len(texts)))
-            yield pa.RecordBatch.from_arrays([pa.array(keys[some].ravel()), pa.array(nodes, pa.binary()).take(pa.array(np.repeat(some, bands)))], names=["band", "node"])
+            again = np.unique(text[count > 1])
+            if len(again):
+                part = np.isin(text, again)
+                sets = prob_minhash(np.searchsorted(again, text[part]), element[part], np.ones(part.sum()), len(again))
+                keys, some = np.concatenate([keys[some], band_keys(sets, bands, rows)]), np.concatenate([some, again])
+            else:
+                keys = keys[some]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(nodes, pa.binary()).take(pa.array(np.repeat(some, bands)))], names=["band", "node"])
 
     return docs.select("node", "text").mapInArrow(run, "band long, node binary")
 

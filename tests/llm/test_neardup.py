@@ -160,3 +160,21 @@ def test_bounds_rule_out_no_near_pair():
     assert not may.all()
     for i, a in enumerate(texts):
         assert all(may[i][np.array(nd.near([a] * len(texts), texts))])
+
+
+def test_plain_near_copies_with_a_repeated_line(spark):
+    """Plain Jaccard is 0.9 or more and probability Jaccard under a half: only bands of plain signatures find these."""
+    rnd = random.Random(11)
+    rows = []
+    for i in range(30):
+        words = [f"w{rnd.randrange(5000)}" for _ in range(154)]
+        line = words[40:54]
+        rows += [(str(2 * i), " ".join(words)), (str(2 * i + 1), " ".join(words + line * 20))]
+    (a, b) = (nd._set_of(t) for _, t in rows[:2])
+    weighted, plain = nd.similarity(a, b)
+    assert weighted < 0.5 and plain > 0.9
+    bands = nd.band_rows(spark.createDataFrame(rows, "node string, text string").selectExpr("cast(node as binary) node", "text"))
+    keys = defaultdict(set)
+    for r in bands.collect():
+        keys[int(bytes(r.node).decode())].add(r.band)
+    assert all(keys[2 * i] & keys[2 * i + 1] for i in range(30))
