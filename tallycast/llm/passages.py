@@ -8,8 +8,9 @@ Paragraphs are the lines of a text; those of LEAST words or more take part.
 2. Passages. A passage may be copied into the middle of another paragraph, where whole paragraphs
    are not alike. So each text also gives the 12-word chains that have the least hash of 39 following
    one another: any LEAST words in a row hold one, and the same words give the same one, wherever
-   they stand. Texts that share a chain are joined and compared word by word on that alignment;
-   equal runs of LEAST words or more are repeated passages.
+   they stand. Of texts that share a chain, all windows of LEAST words that have it as their least are
+   hashed, at every place; a window that an earlier text has, too, is a repeated passage, and
+   overlapping ones are one.
 3. A text equal to an earlier one is repeated as a whole, if it has LEAST words.
 
 Texts are ordered by a hash of the text (copies of one text by doc_id); a passage or paragraph stays
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from tallycast.llm.common import join_on_hot_key, small_batches, staged, text_key
 from tallycast.llm.graph import linked_classes
 from tallycast.llm.neardup import band_keys, may_be_near, prob_minhash, tuned_bands, weighted_shingles
-from tallycast.llm.words import STEP, mix, steps, words_of
+from tallycast.llm.words import STEP, Words, mix, steps, words_of
 
 LEAST = 50
 THRESHOLD, RECALL, SLOTS = 0.8, 0.995, 24
@@ -148,20 +149,28 @@ def _slide(x: np.ndarray, width: int, take) -> np.ndarray:
     return take(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def chains_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, chain hash and word position of the selected chains, each hash of a text once."""
+def _least_chains(texts: list[str]) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
+    """Words, their chain hashes, the least chain hash of each window of LEAST words (0 over two texts), and the text of each word."""
     w = words_of(texts)
     n = len(w.hash)
+    text = np.repeat(np.arange(len(texts)), w.count)
     if n < LEAST:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return w, np.zeros(0, np.uint64), np.zeros(0, np.uint64), text
     chain = np.zeros(n - CHAIN + 1, np.uint64)
     for j in range(CHAIN):
         chain = chain * STEP + w.hash[j : n - CHAIN + 1 + j]
     chain = mix(chain)
     least = _slide(chain, RUN, np.minimum)
     begin = np.arange(len(least))
-    text = np.repeat(np.arange(len(texts)), w.count)
     least[text[begin] != text[begin + LEAST - 1]] = 0  # windows over two texts select nothing
+    return w, chain, least, text
+
+
+def chains_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, chain hash and word position of the selected chains, each hash of a text once."""
+    w, chain, least, text = _least_chains(texts)
+    if not len(least):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     padded = np.concatenate([np.zeros(RUN - 1, np.uint64), least, np.zeros(RUN - 1, np.uint64)])
     at = np.flatnonzero((_slide(padded, RUN, np.maximum) == chain) & (chain != 0))
     order = np.lexsort((at, chain[at], text[at]))
@@ -172,67 +181,79 @@ def chains_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return text[at], chain[at].view(np.int64), at - w.first[text[at]]
 
 
+def windows_of(text: str, chains: list[int]) -> tuple[np.ndarray, ...]:
+    """Least chain, hash, word position, begin and end (code points) of the windows of LEAST words whose least chain is one of `chains`."""
+    w, chain, least, _ = _least_chains([text])
+    at = np.flatnonzero(np.isin(least, np.array(chains, np.int64).view(np.uint64)) & (least != 0))
+    window = np.zeros(len(at), np.uint64)
+    for j in (*range(0, RUN, CHAIN), RUN - 1):  # chains that together cover the window
+        window = window * STEP + chain[at + j]
+    return least[at].view(np.int64), mix(window).view(np.int64), at, w.start[at], w.end[at + LEAST - 1]
+
+
 def chain_rows(docs: DataFrame) -> DataFrame:
-    """chain, key (60 bits of the text key) and word position of the selected chains of every different text of a batch."""
+    """chain and key (60 bits of the text key) of the selected chains of every different text of a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             of = dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
             keys, texts = np.array(list(of), np.int64), list(of.values())
             for a, b in steps(texts):
-                text, chain, at = chains_of(texts[a:b])
-                yield pa.RecordBatch.from_arrays([pa.array(chain), pa.array(keys[text + a]), pa.array(at.astype(np.int32))], names=["chain", "key", "at"])
+                text, chain, _ = chains_of(texts[a:b])
+                yield pa.RecordBatch.from_arrays([pa.array(chain), pa.array(keys[text + a])], names=["chain", "key"])
 
-    return docs.select("key", "text").mapInArrow(run, "chain long, key long, at int")
+    return docs.select("key", "text").mapInArrow(run, "chain long, key long")
 
 
-@lru_cache(16)
-def _words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    w = words_of([text])
-    return w.hash, w.start, w.end
+def window_rows(texts: DataFrame) -> DataFrame:
+    """id (least chain and hash), key, at, begin and end of the windows of texts (key, text, chains)."""
 
-
-def equal_runs(kept: str, text: str, shifts: list[int], least: int = LEAST) -> list[tuple[int, int]]:
-    """Begin and end (code points) in text of runs of `least` words or more equal to those of kept, at the given shifts."""
-    a, _, _ = _words(kept)
-    b, start, end = _words(text)
-    out = []
-    for shift in shifts:  # word i of kept stands against word i + shift of text
-        lo, hi = max(0, -shift), min(len(a), len(b) - shift)
-        if hi - lo < least:
-            continue
-        same = np.concatenate(([0], (a[lo:hi] == b[lo + shift : hi + shift]).astype(np.int8), [0]))
-        edge = np.diff(same)
-        for x, y in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)):
-            if y - x >= least:
-                out.append((int(start[lo + shift + x]), int(end[lo + shift + y - 1])))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, text, chains in zip(*(c.to_pylist() for c in batch.columns)):
+                chain, window, *places = windows_of(text, chains)
+                yield pa.RecordBatch.from_arrays([pa.array(chain), pa.array(window), pa.array(np.full(len(chain), key)), *(pa.array(x.astype(np.int64)) for x in places)], names=["chain", "window", "key", "at", "begin", "end"])
+
+    rows = texts.select("key", "text", "chains").mapInArrow(run, "chain long, window long, key long, at long, begin long, end long")
+    return rows.select(F.struct("chain", "window").alias("id"), "key", "at", "begin", "end")
+
+
+def merged(windows: list[dict]) -> list[tuple[int, int]]:
+    """Begin and end of runs of overlapping windows, given in order."""
+    out: list[tuple[int, int]] = []
+    last = None
+    for w in windows:
+        if last is not None and w["at"] < last + LEAST:
+            out[-1] = (out[-1][0], w["end"])
+        else:
+            out.append((w["begin"], w["end"]))
+        last = w["at"]
     return out
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """key, begin, end of passages of a text that an earlier text has, and kept_key.
 
-    Two different texts of one 60-bit key (a chance of 3e-8 a text among 3e10) are left as they are.
+    A window is kept in the text of least key that has it, at all its places there, and goes at every
+    place from all others. Windows are equal if two 64-bit hashes are. Two different texts of one
+    60-bit key (a chance of 3e-8 a text among 3e10) are left as they are.
     """
-    rows = chain_rows(docs)
-    first = rows.groupBy("chain").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.min(F.struct("key", "at")).alias("hub")).where("low <> high")
-    met = rows.join(first.select("chain", "hub"), "chain").where(F.col("key") != F.col("hub.key"))
-    pairs = met.groupBy("key", F.col("hub.key").alias("kept_key")).agg(F.collect_set(F.col("at") - F.col("hub.at")).alias("shifts"))
-    pairs = staged(pairs, "pairs")
-    wanted = pairs.select("key").unionAll(pairs.select("kept_key")).distinct()
+    rows = staged(chain_rows(docs), "chains")
+    met = rows.groupBy("chain").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high")
+    held = join_on_hot_key(rows, staged(met.select("chain", "n"), "shared-chains"), "chain", "n", rows.count())
+    wanted = staged(held.groupBy("key").agg(F.collect_set("chain").alias("chains")), "wanted")
     one_each = docs.groupBy("key").agg(F.first("text").alias("text"), F.min("node").alias("node"), F.max("node").alias("other")).where("node = other").select("key", "text")
-    texts = staged(one_each.join(wanted, "key", "left_semi"), "texts")
-    both = pairs.hint("merge").join(texts, "key").hint("merge").join(texts.select(F.col("key").alias("kept_key"), F.col("text").alias("kept")), "kept_key")
+    windows = staged(window_rows(one_each.join(wanted.hint("merge"), "key")), "windows")
+    first = windows.groupBy("id").agg(F.min("key").alias("kept_key"), F.max("key").alias("high"), F.count(F.lit(1)).alias("n")).where("kept_key <> high")
+    later = join_on_hot_key(windows, staged(first.select("id", "kept_key", "n"), "first-windows"), "id", "n", windows.count()).where("key <> kept_key")
+    runs = later.groupBy("key", "kept_key").agg(F.sort_array(F.collect_list(F.struct("at", "begin", "end"))).alias("windows"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for key, kept_key, shifts, text, kept in zip(*(c.to_pylist() for c in batch.columns)):
-                out += [(key, kept_key, b, e) for b, e in equal_runs(kept, text, shifts)]
-            k, h, b, e = zip(*out) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (k, b, e, h)], names=["key", "begin", "end", "kept_key"])
+            out = [(key, b, e, kept_key) for key, kept_key, windows in zip(*(c.to_pylist() for c in batch.columns)) for b, e in merged(windows)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out) if out else ((), (), (), ()))], names=["key", "begin", "end", "kept_key"])
 
-    return both.select("key", "kept_key", "shifts", "text", "kept").mapInArrow(run, "key long, begin long, end long, kept_key long")
+    return runs.mapInArrow(run, "key long, begin long, end long, kept_key long")
 
 
 def removals(docs: DataFrame, least: int = LEAST) -> DataFrame:

@@ -77,3 +77,31 @@ def test_cut():
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert p.removals(docs).count() == 0 and p.deduplicated(docs).count() == 0
+
+
+def windows(text):
+    w = text.split()
+    return {tuple(w[i : i + p.LEAST]) for i in range(len(w) - p.LEAST + 1)}
+
+
+def left_after(spark, texts):
+    """Texts by key (in the given order) without their passages."""
+    docs = spark.createDataFrame([(i, str(i).encode(), t) for i, t in enumerate(texts)], "key long, node binary, text string")
+    lost = defaultdict(list)
+    for r in p.repeated_passages(docs).collect():
+        assert r.kept_key < r.key
+        lost[r.key].append((r.begin, r.end))
+    return [p.cut(t, *zip(*lost[i])) if i in lost else t for i, t in enumerate(texts)]
+
+
+def test_the_first_text_of_a_chain_has_only_a_part(spark):
+    rnd = random.Random(21)
+    texts: list[str] = []
+    passages = [prose(rnd, p.LEAST) for _ in range(8)]
+    texts += [f"{prose(rnd, 30)} before {' '.join(x.split()[:-1])} other {prose(rnd, 30)}" for x in passages]
+    for i in range(2):
+        texts += [f"{prose(rnd, 20)} before{i} {x} behind{i} {prose(rnd, 25)}" for x in passages]
+    assert not any(windows(a) & windows(b) for a in texts[:8] for b in texts[8:])
+    left = left_after(spark, texts)
+    assert left[:16] == texts[:16]
+    assert all(x not in t for x, t in zip(passages, left[16:]))
