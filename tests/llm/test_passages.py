@@ -105,3 +105,14 @@ def test_the_first_text_of_a_chain_has_only_a_part(spark):
     left = left_after(spark, texts)
     assert left[:16] == texts[:16]
     assert all(x not in t for x, t in zip(passages, left[16:]))
+
+
+def test_every_place_of_a_passage_goes(spark):
+    """Twice in the later text, and behind a decoy of the passage's middle in the earlier one."""
+    rnd = random.Random(22)
+    x = prose(rnd, 60)
+    decoy = " ".join(x.split()[8:52])
+    texts = [f"{prose(rnd, 20)} {decoy} {prose(rnd, 40)} one {x} one {prose(rnd, 20)}", f"{prose(rnd, 9)} {decoy} {prose(rnd, 15)} two {x} two {prose(rnd, 70)} two {x} two {prose(rnd, 8)}"]
+    left = left_after(spark, texts)
+    assert left[0] == texts[0] and x not in left[1] and not windows(left[1]) & windows(texts[0])
+    assert len(left[1].split()) == len(texts[1].split()) - 120
