@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallycast.llm import bpe, decontamination, lm_scoring, neardup, passages, quality, sharding, spotsigs, tokenfiles, toxicity
+from tallycast.llm import bpe, decontamination, lm_scoring, neardup, passages, quality, sharding, simhash, spelling, spotsigs, tokenfiles, toxicity, trie
 from tallycast.llm.common import fresh_path, table
 from tallycast.llm.training import remainder
 
@@ -91,3 +91,18 @@ def cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = lm_scoring.fit(docs, lm_scoring.labelled(docs, table(spark, sf_dir, "labels")))
     return lm_scoring.score(docs, model)
+
+
+@query("op11_simhash_pivots")
+def simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op12_spelling_variants", spelling.ORACLE)
+def spelling_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@query("op13_prefix_trie", trie.ORACLE)
+def conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
