@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 #: A key is hot when it has at least this share of all rows, so there are at most HOT_KEYS hot keys.
 HOT_KEYS = 1000
 
-#: Rows of one Arrow batch: long texts stay within a worker's memory.
-BATCH_ROWS = 512
+#: Rows and bytes of one Arrow batch, about: long texts stay within a worker's memory.
+BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small_batches(spark: SparkSession) -> None:
     """Hand texts to Python in small Arrow batches."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
