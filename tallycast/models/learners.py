@@ -1,4 +1,4 @@
-"""Library learners with monthly refits: boosted trees and log-link GLMs on the feature table."""
+"""Learners with monthly refits on the feature table: boosted trees by histograms and the library's log-link GLMs."""
 
 from __future__ import annotations
 
@@ -8,18 +8,19 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression
+from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallycast.functions.quantiles import exact_quantiles
+from tallycast.models.boosting import Model, boosted_backtest
 from tallycast.operators.features import CALENDAR_COLUMNS, LEVEL_COLUMNS
 from tallycast.operators.profile import append_all
 from tallycast.spec import Setting
 
 INPUTS = (*LEVEL_COLUMNS, *CALENDAR_COLUMNS)
 # Untuned defaults.
-TREES, RATE, DEPTH = 30, 0.25, 4  # fewer, larger steps than 400 at 0.05: the library grows trees one job at a time
+TREES, DEPTH = 400, 4
 TWEEDIE_POWER = 1.5
 # Refit months that the driver has under way at once.
 FIT_THREADS = 8
@@ -35,13 +36,17 @@ class Config:
     params: Mapping[str, object] = field(default_factory=dict)
 
 
-# The registry of configurations. Tree engines share one implementation
-# here, so the names say loss and level mode; log-link losses run as GLMs with the
-# log level as offset, because the library's trees have no Poisson loss.
+# The registry of configurations. Names say loss and level mode; sym_ grows symmetric trees,
+# the others choose a split for each node.
 REGISTRY: tuple[Config, ...] = (
-    Config("gbt_l2_raw", "gbt", "none", {"lossType": "squared"}),
-    Config("gbt_l1_raw", "gbt", "none", {"lossType": "absolute"}),
-    Config("gbt_l1", "gbt", "ratio", {"lossType": "absolute"}),
+    Config("gbt_poisson", "boost", "offset", {"loss": "poisson"}),
+    Config("gbt_tweedie", "boost", "offset", {"loss": "tweedie", "power": TWEEDIE_POWER}),
+    Config("gbt_poisson_raw", "boost", "none", {"loss": "poisson"}),
+    Config("sym_poisson", "boost", "offset", {"loss": "poisson", "symmetric": True}),
+    Config("sym_tweedie", "boost", "offset", {"loss": "tweedie", "power": TWEEDIE_POWER, "symmetric": True}),
+    Config("gbt_l2_raw", "boost", "none", {"loss": "squared"}),
+    Config("gbt_l1_raw", "boost", "none", {"loss": "absolute"}),
+    Config("gbt_l1", "boost", "ratio", {"loss": "absolute"}),
     Config("glm_poisson", "glm", "offset", {"family": "poisson", "link": "log"}),
     Config("glm_tweedie", "glm", "offset", {"family": "tweedie", "variancePower": TWEEDIE_POWER, "linkPower": 0.0}),
     Config("glm_poisson_raw", "glm", "none", {"family": "poisson", "link": "log"}),
@@ -49,9 +54,18 @@ REGISTRY: tuple[Config, ...] = (
     Config("linear", "linear"),
     Config("ets_weekly", "smoothing"),
     Config("ar_calendar", "ar"),
+    Config("topdown_gbt_poisson_raw", "boost", "topdown", {"loss": "poisson"}),
     Config("topdown_ets", "smoothing", "topdown"),
 )
-CANDIDATES = ("gbt_l2_raw", "glm_poisson", "glm_tweedie", "ets_weekly", "topdown_ets")
+CANDIDATES = ("gbt_poisson_raw", "gbt_poisson", "sym_tweedie", "ets_weekly", "topdown_ets")
+
+
+def boosted_model(config: Config, params: Mapping[str, object] | None = None, name: str | None = None) -> Model:
+    """The boosted model of a configuration; its top-down base predicts raw totals."""
+    if config.kind != "boost":
+        raise ValueError(f"{config.name}: kind {config.kind!r} is not boosted")
+    level = "none" if config.level == "topdown" else config.level
+    return Model(name or config.name, level=level, **{**config.params, **(params or {})})
 
 
 def select_configs(names: Sequence[str] | None = None) -> list[Config]:
@@ -80,17 +94,12 @@ def prepared(rows: DataFrame, fills: Mapping[str, float], setting: Setting) -> D
     return rows.withColumns({"missing": missing, "level": level, "log_level": F.log(level)}).withColumns(filled)
 
 
-def _stages(config: Config, groups: int, params: Mapping[str, object]) -> list:
-    index = StringIndexer(inputCol="grp_key", outputCol="grp_index", handleInvalid="keep", stringOrderType="alphabetAsc")
-    if config.kind == "gbt":
-        vector = VectorAssembler(inputCols=[*INPUTS, "missing", "grp_index"], outputCol="x")
-        weight = {"weightCol": "level"} if config.level == "ratio" else {}
-        defaults = {"maxIter": TREES, "stepSize": RATE, "maxDepth": DEPTH, "minInstancesPerNode": 50, "maxBins": max(32, groups + 2), "seed": 42}
-        return [index, vector, GBTRegressor(featuresCol="x", labelCol="label", predictionCol="raw", **weight, **{**defaults, **config.params, **params})]
+def _stages(config: Config, params: Mapping[str, object]) -> list:
     if config.kind != "glm":
         raise ValueError(f"{config.name}: kind {config.kind!r} is not fitted here; plans.registry dispatches it")
     from pyspark.ml.feature import OneHotEncoder
 
+    index = StringIndexer(inputCol="grp_key", outputCol="grp_index", handleInvalid="keep", stringOrderType="alphabetAsc")
     hot = OneHotEncoder(inputCol="grp_index", outputCol="grp_hot", handleInvalid="keep")
     vector = VectorAssembler(inputCols=[*INPUTS, "missing", "grp_hot"], outputCol="x")
     offset = {"offsetCol": "log_level"} if config.level == "offset" else {}
@@ -114,25 +123,27 @@ def monthly_backtests(features: DataFrame, config: Config, setting: Setting, mon
                       trials: Sequence[Mapping[str, object]]) -> list[DataFrame]:
     """Prediction rows of each parameter set: refit monthly on everything known, then predict.
 
-    The driver loops over refit months and parameter sets only; every fit is distributed.
-    Imputation and training rows of a month are prepared once and shared by all sets.
-    ``features`` is read once per month, so pass a staged table.
+    Boosted sets grow together, tree by tree; "trees" and "depth" are those of the first set. For GLMs
+    the driver loops over refit months and sets, and every fit is distributed; imputation and training
+    rows of a month are prepared once and shared by all sets. ``features`` is read several times, so
+    pass a staged table.
     """
-    ratio = config.level == "ratio"
+    if config.kind == "boost":
+        shape = {"trees": TREES, "depth": DEPTH, **{k: v for k, v in trials[0].items() if k in ("trees", "depth")}}
+        models = [boosted_model(config, {k: v for k, v in t.items() if k not in shape}, f"{config.name}_{i}") for i, t in enumerate(trials)]
+        rows = boosted_backtest(features, models, setting, months, **shape)
+        return [rows.where(F.col("model") == m.name).withColumn("model", F.lit(config.name)) for m in models]
 
     def of_month(month: str) -> list[DataFrame]:
         train = month_training(features, month, setting)
         fills = training_medians(train, INPUTS)
-        label = F.col("y") / F.col("level") if ratio else F.col("y")
-        rows = prepared(train, fills, setting).withColumns({"label": label.cast("double"), "grp_key": F.col("grp").cast("string")})
+        rows = prepared(train, fills, setting).withColumns({"label": F.col("y").cast("double"), "grp_key": F.col("grp").cast("string")})
         rows = rows.select("label", "level", "log_level", "grp_key", "missing", *INPUTS).persist()
-        groups = rows.select(F.approx_count_distinct("grp_key")).first()[0]
         ready = prepared(month_issues(features, month), fills, setting).where("level > 0").withColumn("grp_key", F.col("grp").cast("string"))
-        y = F.col("raw") * F.col("level") if ratio else F.col("raw")
         parts = []
         for params in trials:
-            model = Pipeline(stages=_stages(config, int(groups * 1.2) + 2, params)).fit(rows)
-            parts.append(_rows(model.transform(ready).withColumn("y_pred", y), config.name, setting))
+            model = Pipeline(stages=_stages(config, params)).fit(rows)
+            parts.append(_rows(model.transform(ready).withColumn("y_pred", F.col("raw")), config.name, setting))
         rows.unpersist()
         return parts
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallycast.models import linear, negbin, smoothing
-from tallycast.models.learners import Config, monthly_backtest, select_configs
+from tallycast.models.boosting import boosted_backtest
+from tallycast.models.learners import DEPTH, TREES, Config, boosted_model, monthly_backtest, select_configs
+from tallycast.models.topdown import split_total
 from tallycast.operators.features import feature_table, strict_features
+from tallycast.operators.panel import total_series
 from tallycast.operators.profile import append_all
 from tallycast.plans.holdout import topdown_smoothing
 from tallycast.sources.sinks import stage
@@ -32,13 +35,27 @@ def _linear_rows(panel: DataFrame, config: Config, setting: Setting, start: str,
         F.col("date").alias("target_start"), F.col("date").alias("target_end"), "grp", "y_true", "y_pred")
 
 
-def registry_run(panel: DataFrame, names: Sequence[str], setting: Setting, start: str, end: str, groups: Sequence[int]) -> DataFrame:
-    """Prediction rows of the named configurations with monthly refits over [start, end].
+def _topdown_boosted(panel: DataFrame, configs: Sequence[Config], setting: Setting, months: Sequence[str], shape: Mapping[str, int], params: Mapping[str, object]) -> DataFrame:
+    """Boosted forecasts of the total, split by recent shares."""
+    totals = stage(feature_table(total_series(panel), setting), "total-features")
+    rows = boosted_backtest(totals, [boosted_model(c, params) for c in configs], setting, months, **shape)
+    parts = []
+    for c in configs:
+        total = rows.where(F.col("model") == c.name).select("cutoff", F.col("y_pred").alias("total"))
+        parts.append(smoothing.with_truth(split_total(panel, total), panel, setting, c.name))
+    return append_all(parts)
+
+
+def registry_run(panel: DataFrame, names: Sequence[str] | None, setting: Setting, start: str, end: str, groups: Sequence[int],
+                 trees: int = TREES, params: Mapping[str, object] | None = None) -> DataFrame:
+    """Prediction rows of the named configurations (all, if None) with monthly refits over [start, end].
 
     Every kind has its own fit; a kind without one is an error, so nothing runs under a wrong
-    name. The feature table is written once, and only if a named model reads it.
+    name. The feature table is written once, and only if a named model reads it. Boosted models
+    grow together, with so many trees and these parameters.
     """
     configs, months = select_configs(names), months_of(start, end)
+    shape, params = {"trees": trees, "depth": DEPTH}, params or {}
     tables: list[DataFrame] = []
 
     def features() -> DataFrame:
@@ -46,6 +63,11 @@ def registry_run(panel: DataFrame, names: Sequence[str], setting: Setting, start
             tables.append(stage(feature_table(panel, setting), "features"))
         return tables[0]
 
+    def boosted(cs: list[Config]) -> DataFrame:
+        flat, top = ([c for c in cs if (c.level == "topdown") is t] for t in (False, True))
+        parts = [boosted_backtest(features(), [boosted_model(c, params) for c in flat], setting, months, **shape)] if flat else []
+        return append_all([p.select(*COLUMNS) for p in [*parts, *([_topdown_boosted(panel, top, setting, months, shape, params)] if top else [])]])
+
     def learner(c: Config) -> DataFrame:
         return monthly_backtest(features(), c, setting, months)
 
@@ -63,10 +85,10 @@ def registry_run(panel: DataFrame, names: Sequence[str], setting: Setting, start
     def straight(c: Config) -> DataFrame:
         return _linear_rows(panel, c, setting, start, end, groups)
 
-    runs: dict[str, Callable[[Config], DataFrame]] = {
-        "gbt": learner, "glm": learner, "negbin": negative_binomial, "linear": straight, "smoothing": smoothed, "ar": autoregressive,
-    }
+    runs: dict[str, Callable[[Config], DataFrame]] = {"glm": learner, "negbin": negative_binomial, "linear": straight, "smoothing": smoothed, "ar": autoregressive}
     for c in configs:
-        if c.kind not in runs:
+        if c.kind not in (*runs, "boost"):
             raise ValueError(f"{c.name}: no fit for kind {c.kind!r}")
-    return append_all([runs[c.kind](c).select(*COLUMNS) for c in configs])
+    together = [c for c in configs if c.kind == "boost"]
+    parts = [boosted(together)] if together else []
+    return append_all([p.select(*COLUMNS) for p in [*parts, *(runs[c.kind](c) for c in configs if c.kind != "boost")]])

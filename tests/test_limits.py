@@ -61,7 +61,7 @@ def test_long_member_names(spark):
 
 def test_unknown_kind_is_an_error(spark):
     with pytest.raises(ValueError, match="kind"):
-        _stages(Config("odd", "unknown"), 3, {})
+        _stages(Config("odd", "unknown"), {})
     with pytest.raises(ValueError, match="unknown models"):
         registry_run(steady(spark, 5, 10), ["no_such_model"], DAILY, "2024-01-01", "2024-01-31", (1,))
     assert months_of("2023-11-01", "2024-02-29") == ["2023-11-01", "2023-12-01", "2024-01-01", "2024-02-01"]

@@ -106,7 +106,7 @@ def test_negative_binomial_recovers_effects(spark):
 
 def test_ratio_and_offset_learners(panel):
     feats = X.feature_table(panel, DAILY).cache()
-    for name, params in (("gbt_l1", {"maxIter": 3}), ("glm_poisson", {})):
+    for name, params in (("gbt_l1", {"trees": 8, "depth": 3}), ("glm_poisson", {})):
         rows = L.monthly_backtest(feats, L.select_configs([name])[0], DAILY, ["2024-05-01"], params).where("y_true is not null")
         s = rows.select(F.count("*").alias("n"), (F.sum(F.abs(F.col("y_pred") - F.col("y_true"))) / F.sum("y_true")).alias("w")).first()
         assert s.n == 62 and s.w < 0.3
