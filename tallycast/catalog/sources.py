@@ -14,6 +14,7 @@ from tallycast.sources import manifest as MF
 from tallycast.sources import records as RC
 from tallycast.sources import sinks
 
+
 _TEXT = ("tx as (select o_orderkey, case when o_orderstatus = 'P' then strftime(o_orderdate, '%Y-%m-%d') when o_totalprice > 450000 then 'n/a' else strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') end as created from orders), "
          "pt as (select *, coalesce(try_strptime(created, '%Y-%m-%dT%H:%M:%S'), try_strptime(created, '%Y-%m-%d')) as ts from tx)")
 
@@ -47,7 +48,7 @@ def a01(spark, sf):
     """Orders written as CSV exports and scanned back with an explicit schema."""
     o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", F.nullif(F.col("o_orderstatus"), F.lit("P")).alias("o_orderstatus"),
                                           "o_totalprice", F.date_format("o_orderdate", "yyyy-MM-dd").alias("o_orderdate"))
-    path = sinks.write_report(o, sinks.scratch_path(spark, "csv-export"))
+    path = sinks.write_report(o, sinks.sinks.scratch_path(spark, "csv-export"))
     schema = RC.event_schema(["o_orderkey", "o_custkey"], ["o_orderstatus", "o_orderdate"], ["o_totalprice"], o.columns)
     return RC.read_events(spark, path, schema).withColumn("has_file", F.col("source_file").endswith(".csv")).drop("source_file")
 
@@ -65,7 +66,7 @@ _RES = f"{results_ctes(LINE_PANEL, S.DAILY, *VALIDATION, (13,))}, {SCORED_SQL}"
 @query("a07_csv_report", f"with {_RES} select model, count(*) as n, avg(abs(error)) as mae from sc group by model")
 def a07(spark, sf):
     r = M.scored(rolling_origin(line_panel(spark, sf), S.DAILY, *VALIDATION, (13,))).groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs("error")).alias("mae"))
-    path = sinks.write_report(r, sinks.scratch_path(spark, "report"))
+    path = sinks.write_report(r, sinks.sinks.scratch_path(spark, "report"))
     return spark.read.schema("model string, n bigint, mae double").option("header", True).csv(path)
 
 
@@ -74,6 +75,17 @@ def a08(spark, sf):
     return MF.fingerprint(spark, sf, "*.parquet")
 
 
+@query("a08_written_files", "select 'key=' || n_nationkey as folder, sha256(n_name || chr(10) || n_regionkey || chr(10)) as sha256, cast(strlen(n_name || n_regionkey) + 2 as bigint) as bytes from nation")
+def a08w(spark, sf):
+    """Fingerprints of files written from the nations, a folder of its own each."""
+    n = table(spark, sf, "nation")
+    lines = n.select(F.col("n_nationkey").alias("key"), F.concat_ws("\n", "n_name", F.col("n_regionkey").cast("string")).alias("value"))
+    folder = sinks.scratch_path(spark, "nations")
+    lines.repartition("key").write.partitionBy("key").text(folder)
+    got = MF.fingerprint(spark, folder)
+    return got.select(F.substring_index("path", "/", 1).alias("folder"), "sha256", "bytes")
+
+
 _EXPECT = "ex as (select p_name || '-' || p_partkey as path, sha256(p_brand) as sha256, cast(p_size as bigint) as bytes from part), ac as (select p_name || '-' || p_partkey as path, sha256(case when p_size % 7 = 3 then 'x' else p_brand end) as sha256, cast(case when p_size % 5 = 2 then p_size + 1 else p_size end as bigint) as bytes from part where p_type <> 'PROMO')"
 
 

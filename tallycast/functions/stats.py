@@ -63,11 +63,21 @@ class Running:
     def gated_total(self, name: str, size: int, need: int, end: int = 0) -> Column:
         return F.when(self.known(name, end - size + 1, end) >= need, self.total(name, end - size + 1, end))
 
+    @staticmethod
+    def squares(name: str, value: Column) -> dict[str, Column]:
+        """Two values to sum up for :meth:`sample_sd`: the high and the low 32 bits of the square.
+
+        Either sum stays within 64 bits for 2**31 rows, where squares themselves would not; |value| < 3.03e9.
+        """
+        square = value.cast("bigint") * value.cast("bigint")
+        return {f"{name}_hi": F.shiftright(square, 32), f"{name}_lo": square.bitwiseAND(F.lit((1 << 32) - 1))}
+
     def sample_sd(self, name: str, square: str, size: int, need: int) -> Column:
         """ddof 1, from integer sums of values and squares: no rounding before the division."""
         c = self.known(name, 1 - size, 0)
-        s, q = self.total(name, 1 - size, 0).cast("decimal(19,0)"), self.total(square, 1 - size, 0)  # squares outgrow 64 bits
-        spread = (c * q - s * s).cast("double")
+        high, low = (self.total(f"{square}_{part}", 1 - size, 0).cast("decimal(19,0)") for part in ("hi", "lo"))
+        s, q = self.total(name, 1 - size, 0).cast("decimal(19,0)"), high * F.lit(1 << 32).cast("decimal(11,0)") + low
+        spread = (c.cast("decimal(7,0)") * q - s * s).cast("double")
         return F.when((c >= need) & (c > 1), F.sqrt(spread / F.nullif(c * (c - 1), F.lit(0))))
 
 

@@ -102,9 +102,9 @@ def forward_total(n: Column, setting: Setting) -> Column:
     return F.when(F.count(n).over(frame) == setting.window_days, F.sum(n).over(frame).cast("double"))
 
 
-def running_counts(longer: DataFrame) -> tuple[DataFrame, Running]:
-    """Add the running sums every level feature is read from."""
-    run = Running(series(), {"n": F.col("n"), "sub": F.col("n_sub"), "sq": F.col("n").cast("decimal(19,0)") * F.col("n").cast("decimal(19,0)")})
+def running_counts(longer: DataFrame, spread: bool = False) -> tuple[DataFrame, Running]:
+    """Add the running sums every level feature is read from; those of squares only if ``spread``."""
+    run = Running(series(), {"n": F.col("n"), "sub": F.col("n_sub"), **(Running.squares("sq", F.col("n")) if spread else {})})
     return longer.select("*", *(c.alias(k) for k, c in run.columns.items())), run
 
 
@@ -153,7 +153,7 @@ def with_timing(df: DataFrame, setting: Setting) -> DataFrame:
 def feature_table(panel: DataFrame, setting: Setting) -> DataFrame:
     """Keys, 18 level and 6 calendar features and the target ``y`` for every cutoff."""
     longer = with_same_weekday(extend(panel, horizon_days(setting)), setting, WEEKDAY_WEEKS)
-    longer, run = running_counts(longer)
+    longer, run = running_counts(longer, spread=True)
     wide = longer.select("date", "grp", "__real", *(c.alias(k) for k, c in level_columns(run, setting).items()),
                          window_total(run, setting).alias("y")).where("__real")
     wide = with_timing(with_ratios(wide), setting)

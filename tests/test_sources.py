@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 import json
 
 import pytest
@@ -120,3 +121,26 @@ def test_column_profile_sketch_agrees(spark):
     assert exact == {"a": (1000, 0, 50, 0.0, 49.0), "b": (1000, 250, 1, None, None)}
     sketch = {r.variable: r.distinct for r in R.column_profile(df, ["a", "b"], approx=True).collect()}
     assert abs(sketch["a"] - 50) <= 3 and sketch["b"] == 1
+
+
+def test_names_are_relative_to_the_folder_given(spark, tmp_path):
+    root = tmp_path / "data"
+    for folder in ("a/data", "b/data", "c d"):
+        (root / folder).mkdir(parents=True)
+        (root / folder / "f.txt").write_text(folder)
+    want = [(f"{folder}/f.txt", hashlib.sha256(folder.encode()).hexdigest(), len(folder)) for folder in ("a/data", "b/data", "c d")]
+    for given in (str(root), f"{root}/", f"file://{root}"):
+        assert rows_of(M.fingerprint(spark, given), "path", "sha256", "bytes") == want
+    assert rows_of(M.fingerprint(spark, str(root / "c d" / "f.txt")), "path", "bytes") == [("f.txt", 3)]
+    with pytest.raises(Exception, match="(?i)not exist|no such"):
+        M.fingerprint(spark, str(tmp_path / "nope"))
+
+
+def test_file_beyond_two_gigabytes(spark, tmp_path):
+    size = 2**31 + 5
+    with open(tmp_path / "big.bin", "wb") as f:
+        f.truncate(size)  # takes no space on disk
+    h = hashlib.sha256()
+    for a in range(0, size, 1 << 24):
+        h.update(bytes(min(1 << 24, size - a)))
+    assert rows_of(M.fingerprint(spark, str(tmp_path)), "path", "sha256", "bytes") == [("big.bin", h.hexdigest(), size)]
