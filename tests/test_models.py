@@ -55,6 +55,34 @@ def test_linear_equals_least_squares(panel):
             assert got[r.date, r.grp] == pytest.approx(want, rel=1e-6)
 
 
+def test_linear_group_effects(spark):
+    """Thousands of groups, one that is new, one that is not listed: equal to least squares with a dummy a group."""
+    rng, first = np.random.default_rng(1), day("2024-01-01")
+    rows = []
+    for g in range(3000):
+        for i in range(12):
+            x = float(rng.normal())
+            rows.append((first + dt.timedelta(days=int(rng.integers(0, 40))), g, int(50 + 10 * x + g % 17 + rng.integers(0, 3)), x, None if i == 5 else float(rng.normal())))
+    rows += [(day("2024-02-20"), 9999, 70, 1.0, 0.0)]
+    df = spark.createDataFrame(rows, "date date, grp bigint, n bigint, a double, b double")
+    got = linear.monthly_linear(df, None, "2024-02-01", "2024-02-29", numeric=("a", "b")).toPandas()
+    pdf = df.toPandas()
+    train = pdf[pdf.date <= day("2024-01-29")]
+    fill = train["b"].median()
+    x = train[["a", "b"]].fillna({"b": fill}).to_numpy()
+    means = pd.DataFrame(np.column_stack([x, train.n]), index=train.grp).groupby(level=0).mean()
+    centred = np.column_stack([x, train.n]) - means.loc[train.grp].to_numpy()
+    beta = np.linalg.lstsq(centred[:, :2], centred[:, 2], rcond=None)[0]
+    effect = means[2] - means[[0, 1]].to_numpy() @ beta
+    overall = (effect * train.groupby("grp").size()).sum() / len(train)
+    test = pdf[pdf.date >= day("2024-02-01")].fillna({"b": fill})
+    want = effect.reindex(test.grp).fillna(overall).to_numpy() + test[["a", "b"]].to_numpy() @ beta
+    key = ["date", "grp", "y_true", "y_pred"]
+    test = pd.DataFrame({"date": test.date, "grp": test.grp, "y_true": test.n.astype(float), "y_pred": want})
+    a, b = (t[key].sort_values(key).reset_index(drop=True) for t in (got, test))
+    assert len(a) == len(b) > 5000 and (a.grp == b.grp).all() and np.allclose(a.y_pred, b.y_pred, rtol=1e-6)
+
+
 def poison(panel, cutoff):
     return panel.withColumn("n", F.when(F.col("date") > cutoff, F.lit(10000)).otherwise(F.col("n")))
 
