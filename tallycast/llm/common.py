@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import wraps
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,31 @@ HOT_KEYS = 1000
 BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 
 
+#: Bytes of results and texts that a cache of a Python worker keeps, about.
+CACHE_BYTES = 32 << 20
+
+
+def bounded(fn: Callable[[str], tuple[np.ndarray, ...] | np.ndarray]):
+    """Cache arrays by text until they hold CACHE_BYTES; then it starts again, so a reused worker keeps no more."""
+    kept: dict[str, tuple[np.ndarray, ...] | np.ndarray] = {}
+    held = 0
+
+    @wraps(fn)
+    def cached(text: str):
+        nonlocal held
+        found = kept.get(text)
+        if found is None:
+            found = fn(text)
+            held += 4 * len(text) + sum(x.nbytes for x in (found if isinstance(found, tuple) else (found,)))
+            if held > CACHE_BYTES:
+                kept.clear()
+                held = 4 * len(text) + sum(x.nbytes for x in (found if isinstance(found, tuple) else (found,)))
+            kept[text] = found
+        return found
+
+    return cached
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -6,20 +6,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallycast.llm.common import small_batches, staged
 
-#: Hubs of a bucket in the second round.
-HUBS = 8
 #: Members and bytes of text of a block, about; what hubs leave is compared block by block.
 BLOCK, BLOCK_BYTES = 64, 1 << 20
 #: Rows of an Arrow batch of block pairs.
 BLOCK_ROWS = 16
 #: (first texts, second texts) -> whether each pair is linked.
 Verify = Callable[[list[str], list[str]], list[bool]]
-#: (first texts, second texts) -> matrix of the pairs that may be linked; all others surely are not.
+#: (first texts, second texts) -> matrix of pairs: 0 if surely not linked, 2 if surely linked, 1 if that is left to Verify.
 Possible = Callable[[list[str], list[str]], np.ndarray]
 
 
@@ -32,6 +30,8 @@ def components(edges: DataFrame) -> DataFrame:
     never gathered. Each round is written to the shared folder.
     """
     live = staged(edges.select("a", "b").where("a <> b").distinct(), "edges")
+    if live.isEmpty():
+        return live.select(F.col("a").alias("node"), F.col("b").alias("root"))
     both = live.unionAll(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
     roots = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")), "roots")
     step = roots
@@ -63,10 +63,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, verify: Verify) -> DataFrame:
     return two.mapInArrow(run, "a binary, b binary")
 
 
-def _merged(roots: DataFrame | None, new: DataFrame) -> DataFrame:
+def _merged(roots: DataFrame, new: DataFrame) -> DataFrame:
     """Roots after new links: only the components that these touch are joined anew."""
-    if roots is None:
-        return components(new)
     ends = new.select(F.col("a").alias("node")).unionAll(new.select(F.col("b").alias("node"))).distinct()
     fresh = ends.join(roots, "node", "left_anti").select("node", F.col("node").alias("root"))
     known = staged(roots.unionAll(fresh), "known")
@@ -88,8 +86,10 @@ def _block_links(band: int, left: list[dict], right: list[dict] | None, verify:
     open_ = a[:, None] != b[None, :]
     if right is None:
         open_ = np.triu(open_)
+    state = np.ones(open_.shape, np.uint8)
     if open_.any() and possible is not None:
-        open_ &= possible([m["text"] for m in left], [m["text"] for m in other])
+        state = possible([m["text"] for m in left], [m["text"] for m in other])
+        open_ &= state > 0
     parent = list(range(len(numbers)))
 
     def root(x: int) -> int:
@@ -100,7 +100,7 @@ def _block_links(band: int, left: list[dict], right: list[dict] | None, verify:
     out = []
     for i, j in zip(*np.nonzero(open_)):
         x, y = root(a[i]), root(b[j])
-        if x != y and min(set(left[i]["bands"]).intersection(other[j]["bands"])) == band and verify([left[i]["text"]], [other[j]["text"]])[0]:
+        if x != y and min(set(left[i]["bands"]).intersection(other[j]["bands"])) == band and (state[i, j] == 2 or verify([left[i]["text"]], [other[j]["text"]])[0]):
             parent[x] = y
             out.append((left[i]["node"], other[j]["node"]))
     return out
@@ -117,9 +117,9 @@ def _rest_links(open_: DataFrame, texts: DataFrame, verify: Verify, possible: Po
     size = F.octet_length("text").cast("long").alias("bytes")
     sized = staged(open_.join(texts.select("node", size), "node"), "sized")
     each = sized.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
-    each = staged(each.withColumn("own", F.when(F.col("n") >= BLOCK, F.col("root")).otherwise(F.unhex(F.lit("")))), "components")
+    each = each.withColumn("own", F.when(F.col("n") >= BLOCK, F.col("root")).otherwise(F.unhex(F.lit(""))))
     slots = each.groupBy("band", "own").agg(F.ceil(F.greatest(F.sum("n") / BLOCK, F.sum("bytes") / BLOCK_BYTES)).cast("long").alias("slots"))
-    groups = staged(each.select("band", "root", "own").join(slots, ["band", "own"]), "groups")
+    groups = each.select("band", "root", "own").join(slots, ["band", "own"])
     slot = F.pmod(F.xxhash64("node", "band"), F.col("slots"))
     placed = staged(sized.select("band", "node", "root").join(groups, ["band", "root"]).select("band", "node", "root", F.struct("own", slot.alias("slot")).alias("block")), "placed")
     shared = placed.groupBy("node").agg(F.collect_list("band").alias("bands"))
@@ -154,12 +154,11 @@ def linked_classes(bands: DataFrame, texts: DataFrame, verify: Verify, possible:
     """node and root of the items of the components of verified links; items of one component share a root.
 
     bands: (band, node), a row for each bucket of an item. texts: (node, text), any number of equal rows a node.
-    possible: a test that rules out most pairs that are not linked, and none that are.
+    possible: a test of all pairs of two lists of texts at once that rightly decides most of them.
 
     Any two members of a bucket that are linked come into one component. To spare comparisons, the
-    members first meet one of them, its hub, drawn by hash; where members then lie in different
-    components, those outside a hub's component meet HUBS hubs, the best-linked ones. In buckets
-    of more members whose components still differ, all pairs from different components are compared.
+    members first meet one of them, its hub, drawn by hash; in buckets whose members then lie in
+    different components, all pairs from different components are compared.
     """
     members = staged(bands.select("band", "node").distinct(), "bands")
     buckets = members.groupBy("band").agg(F.min_by("node", F.xxhash64("node", "band")).alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -168,22 +167,12 @@ def linked_classes(bands: DataFrame, texts: DataFrame, verify: Verify, possible:
     one_each = texts.groupBy("node").agg(F.first("text").alias("text"))
     texts = staged(one_each.join(wanted, "node", "left_semi"), "texts")
     pairs = members.where("node <> hub").select(F.least("node", "hub").alias("node"), F.greatest("node", "hub").alias("hub")).distinct()
-    tried = staged(pairs, "pairs")
-    found = staged(_verified(tried, texts, verify), "links")
-    roots = _merged(None, found)
-
-    def still_open(least: int) -> DataFrame:
-        """band, node and root of the members of buckets of `least` members or more in different components."""
-        named = members.where(F.col("n") >= least).select("band", "node").join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-        split = named.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
-        return staged(named.join(split, "band", "left_semi"), "open")
-
-    degree = found.unionAll(found.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
-    open_ = still_open(3)
-    place = Window.partitionBy("band").orderBy(F.desc(F.coalesce("degree", F.lit(0))), F.xxhash64("node", "band"))
-    best = open_.join(degree, "node", "left").withColumn("place", F.row_number().over(place)).where(F.col("place") <= HUBS)
-    best = staged(best.select("band", F.col("node").alias("hub"), F.col("root").alias("hub_root")), "hubs")
-    pairs = open_.join(best, "band").where("root <> hub_root").select(F.least("node", "hub").alias("node"), F.greatest("node", "hub").alias("hub")).distinct()
-    pairs = staged(pairs.join(tried, ["node", "hub"], "left_anti"), "pairs")
-    roots = _merged(roots, staged(_verified(pairs, texts, verify), "links"))
-    return _merged(roots, _rest_links(still_open(HUBS + 2), texts, verify, possible))
+    roots = components(staged(_verified(pairs, texts, verify), "links"))
+    # Two members have met as node and hub.
+    named = members.where("n > 2").select("band", "node").join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+    split = named.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
+    open_ = staged(named.join(split, "band", "left_semi"), "open")
+    if open_.isEmpty():
+        return roots
+    rest = _rest_links(open_, texts, verify, possible)
+    return roots if rest.isEmpty() else _merged(roots, rest)

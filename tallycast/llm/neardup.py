@@ -14,14 +14,13 @@ or more. Classes are the components of links; copies of one text count as one no
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallycast.llm.common import join_on_hot_key, small_batches, staged, text_key
+from tallycast.llm.common import bounded, join_on_hot_key, small_batches, staged, text_key
 from tallycast.llm.graph import linked_classes
 from tallycast.llm.words import mix, shingles_of, steps, words_of
 
@@ -29,7 +28,9 @@ THRESHOLD = 0.8
 RECALL = 0.999
 SLOTS = 64
 #: Cells of shingle hashes, for bounds of the similarity, and what rounding may cost these.
-CELLS, SLACK = 256, 1e-3
+CELLS, SLACK = 4096, 1e-3
+#: Shingles of one step of comparing sets all with all.
+SHARED_STEP = 4096
 
 
 def tuned_bands(threshold: float = THRESHOLD, recall: float = RECALL, slots: int = SLOTS) -> tuple[int, int]:
@@ -126,7 +127,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(total), float(shared.sum() / len(every))
 
 
-@lru_cache(2048)
+@bounded
 def _set_of(text: str) -> tuple[np.ndarray, np.ndarray]:
     _, element, count = weighted_shingles([text])
     return element, count
@@ -144,29 +145,45 @@ def near(first: list[str], second: list[str], threshold: float = THRESHOLD) -> l
     return out
 
 
-@lru_cache(2048)
-def _cells(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Different shingles in each of CELLS cells of their hashes, and the share of all shingles in each."""
-    element, count = _set_of(text)
-    cell = (element % np.uint64(CELLS)).astype(np.int64)
-    return np.bincount(cell, minlength=CELLS).astype(np.int32), (np.bincount(cell, count, CELLS) / max(count.sum(), 1)).astype(np.float32)
+def shared_counts(first: tuple[np.ndarray, np.ndarray], second: tuple[np.ndarray, np.ndarray], sizes: tuple[int, int]) -> np.ndarray:
+    """Matrix of the numbers of elements that any two sets share, by products of membership matrices. A side: number of the set, element."""
+    out = np.zeros(sizes, np.int64)
+    shared = np.intersect1d(first[1], second[1])
+    for at in range(0, len(shared), SHARED_STEP):
+        part = shared[at : at + SHARED_STEP]
+        sides = []
+        for (owner, element), size in zip((first, second), sizes):
+            place = np.minimum(np.searchsorted(part, element), len(part) - 1)
+            held = part[place] == element
+            side = np.zeros((size, len(part)), np.float32)
+            side[owner[held], place[held]] = 1
+            sides.append(side)
+        out += (sides[0] @ sides[1].T).astype(np.int64)
+    return out
 
 
 def may_be_near(first: list[str], second: list[str], threshold: float = THRESHOLD, weighted: bool = True) -> np.ndarray:
-    """Matrix of the pairs that bounds from counts by cell do not rule out.
+    """Matrix of all pairs: 2 if the plain Jaccard similarity reaches the threshold, 1 if the probability one may, 0 if none does.
 
-    What two sets share is at most the sum of the lesser counts of each cell. The probability Jaccard
+    Plain similarities are exact, and without repeated shingles both are the same. The probability Jaccard
     similarity is the chance that two draws, one from each text's shares, are equal, so it is at most
     the sum of the lesser shares, and of those of cells.
     """
-    a, b = [_cells(t) for t in first], [_cells(t) for t in second]
-    sets, shares = np.array([c for c, _ in b]), np.array([w for _, w in b])
-    out = np.zeros((len(first), len(second)), bool)
-    for i, (x, w) in enumerate(a):
-        both = np.minimum(sets, x).sum(1)
-        out[i] = both >= threshold * (x.sum() + sets.sum(1) - both) - SLACK
-        if weighted:
-            out[i] |= np.minimum(shares, w).sum(1) >= threshold - SLACK
+    sides = [(weighted_shingles(texts), len(texts)) for texts in (first, second)]
+    (a, n), (b, m) = sides
+    both = shared_counts(a[:2], b[:2], (n, m))
+    sizes = [np.bincount(owner, minlength=k) for (owner, _, _), k in sides]
+    out = np.where((both > 0) & (both >= threshold * (sizes[0][:, None] + sizes[1][None, :] - both)), 2, 0).astype(np.uint8)
+    repeats = [np.bincount(owner, count > 1, k) > 0 for (owner, _, count), k in sides]
+    if weighted and (repeats[0].any() or repeats[1].any()):
+        shares = []
+        for (owner, element, count), k in sides:
+            cell = owner * CELLS + (element % np.uint64(CELLS)).astype(np.int64)
+            each = np.bincount(cell, count, k * CELLS).reshape(k, CELLS)
+            shares.append((each / np.maximum(each.sum(1, keepdims=True), 1)).astype(np.float32))
+        for i, x in enumerate(shares[0]):
+            open_ = np.flatnonzero((out[i] == 0) & (repeats[0][i] | repeats[1]) & (both[i] > 0))
+            out[i, open_[np.minimum(shares[1][open_], x).sum(1) >= threshold - SLACK]] = 1
     return out
 
 

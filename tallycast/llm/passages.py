@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -30,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallycast.llm.common import join_on_hot_key, small_batches, staged, text_key
+from tallycast.llm.common import bounded, join_on_hot_key, small_batches, staged, text_key
 from tallycast.llm.graph import linked_classes
 from tallycast.llm.neardup import band_keys, may_be_near, prob_minhash, tuned_bands, weighted_shingles
 from tallycast.llm.words import STEP, Words, mix, steps, words_of
@@ -110,7 +109,7 @@ def paragraph_bands(docs: DataFrame, least: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "band long, node binary")
 
 
-@lru_cache(2048)
+@bounded
 def _shingle_set(text: str) -> np.ndarray:
     return weighted_shingles([text])[1]
 
