@@ -105,18 +105,26 @@ def smallest_capacity(total: int, largest: int, shards: int, look: Look, cells:
 
 
 def balanced_cuts(total: int, capacity: int, shards: int, around: Callable[[int], tuple[int, int]]) -> list[int]:
-    """Cuts nearest to an equal share of what is left, each shard within the capacity.
+    """Cuts nearest to an equal share of what is left, each shard within the capacity, which must be feasible.
 
-    around(x) gives the greatest running size up to x and the least beyond it.
+    around(x) gives the greatest running size up to x and the least beyond it. Filling shards greedily
+    from the end gives the earliest place of each cut: from there on, and only from there, the shards
+    behind it can hold the rest.
     """
+    earliest = [total]
+    for _ in range(shards):
+        need = earliest[-1] - capacity
+        earliest.append(around(need - 1)[1] if need > 0 else 0)
+    if earliest[-1] > 0:
+        raise ValueError("the capacity is not feasible")
     cuts, at = [], 0
     for left in range(shards, 1, -1):
         goal = at + (total - at) // left
         below, beyond = around(goal)
-        if beyond - at <= capacity and (beyond - goal < goal - below or below <= at):
-            at = beyond
-        else:
-            at = max(below, at)
+        cut = below if goal - below <= beyond - goal or beyond > at + capacity else beyond
+        if cut <= at and beyond <= at + capacity:
+            cut = beyond
+        at = max(cut, earliest[left - 1])
         cuts.append(at)
     return [*cuts, total]
 
@@ -157,15 +165,14 @@ def shards_by_bytes(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         return sorted(r.end for r in got.select("end").collect())
 
     def around(goal: int) -> tuple[int, int]:
-        r = ends.agg(F.max(F.when(F.col("end") <= goal, F.col("end"))).alias("below"), F.min(F.when(F.col("end") > goal, F.col("end"))).alias("beyond")).first()
+        near = ends.where(F.col("end").between(goal - largest, goal + largest))  # running sizes are no further apart
+        r = near.agg(F.max(F.when(F.col("end") <= goal, F.col("end"))).alias("below"), F.min(F.when(F.col("end") > goal, F.col("end"))).alias("beyond")).first()
         return r.below or 0, r.beyond if r.beyond is not None else total
 
     cuts = [total] * shards
     if total:
         capacity = smallest_capacity(total, largest, shards, look)
         cuts = balanced_cuts(total, capacity, shards, around)
-        if max(b - a for a, b in zip([0, *cuts], cuts)) > capacity:
-            cuts = _exact_cuts(total, capacity, shards, around)
     shard = sum((F.when(F.col("end") > c, 1).otherwise(0) for c in cuts[:-1]), F.lit(0)).cast("int")
     keyed = ends.select("key", "copies", shard.alias("shard"))
     placed = staged(join_on_hot_key(rows, keyed, "key", "copies", count), "placed")
@@ -177,10 +184,3 @@ def shards_by_bytes(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     return slotted.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("base") + F.col("row") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )
-
-
-def _exact_cuts(total: int, capacity: int, shards: int, around: Callable[[int], tuple[int, int]]) -> list[int]:
-    cuts = _cuts(capacity, total, shards, lambda limit: around(limit)[0])
-    if cuts is None:
-        raise ValueError("the capacity found is not feasible")
-    return cuts + [total] * (shards - len(cuts))

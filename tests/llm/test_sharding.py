@@ -49,7 +49,53 @@ def test_smallest_capacity(seed):
     assert got == brute_capacity(sizes, shards)
 
 
-def check(rows, got, shards, near=None):
+def best_least(sizes, shards, capacity):
+    """The greatest possible least size of a shard, none beyond the capacity: a dynamic programme over cuts."""
+    ends = [0]
+    for x in sizes:
+        ends.append(ends[-1] + x)
+    best = {0: 10**18}
+    for _ in range(shards):
+        after = {}
+        for i, least in best.items():
+            for j in range(i, len(ends)):
+                held = ends[j] - ends[i]
+                if held > capacity:
+                    break
+                after[j] = max(after.get(j, -1), min(least, held))
+        best = after
+    return best[len(sizes)]
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_cuts_stay_within_any_feasible_capacity(seed):
+    rnd = random.Random(seed)
+    sizes = [rnd.choice([rnd.randint(1, 9), rnd.randint(1, 400), rnd.randint(1, 4000)]) for _ in range(rnd.randint(1, 300))]
+    shards = rnd.randint(1, 24)
+    ends = [sum(sizes[: i + 1]) for i in range(len(sizes))]
+    capacity = brute_capacity(sizes, shards)
+    around = lambda x: (max((e for e in ends if e <= x), default=0), min((e for e in ends if e > x), default=ends[-1]))
+    cuts = s.balanced_cuts(ends[-1], capacity, shards, around)
+    assert len(cuts) == shards and cuts == sorted(cuts) and set(cuts) <= {0, *ends} and cuts[-1] == ends[-1]
+    assert max(b - a for a, b in zip([0, *cuts], cuts)) == capacity
+
+
+def test_near_equal_on_a_whole_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    group, first = defaultdict(int), {}
+    for r in docs.select("doc_id", "text").collect():
+        group[r.text or ""] += len((r.text or "").encode()) + 8
+        first[r.text or ""] = min(first.get(r.text or "", r.doc_id), r.doc_id)
+    sizes = [group[t] for t in sorted(group, key=first.get)]
+    held = defaultdict(int)
+    for r in s.shards_by_bytes(docs).collect():
+        held[r.shard] += r.size
+    capacity = brute_capacity(sizes, 24)
+    assert len(held) == 24 and max(held.values()) == capacity
+    assert min(held.values()) >= 0.9 * min(best_least(sizes, 24, capacity), sum(sizes) / 24)
+
+
+def check(rows, got, shards):
     assert sorted((r.doc_id is None, r.doc_id or 0, r.size, r.text_crc32) for r in got) == sorted((d is None, d or 0, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for d, t in rows)
     slots, of = defaultdict(list), {}
     for r in got:
