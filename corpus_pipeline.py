@@ -25,7 +25,7 @@ LEAST_QUALITY = 0.5
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop what the rule ensemble, learned from the labels, takes for low quality."""
     model = quality.fit_on(docs, table(spark, sf_dir, "labels"), remainder(4) == 2)
-    return quality.scored(docs, model, "_quality").where(F.col("_quality") >= LEAST_QUALITY).select(*docs.columns)
+    return quality.at_least(docs, model, LEAST_QUALITY)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

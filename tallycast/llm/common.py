@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from functools import wraps
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A key is hot when it has at least this share of all rows, so there are at most HOT_KEYS hot keys.
@@ -103,3 +103,8 @@ def columns_free(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """Drop columns whose names an operator is about to add (case is ignored)."""
     taken = {n.lower() for n in names}
     return df.drop(*[c for c in df.columns if c.lower() in taken])
+
+
+def packed(df: DataFrame, **helpers: Column) -> DataFrame:
+    """Helper columns beside the whole row in a struct `row`, so no column of df can clash with them; select("row.*") unpacks."""
+    return df.select(F.struct("*").alias("row"), *[c.alias(n) for n, c in helpers.items()])

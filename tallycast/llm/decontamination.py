@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallycast.llm.common import text_key
+from tallycast.llm.common import packed, text_key
 
 WINDOW, LEAST = 13, 11
 MASKS = ("111101001", "100110111")
@@ -93,9 +93,12 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs whose text overlaps no benchmark item; all columns stay as they are."""
-    found = overlaps(docs, benchmark).select(F.col("key").alias("_key")).distinct()
-    return docs.withColumn("_key", text_key()).join(found.hint("merge"), "_key", "left_anti").select(*docs.columns)
+    """The rows of docs whose text overlaps no benchmark item; all columns stay as they are, whatever their names.
+
+    Null texts overlap nothing; an empty table, or an empty benchmark, takes no row away.
+    """
+    found = overlaps(docs, benchmark).select("key").distinct()
+    return packed(docs, key=text_key()).join(found.hint("merge"), "key", "left_anti").select("row.*")
 
 
 #: The same overlaps without seeds: every pair of equal words, by alignment.

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallycast.llm.common import bounded, join_on_hot_key, small_batches, staged, text_key
+from tallycast.llm.common import bounded, join_on_hot_key, packed, small_batches, staged, text_key
 from tallycast.llm.graph import linked_classes
 from tallycast.llm.words import mix, shingles_of, steps, words_of
 
@@ -217,11 +217,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def without_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that stand for their class: the one of least doc_id (of equal ids that of the least text key), once.
 
-    A class all of whose ids are null keeps its text of the least key. All columns stay as they are.
+    A class all of whose ids are null keeps its text of the least key. All columns stay as they are,
+    whatever their names; an empty table stays empty.
     """
     _, named = classes(docs, threshold)
     best = named.where(F.col("first") == F.col("class_id")).groupBy("class_id").agg(F.min("node").alias("node"))
     unnamed = named.where("class_id is null").select(F.lit(None).cast("long").alias("class_id"), "node")
-    kept = best.unionByName(unnamed).select(F.coalesce("class_id", F.lit(-(2**63))).alias("_place"), F.col("node").alias("_node"))
-    keyed = docs.withColumns({"_place": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "_node": text_key()})
-    return keyed.join(kept.hint("merge"), ["_place", "_node"], "left_semi").dropDuplicates(["_place", "_node"]).select(*docs.columns)
+    kept = best.unionByName(unnamed).select(F.coalesce("class_id", F.lit(-(2**63))).alias("place"), "node")
+    keyed = packed(docs, place=F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), node=text_key())
+    return keyed.join(kept.hint("merge"), ["place", "node"], "left_semi").dropDuplicates(["place", "node"]).select("row.*")

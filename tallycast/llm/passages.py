@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallycast.llm.common import bounded, join_on_hot_key, small_batches, staged, text_key
+from tallycast.llm.common import bounded, join_on_hot_key, packed, small_batches, staged, text_key
 from tallycast.llm.graph import linked_classes
 from tallycast.llm.neardup import band_keys, may_be_near, prob_minhash, tuned_bands, weighted_shingles
 from tallycast.llm.words import STEP, Words, mix, steps, words_of
@@ -297,19 +297,21 @@ def cut(text: str, begins: list[int], ends: list[int]) -> str:
 def deduplicated(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """The rows of docs with their repeated pieces cut out; rows of which nothing but blanks is left go.
 
-    All columns stay; text is the cut text, and n_chars, where there is such a column, its length.
+    All columns stay, whatever their names; text is the cut text, and n_chars, where there is such a
+    column, its length. Null texts and rows that lose nothing stay as they are; an empty table stays empty.
     """
-    lost = removals(docs, least).groupBy(F.coalesce("doc_id", F.lit(LOWEST)).alias("_place"), F.col("node").alias("_node"))
-    lost = lost.agg(F.collect_set(F.struct("begin", "end")).alias("_lost"))
+    lost = removals(docs, least).groupBy(F.coalesce("doc_id", F.lit(LOWEST)).alias("place"), "node")
+    lost = lost.agg(F.collect_set(F.struct("begin", "end")).alias("lost"))
 
     @F.pandas_udf("string")
     def shortened(text: pd.Series, begins: pd.Series, ends: pd.Series) -> pd.Series:
         return pd.Series([t if b is None else cut(t, b, e) for t, b, e in zip(text, begins, ends)], dtype=object)
 
-    keyed = docs.withColumns({"_place": F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)), "_node": text_key()})
-    met = keyed.join(lost.hint("merge"), ["_place", "_node"], "left")
-    untouched = met.where("_lost is null")
-    touched = met.where("_lost is not null").withColumn("text", shortened(F.col("text"), F.col("_lost.begin"), F.col("_lost.end"))).where(F.trim("text") != "")
+    keyed = packed(docs, place=F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)), node=text_key())
+    met = keyed.join(lost.hint("merge"), ["place", "node"], "left")
+    text = shortened(F.col("row.text"), F.col("lost.begin"), F.col("lost.end"))
+    touched = met.where("lost is not null").select("row", text.alias("text")).where(F.trim("text") != "")
+    row = F.col("row").withField("text", F.col("text"))
     if "n_chars" in docs.columns:
-        touched = touched.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return untouched.select(*docs.columns).unionAll(touched.select(*docs.columns))
+        row = row.withField("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return met.where("lost is null").select("row.*").unionAll(touched.select(row.alias("row")).select("row.*"))

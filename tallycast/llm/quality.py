@@ -17,8 +17,9 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
-from tallycast.llm.common import columns_free, small_batches
+from tallycast.llm.common import columns_free, packed, small_batches
 from tallycast.llm.pretokens import LETTER, NUMBER, OTHER, SPACE, class_table
 from tallycast.llm.training import training_rows
 from tallycast.llm.words import SEP, SEP_CODE, code_points, fold, steps, words_of
@@ -110,6 +111,13 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*kept, *(pa.array(c, pa.float64()) for c in x.T)], names=[*batch.schema.names[:-1], *STATISTICS])
 
 
+@F.arrow_udf(ArrayType(DoubleType()))
+def _statistics_of(text: pa.Array) -> pa.Array:
+    texts = text.to_pylist()
+    x = np.vstack([statistics(texts[a:b]) for a, b in steps(texts)]) if texts else np.zeros((0, len(STATISTICS)))
+    return pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * len(STATISTICS), pa.array(x.ravel(), pa.float64()))
+
+
 def with_statistics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns and STATISTICS of every whole text; null counts as empty."""
     small_batches(docs.sparkSession)
@@ -207,7 +215,23 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return with_statistics(docs).select("doc_id", model.column().alias("score"))
 
 
+def _packed_scores(docs: DataFrame, model: Model) -> DataFrame:
+    """row (packed) and score; only the text goes to Python."""
+    small_batches(docs.sparkSession)
+    rows = packed(docs, text=F.coalesce(F.col("text").cast("string"), F.lit("")))
+    known = rows.select("row", _statistics_of("text").alias("statistics"))
+    each = [F.col("statistics")[i].alias(s) for i, s in enumerate(STATISTICS)]
+    return known.select("row", *each).select("row", model.column().alias("score"))
+
+
 def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
-    """All columns of docs and the score; an input column of that name gives way."""
-    docs = columns_free(docs, [name, *STATISTICS, "_text"])
-    return with_statistics(docs, tuple(docs.columns)).select(*docs.columns, model.column().alias(name))
+    """All columns of docs and the score; an input column of that name gives way.
+
+    Null texts count as empty, rows stay as they are, an empty table stays empty.
+    """
+    return _packed_scores(columns_free(docs, [name]), model).select("row.*", F.col("score").alias(name))
+
+
+def at_least(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The rows of docs whose score is `least` or more, with all their columns, whatever their names."""
+    return _packed_scores(docs, model).where(F.col("score") >= least).select("row.*")
