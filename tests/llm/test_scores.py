@@ -13,6 +13,7 @@ from tallycast.llm import lm_scoring as lm
 from tallycast.llm import quality, toxicity
 from tallycast.llm.queries import QUERIES
 from tallycast.llm.training import remainder
+from tallycast.llm.words import words_of
 
 SF = "/root/testdata/sf0.01"
 ODD = [(1, None), (2, ""), (None, "x"), (3, "a b"), (3, "a b"), (4, "word " * 20000), (5, "¡!?")]
@@ -69,19 +70,19 @@ def test_windows_hold_the_whole_text():
     assert joined == b" " + text.encode() + b" " and max(map(len, parts)) <= toxicity.WINDOW + 1
 
 
-def test_language_models(spark):
-    texts = ["the cat sat on the mat", "the dog sat", "", None, "the cat the cat ran", "odd words here only once"]
+@pytest.mark.parametrize("head", [0, 3, 100])
+def test_language_models(spark, head):
+    """Both losses by hand, whichever words are broadcast or joined; rows alike, and texts with words never seen."""
+    texts = ["the cat sat on the mat", "the dog sat", "", None, "the cat the cat ran", "odd words here only once once"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     target = docs.where("doc_id in (0, 4)")
-    model = lm.fit(docs, target, 4)
+    model = lm.fit(docs, target, 4, head)
     words = [(t or "").split() for t in texts]
-    assert len(model.vocabulary) == 4
     count = Counter(w for ws in words for w in ws)
-    from tallycast.llm.words import words_of
-
     of = dict(zip(count, words_of([" ".join(count)]).hash.view(np.int64).tolist()))
     known = sorted(count, key=lambda w: (-count[w], of[w]))[:4]
-    assert sorted(of[w] for w in known) == model.vocabulary.tolist()
+    assert sorted(of[w] for w in known) == model.tables.classes.tolist()
+    assert len(model.tables.head) <= head and len(model.tables.head) + model.tail.count() == len(count) - 4
 
     def loss(sample, ws):
         line = lambda x: ["<s>", *(w if w in known else "?" for w in x), "</s>"]
@@ -97,15 +98,32 @@ def test_language_models(spark):
             one = (unigram[b] + 1) / total
             rest = kinds[a] / (kinds[a] + after[a]) if after[a] else 1.0
             out -= math.log((1 - rest) * (pairs[a, b] / after[a] if after[a] else 0) + rest * one)
-        return out / (len(ws) + 1)
-
-    for r in lm.score(docs, model).collect():
-        assert r.n_tokens == len(words[r.doc_id]) + 1
-        assert r.background_loss == pytest.approx(loss(words, words[r.doc_id]), abs=1e-5)
-        assert r.target_loss == pytest.approx(loss([words[0], words[4]], words[r.doc_id]), abs=1e-5)
+        other = Counter(w for x in sample for w in x if w not in known)
+        every = sum(other.values()) + len(count) - len(known) + 1
+        return (out - sum(math.log((other[w] + 1) / every) for w in ws if w not in known)) / (len(ws) + 1)
+
+    asked = [*texts, "the unheard of word", "the unheard of word"]
+    rows = spark.createDataFrame([*enumerate(texts), (9, asked[-1]), (9, asked[-1]), (9, "cat"), (None, "cat")], "doc_id long, text string")
+    got = lm.score(rows, model).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens) for r in got) == sorted([(False, i, len(w) + 1) for i, w in enumerate(words)] + [(False, 9, 5), (False, 9, 5), (False, 9, 2), (True, 0, 2)])
+    for r in got:
+        ws = words[r.doc_id] if r.doc_id in range(len(words)) else asked[-1].split() if r.n_tokens == 5 else ["cat"]
+        assert r.background_loss == pytest.approx(loss(words, ws), abs=1e-5)
+        assert r.target_loss == pytest.approx(loss([words[0], words[4]], ws), abs=1e-5)
         assert r.difference == pytest.approx(r.target_loss - r.background_loss)
 
 
+def test_language_models_grow_with_the_corpus(spark):
+    sizes = []
+    for sf in ("sf0.001", "sf0.01"):
+        docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+        model = lm.fit(docs, docs.limit(0), 1000, 500)
+        words = {w for r in docs.select("text").collect() for w in words_of([r.text or ""]).hash.tolist()}
+        assert 0 < len(model.tables.head) <= 500 and len(words) == 1000 + len(model.tables.head) + model.tail.count()
+        sizes.append(len(words))
+    assert sizes[1] > 2 * sizes[0]
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
