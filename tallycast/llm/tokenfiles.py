@@ -11,7 +11,11 @@ one line of JSON (names, types and sizes of the arrays) and then the arrays them
     keys                   by document number: the key, for listings and audits
 
 A key's slot costs a few hash evaluations, whatever the shard's size; a key that is not in the
-shard is refused by its fingerprint (a false match has probability 2**-32).
+shard is refused by its fingerprint (a false match has probability 2**-32). A look-up reads the
+line of JSON, the few numbers of the index that the key leads to, and the ids themselves.
+
+Documents lie in the order of doc_id and, within one, of a hash of the text, so a doc_id with very
+many rows goes on in the next shards.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from functools import lru_cache, partial
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +39,8 @@ from tallycast.llm.words import mix
 END_ID = 0
 SHARD_BYTES = 64 << 20
 GAMMA = 2.0
+#: The line of JSON at the head of an index is shorter than this.
+HEAD_BYTES = 4096
 MANIFEST = "part int, piece int, shard string, docs long, tokens long, least long, most long"
 
 
@@ -67,7 +74,7 @@ def build_hash(keys: np.ndarray) -> dict[str, np.ndarray]:
     return {"words": flat, "ranks": np.concatenate(([0], np.cumsum(ones)))[:-1].astype("<i8"), "levels": np.array(sizes, "<i8")}
 
 
-def slots_of(h: dict[str, np.ndarray], keys: np.ndarray) -> np.ndarray:
+def slots_of(h: dict[str, Stored | np.ndarray], keys: np.ndarray) -> np.ndarray:
     """Slot of each key; -1 for keys that surely are not in the set."""
     out = np.full(len(keys), -1, np.int64)
     rest, base = np.arange(len(keys)), 0
@@ -105,16 +112,36 @@ def pack_index(arrays: dict[str, np.ndarray], width: int) -> bytes:
     return head + b"".join(a.tobytes() for a in arrays.values())
 
 
-def unpack_index(raw: bytes) -> tuple[dict[str, np.ndarray], int]:
-    at = raw.index(b"\n") + 1
-    head, out = json.loads(raw[:at]), {}
+class Stored:
+    """An array in an open file; only the elements asked for are read."""
+
+    def __init__(self, source, kind: str, n: int, at: int):
+        self.source, self.kind, self.n, self.at = source, np.dtype(kind), n, at
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __getitem__(self, places: np.ndarray) -> np.ndarray:
+        size = self.kind.itemsize
+        raw = b"".join(self.source.read_at(size, self.at + i * size) for i in places.tolist())
+        return np.frombuffer(raw, self.kind)
+
+    def all(self) -> np.ndarray:
+        return np.frombuffer(self.source.read_at(self.n * self.kind.itemsize, self.at), self.kind)
+
+
+def stored_index(source) -> tuple[dict[str, Stored | np.ndarray], int]:
+    """Arrays of an index file, of which only the sizes of the levels are read, and the bytes of an id."""
+    line = source.read_at(min(HEAD_BYTES, source.size()), 0)
+    at = line.index(b"\n") + 1
+    head, out = json.loads(line[:at]), {}
     for name, kind, n in head["arrays"]:
-        out[name] = np.frombuffer(raw, kind, n, at)
-        at += out[name].nbytes
-    return out, head["width"]
+        out[name] = Stored(source, kind, n, at)
+        at += n * out[name].kind.itemsize
+    return out | {"levels": out["levels"].all()}, head["width"]
 
 
-def find(index: dict[str, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def find(index: dict[str, Stored | np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First document number and number of copies of each key; copies are 0 for keys not in the shard."""
     slot = slots_of(index, keys)
     safe = np.maximum(slot, 0)
@@ -178,7 +205,7 @@ def _write(folder: str, tokenizer_path: str, end_id: int, shard_bytes: int, batc
     for batch in batches:
         keys, texts = batch.column(0).to_pylist(), batch.column(1).fill_null("").to_pylist()
         for key, ids in zip(keys, ids_of_texts(texts, cache, partial(_encode_new, tokenizer, width))):
-            if shard and shard.bytes >= shard_bytes and shard.keys[-1] != key:
+            if shard and shard.bytes >= shard_bytes:
                 rows.append(shard.close())
                 shard = None
             shard = shard or _Shard(folder, part, len(rows), width)
@@ -194,29 +221,25 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = END_I
 
     The manifest has one row a shard with `start`, the number of ids in all shards before it. Null
     texts count as empty; null doc_ids come first and can be listed but not looked up; rows of one
-    doc_id stay adjacent; other columns are ignored; an empty table writes no file.
+    doc_id follow one another, through several shards if need be; other columns are ignored; an
+    empty table writes no file.
     """
     spark = docs.sparkSession
     small_batches(spark)
     store, root = _place(folder)
     store.create_dir(root, recursive=True)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    ordered = rows.repartitionByRange(partitions(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
+    order = F.col("doc_id").asc_nulls_first(), F.xxhash64("text")
+    ordered = rows.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order, "text")
     made = staged(ordered.mapInArrow(partial(_write, folder, tokenizer_path, end_id, shard_bytes), MANIFEST), "manifest")
     before = F.sum("tokens").over(Window.orderBy("part", "piece").rowsBetween(Window.unboundedPreceding, -1))  # one row a shard
     return made.withColumn("start", F.coalesce(before, F.lit(0)))
 
 
-def _open(folder: str, shard: str) -> tuple[dict[str, np.ndarray], int, fs.FileSystem, str]:
-    store, root = _place(folder)
-    with store.open_input_stream(f"{root}/{shard}.idx") as f:
-        index, width = unpack_index(f.read())
-    return index, width, store, f"{root}/{shard}.bin"
-
-
-def _ids_at(source, index, width: int, number: np.ndarray) -> Iterator[np.ndarray]:
+def _ids_at(source, index, width: int, number: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Offset and ids of documents by their numbers."""
     for a, b in zip(index["offset"][number].tolist(), index["offset"][number + 1].tolist()):
-        yield np.frombuffer(source.read_at((b - a) * width, a * width), f"<u{width}")
+        yield a, np.frombuffer(source.read_at((b - a) * width, a * width), f"<u{width}")
 
 
 READ = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.binary())])
@@ -227,66 +250,72 @@ def _rows(found: list[tuple[int | None, int, np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(s, pa.int64()), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())], schema=READ)
 
 
+def _read(folder: str, shard: str, start: int, keys: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """Documents of a shard by the keys given, each at the offsets that the index returns for it; of all its keys and those without one, if None."""
+    store, root = _place(folder)
+    with store.open_input_file(f"{root}/{shard}.idx") as idx, store.open_input_file(f"{root}/{shard}.bin") as source:
+        index, width = stored_index(idx)
+        wanted: list[tuple[int | None, int]] = []
+        if keys is None:
+            index = {n: a.all() if isinstance(a, Stored) else a for n, a in index.items()}
+            known = index["known"].astype(bool)
+            keys = np.unique(index["keys"][known])
+            wanted = [(None, i) for i in np.flatnonzero(~known).tolist()]
+            if (find(index, keys)[1] == 0).any():
+                raise ValueError(f"index of shard {shard} misses one of its keys")
+        first, copies = find(index, keys)
+        wanted += [(key, i) for key, a, n in zip(keys.tolist(), first.tolist(), copies.tolist()) for i in range(a, a + n)]
+        for a in range(0, len(wanted), 256):
+            part = wanted[a : a + 256]
+            found = _ids_at(source, index, width, np.array([i for _, i in part], np.int64))
+            yield _rows([(key, start + at, ids) for (key, _), (at, ids) in zip(part, found)])
+
+
 def _list_shards(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for shard, start in zip(batch.column("shard").to_pylist(), batch.column("start").to_pylist()):
-            index, width, store, path = _open(folder, shard)
-            known, keys = index["known"].astype(bool), index["keys"]
-            number = np.arange(len(keys))
-            first, copies = find(index, keys[known])
-            if (copies == 0).any() or (keys[first] != keys[known]).any():
-                raise ValueError(f"index of shard {shard} misses one of its keys")
-            with store.open_input_file(path) as source:
-                for a in range(0, len(keys), 256):
-                    part = number[a : a + 256]
-                    yield _rows([(int(keys[i]) if known[i] else None, start + int(index["offset"][i]), x) for i, x in zip(part, _ids_at(source, index, width, part))])
+            yield from _read(folder, shard, start, None)
 
 
 def read_all(manifest: DataFrame, folder: str) -> DataFrame:
     """doc_id, start and ids (unsigned 32-bit, little-endian) of every document, read from the files.
 
-    Each key of a shard is also looked up through the index, so a broken index raises.
+    Each key of a shard is looked up through its index, and its ids are read at the offsets found
+    there; a key that its index misses raises. Documents without a key are read by their numbers.
     """
     small_batches(manifest.sparkSession)
     shards = manifest.select("shard", "start").repartition(partitions(manifest.sparkSession), "shard")
     return shards.mapInArrow(partial(_list_shards, folder), "doc_id long, start long, ids binary")
 
 
-def _route(least: list[int], shards: list[tuple[str, int, int]], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _route(shards: list[tuple[str, int, int, int]], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names, starts = pa.array([s[0] for s in shards], pa.string()), pa.array([s[1] for s in shards], pa.int64())
+    least, most = (np.array([s[i] for s in shards], np.int64) for i in (2, 3))
     for batch in batches:
         keys = batch.column(0).drop_null().to_numpy(zero_copy_only=False)
-        at = np.searchsorted(np.array(least, np.int64), keys, "right") - 1
-        ok = at >= 0
-        names = [shards[i] for i in at[ok].tolist()]
-        yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in names], pa.string()), pa.array([s for _, s in names], pa.int64()), pa.array(keys[ok], pa.int64())], names=["shard", "start", "doc_id"])
+        low = np.searchsorted(most, keys, "left")
+        n = np.maximum(np.searchsorted(least, keys, "right") - low, 0)
+        at = pa.array(np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum()))
+        yield pa.RecordBatch.from_arrays([names.take(at), starts.take(at), pa.array(np.repeat(keys, n), pa.int64())], names=["shard", "start", "doc_id"])
 
 
 def _look_up(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    shard, opened = None, None
     for batch in batches:
-        for name, start, key in zip(*(batch.column(c).to_pylist() for c in ("shard", "start", "doc_id"))):
-            if name != shard:
-                shard, opened = name, _open(folder, name)
-            index, width, store, path = opened
-            first, copies = find(index, np.array([key], np.int64))
-            if copies[0]:
-                number = np.arange(first[0], first[0] + copies[0])
-                with store.open_input_file(path) as source:
-                    yield _rows([(key, start + int(index["offset"][i]), x) for i, x in zip(number, _ids_at(source, index, width, number))])
+        for (shard, start), rows in groupby(zip(*(c.to_pylist() for c in batch.columns)), key=lambda r: r[:2]):
+            yield from _read(folder, shard, start, np.array([key for *_, key in rows], np.int64))
 
 
 def look_up(keys: DataFrame, manifest: DataFrame, folder: str) -> DataFrame:
-    """Documents with the given doc_ids, each found through the index of the one shard that may hold it.
+    """Documents with the given doc_ids, each found through the indexes of the shards that may hold it.
 
-    The driver holds one row a shard (64 MB of ids each). Null and unknown keys give no row.
+    That is one shard, unless rows of one doc_id fill several. The driver holds one row a shard
+    (64 MB of ids each). Null and unknown keys give no row; repeated ones count once.
     """
     spark = keys.sparkSession
     small_batches(spark)
-    shards = manifest.where("least is not null").orderBy("least").select("least", "shard", "start").collect()
+    shards = manifest.where("least is not null").orderBy("part", "piece").select("shard", "start", "least", "most").collect()
     if not shards:
         return spark.createDataFrame([], "doc_id long, start long, ids binary")
-    routed = keys.select(F.col("doc_id").cast("long")).distinct().mapInArrow(partial(_route, [r.least for r in shards], [(r.shard, r.start) for r in shards]), "shard string, start long, doc_id long")
+    routed = keys.select(F.col("doc_id").cast("long")).distinct().mapInArrow(partial(_route, [tuple(r) for r in shards]), "shard string, start long, doc_id long")
     near = routed.repartition(partitions(spark), "shard").sortWithinPartitions("shard", "doc_id")
     return near.mapInArrow(partial(_look_up, folder), "doc_id long, start long, ids binary")
-
-

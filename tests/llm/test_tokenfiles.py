@@ -44,6 +44,47 @@ def test_keyed_access(spark, written):
     assert [np.frombuffer(r.ids, "<u4").tolist() for r in got if r.doc_id == 21] == [whole(TEXTS[3])]
 
 
+def test_one_key_for_all_rows(spark, tmp_path):
+    folder = f"file://{tmp_path}"
+    docs = spark.range(400).selectExpr("cast(5 as long) as doc_id", "concat('word ', id) as text")
+    manifest = tf.write(docs, P.path("byte_bpe_50k.json"), folder, shard_bytes=256)
+    assert manifest.select("part").distinct().count() > 1 and manifest.count() > 4
+    want = sorted(whole(f"word {i}") for i in range(400))
+    for got in (tf.read_all(manifest, folder), tf.look_up(spark.createDataFrame([(5,), (6,)], "doc_id long"), manifest, folder)):
+        rows = sorted(got.collect(), key=lambda r: r.start)
+        assert sorted(np.frombuffer(r.ids, "<u4").tolist() for r in rows) == want
+        assert [r.start for r in rows[1:]] == np.cumsum([len(r.ids) // 4 for r in rows])[:-1].tolist()
+
+
+class Counted:
+    """A file that counts the bytes read from it."""
+
+    def __init__(self, raw):
+        self.raw, self.read = raw, 0
+
+    def size(self):
+        return len(self.raw)
+
+    def read_at(self, n, at):
+        self.read += n
+        return self.raw[at : at + n]
+
+
+def test_a_look_up_reads_as_little_of_a_large_index_as_of_a_small_one():
+    read = []
+    for n in (10**3, 10**5):
+        keys = list(range(0, 3 * n, 3))
+        raw = tf.pack_index(tf.build_index(keys, [2] * n), 2)
+        source = Counted(raw)
+        index, _ = tf.stored_index(source)
+        for k in range(200):
+            first, copies = tf.find(index, np.array([keys[k * n // 200]], np.int64))
+            assert copies.tolist() == [1] and index["offset"][first].tolist() == [2 * (k * n // 200)]
+        read.append((source.read - tf.HEAD_BYTES) / 200)
+        assert tf.find(index, np.array([1], np.int64))[1].tolist() == [0]
+    assert max(read) < 100
+
+
 def test_empty_table(spark, tmp_path):
     folder = f"file://{tmp_path}"
     manifest = tf.write(spark.createDataFrame([], "doc_id long, text string"), P.path("byte_bpe_50k.json"), folder)
