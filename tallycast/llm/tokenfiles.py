@@ -21,6 +21,7 @@ many rows goes on in the next shards.
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Iterator
 from functools import lru_cache, partial
 from itertools import groupby
@@ -153,6 +154,7 @@ def find(index: dict[str, Stored | np.ndarray], keys: np.ndarray) -> tuple[np.nd
 
 @lru_cache(2)
 def tokenizer_of(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
