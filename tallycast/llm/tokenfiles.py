@@ -40,6 +40,10 @@ from tallycast.llm.words import mix
 END_ID = 0
 SHARD_BYTES = 64 << 20
 GAMMA = 2.0
+#: What stands for a blank in the names of byte-level tokens (a fixed value).
+BLANK = "\u0120"
+#: New words encoded in a row.
+WORDS = 256
 #: The line of JSON at the head of an index is shorter than this.
 HEAD_BYTES = 4096
 MANIFEST = "part int, piece int, shard string, docs long, tokens long, least long, most long"
@@ -154,17 +158,33 @@ def find(index: dict[str, Stored | np.ndarray], keys: np.ndarray) -> tuple[np.nd
 
 @lru_cache(2)
 def tokenizer_of(path: str):
+    """The byte-level tokenizer, whether each of its ids begins with a blank, a cache, and the bytes of an id."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True  # their strings in a text are ordinary text
-    return t, {}, 2 if t.get_vocab_size() <= 1 << 16 else 4
-
-
-def _encode_new(tokenizer, width: int, pieces: list[str]) -> dict[str, bytes]:
-    coded = tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-    return {p: np.array(e.ids, f"<u{width}").tobytes() for p, e in zip(pieces, coded)}
+    vocabulary = t.get_vocab()
+    blank = np.zeros(max(vocabulary.values()) + 1, bool)
+    blank[[i for token, i in vocabulary.items() if token[0] == BLANK]] = True
+    return t, blank, {}, 2 if t.get_vocab_size() <= 1 << 16 else 4
+
+
+def _encode_new(tokenizer, blank: np.ndarray, width: int, pieces: list[str]) -> dict[str, bytes]:
+    """Ids of each piece. Words behind a blank are encoded many in a row: each begins at the next id with a blank."""
+    words = [p for p in pieces if p[0] == " " and p[1:].isalpha()]
+    rows = [words[i : i + WORDS] for i in range(0, len(words), WORDS)]
+    rows += [[p] for p in pieces if not (p[0] == " " and p[1:].isalpha())]
+    out: dict[str, bytes] = {}
+    for row, coded in zip(rows, tokenizer.encode_batch_fast(list(map("".join, rows)), add_special_tokens=False)):
+        ids = np.array(coded.ids, f"<u{width}")
+        raw = ids.tobytes()
+        if len(row) == 1:
+            out[row[0]] = raw
+            continue
+        cut = (np.append(np.flatnonzero(blank[ids]), len(ids)) * width).tolist()
+        out.update(zip(row, [raw[a:b] for a, b in zip(cut, cut[1:])], strict=True))
+    return out
 
 
 def _place(folder: str) -> tuple[fs.FileSystem, str]:
@@ -201,12 +221,12 @@ class _Shard:
 
 
 def _write(folder: str, tokenizer_path: str, end_id: int, shard_bytes: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tokenizer, cache, width = tokenizer_of(tokenizer_path)
+    tokenizer, blank, cache, width = tokenizer_of(tokenizer_path)
     end = np.array([end_id], f"<u{width}").tobytes()
     part, rows, shard = TaskContext.get().partitionId(), [], None
     for batch in batches:
         keys, texts = batch.column(0).to_pylist(), batch.column(1).fill_null("").to_pylist()
-        for key, ids in zip(keys, ids_of_texts(texts, cache, partial(_encode_new, tokenizer, width))):
+        for key, ids in zip(keys, ids_of_texts(texts, cache, partial(_encode_new, tokenizer, blank, width))):
             if shard and shard.bytes >= shard_bytes:
                 rows.append(shard.close())
                 shard = None
