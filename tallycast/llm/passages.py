@@ -267,7 +267,7 @@ def removals(docs: DataFrame, least: int = LEAST) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     key = F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")  # in the order of the whole text key
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("doc_id"), text_key().alias("node"), key.alias("key"), text.alias("text"))
-    words = F.size(F.split(F.trim("text"), r"\s+"))
+    words = F.size(F.split(F.trim("text"), r"\s+", least))  # at most `least`: no text is split beyond that
     rows = base.select("doc_id", "node", "key", F.char_length("text").cast("long").alias("n_chars"), words.alias("words")).distinct()
     rows = staged(rows, "rows")
     texts = staged(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("key").alias("key"), F.count(F.lit(1)).alias("copies")), "nodes")
