@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from tallycast.functions.stats import known_mean, rolling
 from tallycast.operators.features import extend, horizon_days, running_counts, series, window_total, with_same_weekday, with_timing
-from tallycast.operators.joins import asof_join
 from tallycast.spec import Setting, min_samples
 
 # Candidate windows.
@@ -109,21 +108,34 @@ def same_weekday_lookup(panel: DataFrame, issues: DataFrame, setting: Setting, w
     )
 
 
+def _with_valid_means(panel: DataFrame, windows: Sequence[int]) -> DataFrame:
+    """All rows of the panel, with the averages of :func:`valid_row_means` on the valid ones."""
+    valid = F.col("n").isNotNull()
+    w = Window.partitionBy("grp", "wd", valid).orderBy("date")
+    rows = panel.select("date", "grp", F.weekday("date").cast("bigint").alias("wd"), "n")
+    return rows.select("*", *(F.when(valid, rolling(F.avg, F.col("n"), w, k, k)).alias(f"avg_{k}") for k in windows))
+
+
 def valid_row_means(panel: DataFrame, windows: Sequence[int]) -> DataFrame:
     """Average of the last w *valid* same-weekday rows per (group, weekday), all w required."""
-    valid = panel.where(F.col("n").isNotNull()).select("date", "grp", F.weekday("date").cast("bigint").alias("wd"), "n")
-    w = Window.partitionBy("grp", "wd").orderBy("date")
-    return valid.select("date", "grp", "wd", *(rolling(F.avg, F.col("n"), w, k, k).alias(f"avg_{k}") for k in windows))
+    return _with_valid_means(panel, windows).where(F.col("n").isNotNull()).select("date", "grp", "wd", *(f"avg_{k}" for k in windows))
 
 
 def valid_row_baseline(panel: DataFrame, start: str, end: str, windows: Sequence[int], gap: int = 3) -> DataFrame:
-    """Same-weekday baseline over valid rows, matched as-of the D-``gap`` cutoff."""
-    facts = valid_row_means(panel, windows)
-    probes = panel.where(F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date"))).select(
-        F.col("date").alias("target"), "grp", F.weekday("date").cast("bigint").alias("wd"),
-        F.date_sub("date", gap).alias("cutoff"), F.col("n").alias("actual"),
+    """Same-weekday baseline over valid rows, as of the D-``gap`` cutoff.
+
+    A panel has a row for every day, so the last valid row up to the cutoff is found by a range
+    frame of the panel itself: no join, and no exchange beyond that of the panel. Averages start at
+    the w-th valid row and go on from there, so the last known one is that of the last valid row.
+    """
+    rows = _with_valid_means(panel, windows).withColumn("day", F.unix_date("date").cast("bigint"))
+    known = Window.partitionBy("grp", "wd").orderBy("day").rangeBetween(Window.unboundedPreceding, -gap)
+    out = rows.select(
+        F.col("date").alias("target"), "grp", "wd", F.date_sub("date", gap).alias("cutoff"), F.col("n").alias("actual"),
+        F.last(F.when(F.col("n").isNotNull(), F.col("date")), ignorenulls=True).over(known).alias("matched_date"),
+        *(F.last(f"avg_{k}", ignorenulls=True).over(known).alias(f"avg_{k}") for k in windows),
     )
-    return asof_join(probes, facts, ["grp", "wd"], "cutoff", "date", [f"avg_{k}" for k in windows])
+    return out.where(F.col("target").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
 
 
 def preview_baselines(panel: DataFrame, weeks: Sequence[int]) -> DataFrame:
