@@ -13,12 +13,27 @@ from tallycast.operators import series as S
 _KNOWN = "k as (select grp, date, cast(n as double) as n, row_number() over (partition by grp order by date) as rn from panel where n is not null), e as (select grp, rn, n - avg(n) over (partition by grp) as d from k)"
 
 
-@query("q01_acf", f"with {LINE_PANEL}, {_KNOWN}, s0 as (select grp, sum(d*d) as s from e group by grp), ac as (select a.grp, a.rn - b.rn as lag, sum(a.d * b.d) as s from e a join e b on b.grp = a.grp and a.rn - b.rn between 0 and 28 group by 1, 2) select ac.grp, lag, ac.s / nullif(s0.s, 0) as acf from ac join s0 on s0.grp = ac.grp")
+
+def _acf_ctes(lags: int) -> str:
+    return (f"{LINE_PANEL}, {_KNOWN}, s0 as (select grp, sum(d*d) as s from e group by grp), "
+            f"ac as (select a.grp, a.rn - b.rn as lag, sum(a.d * b.d) as s from e a join e b on b.grp = a.grp and a.rn - b.rn between 0 and {lags} group by 1, 2), "
+            "acf as (select ac.grp, lag, ac.s / nullif(s0.s, 0) as acf from ac join s0 on s0.grp = ac.grp)")
+
+
+@query("q01_acf", f"with {_acf_ctes(28)} select * from acf")
 def q01(spark, sf):
     return S.acf(line_panel(spark, sf), 28)
 
 
-@query("q02_pacf")
+# The Durbin-Levinson recursion, a row a lag: r[i + 1] is the autocorrelation at lag i, phi the coefficients so far.
+_PACF = (f"with recursive {_acf_ctes(42)}, r as (select grp, list(acf order by lag) as r from acf group by grp), "
+         "lev as (select grp, r, cast(1 as bigint) as lag, r[2] as pacf, [r[2]] as phi, 1 - r[2] * r[2] as v from r "
+         "union all select grp, r, lag + 1, a, list_append(list_transform(range(1, lag + 1), lambda j: phi[j] - a * phi[lag + 1 - j]), a), v * (1 - a * a) from ("
+         "select *, (r[lag + 2] - list_sum(list_transform(range(1, lag + 1), lambda j: phi[j] * r[lag + 2 - j]))) / v as a from lev where lag < 42)) "
+         "select grp, lag, pacf from lev union all select grp, cast(0 as bigint), 1.0 from r")
+
+
+@query("q02_pacf", _PACF)
 def q02(spark, sf):
     return S.pacf(line_panel(spark, sf), 42)
 
@@ -61,7 +76,22 @@ def q07(spark, sf):
     return A.robust_z(D.decompose(line_panel(spark, sf)).select("date", "grp", "n", "resid"))
 
 
-@query("q08_median_polish")
+def _polish_sql(rounds: int) -> str:
+    """Alternating medians written out, two sweeps a round; sweeps after the last that moves anything change nothing."""
+    ctes = ["p0 as materialized (select date_trunc('month', date) as month, grp, ln(avg(n)) as resid, 0.0::double as o, 0.0::double as em, 0.0::double as eg from panel where n is not null group by 1, 2 having avg(n) > 0)"]
+    for i in range(2 * rounds):
+        key, own, other, okey = ("month", "em", "eg", "grp") if i % 2 == 0 else ("grp", "eg", "em", "month")
+        ctes.append(
+            f"p{i + 1} as materialized (select p.month, p.grp, p.resid - m.m as resid, p.o + s.s as o, p.{own} + m.m as {own}, p.{other} - s.s as {other} from p{i} p "
+            f"join (select {key}, median(resid) as m from p{i} group by {key}) m on m.{key} = p.{key}, "
+            f"(select median(x) as s from (select {okey}, any_value({other}) as x from p{i} group by {okey})) s)")
+    return (f"with {LINE_PANEL}, {', '.join(ctes)}, f as (select * from p{2 * rounds}), "
+            "v as (select (select var_pop(e) from (select month, any_value(em) as e from f group by month)) as vm, (select var_pop(resid) from f) as vr) "
+            "select grp, exp(any_value(o)) as overall_per_day, 100 * (exp(any_value(eg)) - 1) as group_effect_pct, "
+            "100 * (exp(avg(resid) filter (where month >= date '2001-01-01')) - 1) as late_residual_pct, any_value(vm / nullif(vm + vr, 0)) as shared_share from f, v group by grp")
+
+
+@query("q08_median_polish", _polish_sql(20))
 def q08(spark, sf):
     return D.polish_summary(D.median_polish(D.monthly_log_table(line_panel(spark, sf))), "2001-01-01")
 
