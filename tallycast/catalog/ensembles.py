@@ -96,7 +96,14 @@ def k05(spark, sf):
     return E.weight_summary(weights(spark, sf), MEMBERS)
 
 
-@query("k03_refined_weights")
+_FINE = (f"fw as (select month, cutoff, [{', '.join(f'w_{m}' for m in MEMBERS)}] as ws from fit), ix as (select cast(unnest(range(1, 5)) as integer) as i), st as (select cast(unnest(range(1, 6)) as integer) as k), "
+         "nb as (select month, cutoff, 0 as ord, ws from fw union all select month, cutoff, a.i * 100 + b.i * 10 + k, "
+         "list_transform(ws, lambda w, x: least(1.0, greatest(0.0, w + case when x = a.i then k / 100.0 when x = b.i then -k / 100.0 else 0.0 end))) from fw, ix a, ix b, st where a.i <> b.i and ws[b.i] - k / 100.0 >= -1e-12), "
+         f"tn as (select nb.month, ord, any_value(ws) as ws, sum(abs({_A} * ws[1] + {_B} * ws[2] + {_C} * ws[3] + {_D} * ws[4] - y_true)) as loss, count(*) as n from nb join wp on wp.target_end <= nb.cutoff and y_true is not null and {_A} + {_B} + {_C} + {_D} is not null group by 1, 2), "
+         "bn as (select month, arg_min(ws, {'l': round(loss, 6), 'v': ord}) as ws, min(loss) / max(n) as train_mae from tn group by month)")
+
+
+@query("k03_refined_weights", f"with {_K03}, {_FINE} select month, train_mae, " + ", ".join(f"ws[{i + 1}] as w_{m}" for i, m in enumerate(MEMBERS)) + " from bn")
 def k03r(spark, sf):
     """One finer lattice around each month's best vector."""
     w = wide(spark, sf)
