@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallycast.catalog import query
-from tallycast.catalog.inputs import BREAK_DATE, LINE_KEEP, LINE_PANEL, ORDER_PANEL, TEST_END, TEST_START, VALIDATION, feature_ctes, line_panel, months_between, order_panel, roll, same_weekday_sql, staged, supplier_panel
+from tallycast.catalog.inputs import BREAK_DATE, LINE_KEEP, LINE_PANEL, ORDER_PANEL, SUPP_PANEL, TEST_END, TEST_START, VALIDATION, feature_ctes, line_panel, months_between, order_panel, results_ctes, roll, same_weekday_sql, staged, supplier_panel
 from tallycast.functions.stats import rolling
 from tallycast.models import learners as L
 from tallycast.models import linear, negbin, smoothing
@@ -100,13 +100,39 @@ def j05(spark, sf):
     return negbin.monthly_backtest(line_features(spark, sf), LINE_KEEP, DAILY, MONTHS)
 
 
-@query("j06_smoothing")
+def _smoothing_ctes(panel: str, s) -> str:
+    """CTEs ending in ``ets``: the states of every parameter pair as a recursion over the days, the best pair at each month's refit."""
+    lag, gap, width = s.publication_lag_days, s.gap_days, s.window_days
+    grid = ", ".join(f"({i}, {a}::double, {g}::double)" for i, (a, g) in enumerate(smoothing.GRID))
+    weekly = ", ".join(f"avg(y) filter (where t % 7 = {k}) - avg(y)" for k in range(7))
+    path = " + ".join(f"exp(o.level + o.season[(i.cutoff - i.a + {gap + j}) % 7 + 1])" for j in range(width))
+    so_far, ahead = ("over (partition by grp order by t rows between unbounded preceding and current row)", "over (partition by grp order by t rows between current row and unbounded following)")
+    return (
+        f"{results_ctes(panel, s, *SPAN, (13,))}, bo as (select grp, min(date) as a, max(date) as z from panel where n > 0 group by grp), "
+        "lg as (select panel.grp, cast(date - a as bigint) as t, case when n > 0 then ln(n) end as v from panel join bo on bo.grp = panel.grp and date between a and z), "
+        f"nb as (select grp, t, v, last_value(v ignore nulls) {so_far} as pv, max(case when v is not null then t end) {so_far} as pt, first_value(v ignore nulls) {ahead} as qv, "
+        f"min(case when v is not null then t end) {ahead} as qt, count(v) {so_far} as cnt from lg), "
+        "ys as materialized (select grp, t, coalesce(v, pv + (qv - pv) / cast(qt - pt as double) * (t - pt)) as y, pt, cnt from nb), "
+        f"pr(gi, al, ga) as (values {grid}), "
+        f"fo as (select grp, gi, al, ga, cast(-1 as bigint) as t, level, season, 0.0::double as sse from (select grp, avg(y) as level, [{weekly}] as season from ys where t < 14 group by grp having count(*) = 14), pr "
+        "union all select grp, gi, al, ga, t, level + al * e, list_transform(season, lambda x, k: case when k = t % 7 + 1 then x + ga * e else x end), sse + e * e "
+        "from (select fo.grp, gi, al, ga, ys.t, level, season, sse, y - level - season[ys.t % 7 + 1] as e from fo join ys on ys.grp = fo.grp and ys.t = fo.t + 1)), "
+        f"iw as (select results.grp, issue_date, cutoff, a, min(issue_date) over (partition by results.grp, date_trunc('month', issue_date)) - {lag} as refit, cast(z - a as bigint) as top from results left join bo on bo.grp = results.grp where model = 'plain_28d'), "
+        "ip as (select iw.*, f.pt as fit_at, f.cnt as seen, w.pt as now_at from iw left join ys f on f.grp = iw.grp and f.t = least(cast(refit - a as bigint), top) left join ys w on w.grp = iw.grp and w.t = least(cast(cutoff - a as bigint), top)), "
+        f"ok as (select * from ip where fit_at >= {smoothing.MIN_DAYS} and now_at >= {smoothing.MIN_DAYS} and seen >= {smoothing.MIN_FIT_DAYS}), "
+        "bp as (select fo.grp, fo.t, arg_min(gi, {'s': sse, 'g': gi}) as gi from fo join (select distinct grp, fit_at from ok) k on k.grp = fo.grp and k.fit_at = fo.t group by 1, 2), "
+        f"ets as (select i.grp, i.issue_date, i.cutoff, {path} as y_pred from ok i join bp on bp.grp = i.grp and bp.t = i.fit_at join fo o on o.grp = i.grp and o.gi = bp.gi and o.t = i.now_at)"
+    )
+
+
+@query("j06_smoothing", f"with recursive {_smoothing_ctes(LINE_PANEL, DAILY)} select r.spec, 'ets_weekly' as model, r.issue_date, r.cutoff, r.target_start, r.target_end, r.grp, r.y_true, ets.y_pred "
+       "from results r left join ets on ets.grp = r.grp and ets.issue_date = r.issue_date where r.model = 'plain_28d'")
 def j06(spark, sf):
     p = line_panel(spark, sf)
     return smoothing.with_truth(smoothing.smoothing_forecasts(p, DAILY, *SPAN), p, DAILY, "ets_weekly")
 
 
-@query("j06_smoothing_weekly_many_series")
+@query("j06_smoothing_weekly_many_series", f"with recursive {_smoothing_ctes(SUPP_PANEL, WEEKLY)} select i.issue_date, i.cutoff, i.grp, ets.y_pred from iw i left join ets on ets.grp = i.grp and ets.issue_date = i.issue_date")
 def j06m(spark, sf):
     return smoothing.smoothing_forecasts(supplier_panel(spark, sf), WEEKLY, *SPAN)
 
