@@ -10,8 +10,10 @@ from tallycast.functions.stats import rolling
 from tallycast.models import learners as L
 from tallycast.models import linear, negbin, smoothing
 from tallycast.models.boosting import boosted_backtest
+from tallycast.models.topdown import SHARE_DAYS
 from tallycast.operators import features as X
 from tallycast.operators import metrics as M
+from tallycast.operators.ensemble import AFTER, BEFORE
 from tallycast.plans import holdout as H
 from tallycast.plans import tuning as T
 from tallycast.plans.registry import registry_run
@@ -100,28 +102,49 @@ def j05(spark, sf):
     return negbin.monthly_backtest(line_features(spark, sf), LINE_KEEP, DAILY, MONTHS)
 
 
-def _smoothing_ctes(panel: str, s) -> str:
+def _state_ctes(panel: str, issues: str, s, tag: str = "") -> str:
     """CTEs ending in ``ets``: the states of every parameter pair as a recursion over the days, the best pair at each month's refit."""
     lag, gap, width = s.publication_lag_days, s.gap_days, s.window_days
     grid = ", ".join(f"({i}, {a}::double, {g}::double)" for i, (a, g) in enumerate(smoothing.GRID))
     weekly = ", ".join(f"avg(y) filter (where t % 7 = {k}) - avg(y)" for k in range(7))
     path = " + ".join(f"exp(o.level + o.season[(i.cutoff - i.a + {gap + j}) % 7 + 1])" for j in range(width))
-    so_far, ahead = ("over (partition by grp order by t rows between unbounded preceding and current row)", "over (partition by grp order by t rows between current row and unbounded following)")
+    so_far, ahead = (f"over (partition by grp order by t rows between {f})" for f in ("unbounded preceding and current row", "current row and unbounded following"))
+    bo, lg, nb, ys, pr, fo, iw, ip, ok, bp, ets = (f"{n}{tag}" for n in ("bo", "lg", "nb", "ys", "pr", "fo", "iw", "ip", "ok", "bp", "ets"))
     return (
-        f"{results_ctes(panel, s, *SPAN, (13,))}, bo as (select grp, min(date) as a, max(date) as z from panel where n > 0 group by grp), "
-        "lg as (select panel.grp, cast(date - a as bigint) as t, case when n > 0 then ln(n) end as v from panel join bo on bo.grp = panel.grp and date between a and z), "
-        f"nb as (select grp, t, v, last_value(v ignore nulls) {so_far} as pv, max(case when v is not null then t end) {so_far} as pt, first_value(v ignore nulls) {ahead} as qv, "
-        f"min(case when v is not null then t end) {ahead} as qt, count(v) {so_far} as cnt from lg), "
-        "ys as materialized (select grp, t, coalesce(v, pv + (qv - pv) / cast(qt - pt as double) * (t - pt)) as y, pt, cnt from nb), "
-        f"pr(gi, al, ga) as (values {grid}), "
-        f"fo as (select grp, gi, al, ga, cast(-1 as bigint) as t, level, season, 0.0::double as sse from (select grp, avg(y) as level, [{weekly}] as season from ys where t < 14 group by grp having count(*) = 14), pr "
+        f"{bo} as (select grp, min(date) as a, max(date) as z from {panel} where n > 0 group by grp), "
+        f"{lg} as (select p.grp, cast(date - a as bigint) as t, case when n > 0 then ln(n) end as v from {panel} p join {bo} b on b.grp = p.grp and date between a and z), "
+        f"{nb} as (select grp, t, v, last_value(v ignore nulls) {so_far} as pv, max(case when v is not null then t end) {so_far} as pt, first_value(v ignore nulls) {ahead} as qv, "
+        f"min(case when v is not null then t end) {ahead} as qt, count(v) {so_far} as cnt from {lg}), "
+        f"{ys} as materialized (select grp, t, coalesce(v, pv + (qv - pv) / cast(qt - pt as double) * (t - pt)) as y, pt, cnt from {nb}), "
+        f"{pr}(gi, al, ga) as (values {grid}), "
+        f"{fo} as (select grp, gi, al, ga, cast(-1 as bigint) as t, level, season, 0.0::double as sse from (select grp, avg(y) as level, [{weekly}] as season from {ys} where t < 14 group by grp having count(*) = 14), {pr} "
         "union all select grp, gi, al, ga, t, level + al * e, list_transform(season, lambda x, k: case when k = t % 7 + 1 then x + ga * e else x end), sse + e * e "
-        "from (select fo.grp, gi, al, ga, ys.t, level, season, sse, y - level - season[ys.t % 7 + 1] as e from fo join ys on ys.grp = fo.grp and ys.t = fo.t + 1)), "
-        f"iw as (select results.grp, issue_date, cutoff, a, min(issue_date) over (partition by results.grp, date_trunc('month', issue_date)) - {lag} as refit, cast(z - a as bigint) as top from results left join bo on bo.grp = results.grp where model = 'plain_28d'), "
-        "ip as (select iw.*, f.pt as fit_at, f.cnt as seen, w.pt as now_at from iw left join ys f on f.grp = iw.grp and f.t = least(cast(refit - a as bigint), top) left join ys w on w.grp = iw.grp and w.t = least(cast(cutoff - a as bigint), top)), "
-        f"ok as (select * from ip where fit_at >= {smoothing.MIN_DAYS} and now_at >= {smoothing.MIN_DAYS} and seen >= {smoothing.MIN_FIT_DAYS}), "
-        "bp as (select fo.grp, fo.t, arg_min(gi, {'s': sse, 'g': gi}) as gi from fo join (select distinct grp, fit_at from ok) k on k.grp = fo.grp and k.fit_at = fo.t group by 1, 2), "
-        f"ets as (select i.grp, i.issue_date, i.cutoff, {path} as y_pred from ok i join bp on bp.grp = i.grp and bp.t = i.fit_at join fo o on o.grp = i.grp and o.gi = bp.gi and o.t = i.now_at)"
+        f"from (select f.grp, gi, al, ga, y.t, level, season, sse, y - level - season[y.t % 7 + 1] as e from {fo} f join {ys} y on y.grp = f.grp and y.t = f.t + 1)), "
+        f"{iw} as (select r.grp, issue_date, cutoff, a, min(issue_date) over (partition by r.grp, date_trunc('month', issue_date)) - {lag} as refit, cast(z - a as bigint) as top from ({issues}) r left join {bo} b on b.grp = r.grp), "
+        f"{ip} as (select i.*, f.pt as fit_at, f.cnt as seen, w.pt as now_at from {iw} i left join {ys} f on f.grp = i.grp and f.t = least(cast(refit - a as bigint), top) left join {ys} w on w.grp = i.grp and w.t = least(cast(cutoff - a as bigint), top)), "
+        f"{ok} as (select * from {ip} where fit_at >= {smoothing.MIN_DAYS} and now_at >= {smoothing.MIN_DAYS} and seen >= {smoothing.MIN_FIT_DAYS}), "
+        f"{bp} as (select f.grp, f.t, arg_min(gi, {{'s': sse, 'g': gi}}) as gi from {fo} f join (select distinct grp, fit_at from {ok}) k on k.grp = f.grp and k.fit_at = f.t group by 1, 2), "
+        f"{ets} as (select i.grp, i.issue_date, i.cutoff, {path} as y_pred from {ok} i join {bp} p on p.grp = i.grp and p.t = i.fit_at join {fo} o on o.grp = i.grp and o.gi = p.gi and o.t = i.now_at)"
+    )
+
+
+def _smoothing_ctes(panel: str, s, start=SPAN[0], end=SPAN[1]) -> str:
+    return f"{results_ctes(panel, s, start, end, (13,))}, " + _state_ctes("panel", "select * from results where model = 'plain_28d'", s)
+
+
+def _member_ctes(panel: str, s, start=SPAN[0], end=SPAN[1]) -> str:
+    """CTEs ending in ``td`` and ``members``: rows of both baselines, of smoothing, and of the smoothed total by recent shares."""
+    keys = "spec, r.issue_date, r.cutoff, target_start, target_end, r.grp, y_true"
+    return (
+        f"{_smoothing_ctes(panel, s, start, end)}, ng as (select count(distinct grp) as g from panel), "
+        "tot as (select date, cast(0 as bigint) as grp, case when count(n) = (select g from ng) then cast(sum(n) as bigint) end as n from panel group by date), "
+        + _state_ctes("tot", "select distinct issue_date, cutoff, cast(0 as bigint) as grp from results", s, "_t")
+        + ", sm as (select date, grp, sum(n) over w as s, count(n) over w as k from (select p.date, p.grp, case when tot.n is not null then p.n end as n from panel p join tot on tot.date = p.date) "
+        f"window w as (partition by grp order by date rows between {SHARE_DAYS - 1} preceding and current row)), "
+        f"sh as (select date as cutoff, grp, case when k >= {min_samples(SHARE_DAYS)} then cast(s as double) / nullif(sum(s) over (partition by date), 0) end as share from sm), "
+        f"td as (select {keys}, share * t.y_pred as y_pred from results r join sh on sh.cutoff = r.cutoff and sh.grp = r.grp left join ets_t t on t.cutoff = r.cutoff where model = 'plain_28d'), "
+        f"members as (select * from results union all select spec, 'ets_weekly', r.issue_date, r.cutoff, target_start, target_end, r.grp, y_true, e.y_pred from results r left join ets e on e.grp = r.grp and e.issue_date = r.issue_date where model = 'plain_28d' "
+        "union all select spec, 'topdown_ets', issue_date, cutoff, target_start, target_end, grp, y_true, y_pred from td)"
     )
 
 
@@ -143,7 +166,7 @@ def j07(spark, sf):
     return smoothing.with_truth(smoothing.ar_forecasts(p, DAILY, *SPAN), p, DAILY, "ar_calendar")
 
 
-@query("j08_top_down_smoothing")
+@query("j08_top_down_smoothing", f"with recursive {_member_ctes(LINE_PANEL, DAILY)} select * from members where model = 'topdown_ets'")
 def j08(spark, sf):
     return H.topdown_smoothing(staged(line_panel(spark, sf)), DAILY, *SPAN)
 
@@ -173,12 +196,17 @@ def j10(spark, sf):
     return H.live_forecast(staged(order_panel(spark, sf)), DAILY)
 
 
-@query("j10_ensemble_forecaster")
+@query("j10_ensemble_forecaster", f"with recursive {_member_ctes(LINE_PANEL, DAILY)} select issue_date, grp, case when count(y_pred) = 3 then avg(y_pred) end as y_pred from members where model in ('ets_weekly', 'topdown_ets', 'plain_28d') group by 1, 2")
 def j10e(spark, sf):
     return H.ensemble_forecaster(H.member_rows(staged(line_panel(spark, sf)), DAILY, *SPAN), ["ets_weekly", "topdown_ets", "plain_28d"])
 
 
-@query("k08_holdout_scores")
+_HOLDOUT = (f"{_member_ctes(LINE_PANEL, DAILY, TEST_START, TEST_END)}, mean2 as (select target_start, any_value(y_true) as y_true, case when count(y_pred) = 2 then avg(y_pred) end as y_pred from members where model in ('ets_weekly', 'topdown_ets') group by issue_date, target_start, grp), "
+            "every as (select model, target_start, y_true, y_pred from members union all select 'ens_mean', target_start, y_true, y_pred from mean2), "
+            f"sc as (select *, y_pred - y_true as error, case when target_start < date '{BREAK_DATE}' then '{BEFORE}' else '{AFTER}' end as period from every where y_true is not null)")
+
+
+@query("k08_holdout_scores", f"with recursive {_HOLDOUT} select model, period, count(*) as n, avg(abs(error)) as mae, avg(error) as bias, median(error) as median_error, avg(cast(error < 0 as double)) as under_share from sc group by 1, 2")
 def k08(spark, sf):
     panel = staged(line_panel(spark, sf))
     rows = stage(H.holdout_results(panel, DAILY, TEST_START, TEST_END, BREAK_DATE), "holdout")
