@@ -160,10 +160,11 @@ def j06m(spark, sf):
     return smoothing.smoothing_forecasts(supplier_panel(spark, sf), WEEKLY, *SPAN)
 
 
-@query("j07_calendar_autoregression")
+@query("j07_calendar_autoregression", f"with {results_ctes(LINE_PANEL, DAILY, *SPAN, (13,))} select 'ar_calendar' as model, issue_date, cutoff, target_start, target_end, grp, y_true, "
+       "(select count(n) from panel p where p.grp = r.grp and p.date <= cast(date_trunc('month', issue_date) as date) - 2) >= 91 as predicted, true as no_worse from results r where model = 'plain_28d'")
 def j07(spark, sf):
-    p = line_panel(spark, sf)
-    return smoothing.with_truth(smoothing.ar_forecasts(p, DAILY, *SPAN), p, DAILY, "ar_calendar")
+    p = staged(line_panel(spark, sf))
+    return checked(smoothing.with_truth(smoothing.ar_forecasts(p, DAILY, *SPAN), p, DAILY, "ar_calendar"), X.feature_table(p, DAILY))
 
 
 @query("j08_top_down_smoothing", f"with recursive {_member_ctes(LINE_PANEL, DAILY)} select * from members where model = 'topdown_ets'")
