@@ -38,3 +38,9 @@ def test_matches_sql(spark, name):
     want = sorted((tuple(r[names.index(c)] for c in cols) for r in cur.fetchall()), key=key)
     assert sorted(names) == cols and len(got) == len(want)
     assert all(same(x, y) for g, w in zip(got, want) for x, y in zip(g, w))
+
+
+@pytest.mark.parametrize("name", ["a01_typed_csv_scan"])
+def test_written_csv_matches_sql(spark, name):
+    """Queries that write CSV files and read them back."""
+    test_matches_sql(spark, name)
