@@ -40,7 +40,7 @@ def test_matches_sql(spark, name):
     assert all(same(x, y) for g, w in zip(got, want) for x, y in zip(g, w))
 
 
-@pytest.mark.parametrize("name", ["a01_typed_csv_scan"])
+@pytest.mark.parametrize("name", ["a01_typed_csv_scan", "a07_csv_report"])
 def test_written_csv_matches_sql(spark, name):
     """Queries that write CSV files and read them back."""
     test_matches_sql(spark, name)
