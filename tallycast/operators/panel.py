@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,6 +10,10 @@ from pyspark.sql import functions as F
 
 from tallycast.sources.sinks import stage
 
+#: Rows of the dense panel that a task of the exchange by group makes, about. The exchange itself holds days with a record only,
+#: so its bytes say little about the rows that later sorts of the same task hold.
+TASK_ROWS = 1 << 18
+
 
 def records(df: DataFrame, day: Column, group: Column, subset: Column | None = None) -> DataFrame:
     """Project raw events to ``date, grp, sub``; only these columns reach the scan."""
@@ -31,14 +36,17 @@ def daily_panel(recs: DataFrame, keep: Sequence | None = None) -> DataFrame:
     Shape: one map-side-combined count (a hot group or day costs one partial row per
     task), one exchange by group, then each row is stretched to the next known day.
     No calendar x group product is built and the exchange is reused by any later window
-    over ``grp`` / ``date``.
+    over ``grp`` / ``date``. It has as many tasks as the dense panel needs, so a task's
+    memory does not grow with the number of groups.
     """
     every = recs.where(F.col("date").isNotNull()).groupBy("date", "grp").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("sub")).alias("n_sub")
     )
     every = stage(every, "counts")  # the only scan of the events; a row per day and group is read from here on
     observed = observed_dates(every)
-    lo, hi = observed.select(F.min("date")).scalar(), observed.select(F.max("date")).scalar()
+    found = every.agg(F.min("date").alias("lo"), F.max("date").alias("hi"), F.approx_count_distinct("grp").alias("groups")).first()
+    lo, hi = F.lit(found.lo).cast("date"), F.lit(found.hi).cast("date")
+    days = (found.hi - found.lo).days + 1 if found.lo is not None else 0
     counts = every.where(F.col("grp").isNotNull())
     if keep is not None:
         counts = counts.where(F.col("grp").isin(list(keep)))
@@ -49,6 +57,8 @@ def daily_panel(recs: DataFrame, keep: Sequence | None = None) -> DataFrame:
             F.date_sub(lo, 1).alias("date"), "grp", F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("n_sub")
         )
         counts = counts.unionByName(before)
+    groups = found.groups if keep is None else len(keep)
+    counts = counts.repartition(max(1, math.ceil(groups * days / TASK_ROWS)), "grp")
     w = Window.partitionBy("grp").orderBy("date")
     first = F.lag("date").over(w).isNull()
     stretched = counts.select(

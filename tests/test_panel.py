@@ -82,3 +82,13 @@ def test_shares_sum_to_one_on_complete_days(spark):
 def test_total_is_null_when_a_group_is(spark):
     p = spark.createDataFrame([(day("2024-01-01"), 1, 5, 1), (day("2024-01-01"), 2, None, None), (day("2024-01-02"), 1, 5, 1), (day("2024-01-02"), 2, 2, 0)], PANEL)
     assert rows_of(P.total_series(p), "date", "n") == [(day("2024-01-01"), None), (day("2024-01-02"), 7)]
+
+
+def test_rows_of_a_task_do_not_grow_with_groups(spark, monkeypatch):
+    """The exchange has few rows a series, the dense panel one a day: tasks are dealt by the latter."""
+    monkeypatch.setattr(P, "TASK_ROWS", 500)
+    days = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 2 * 99).cast("int"))
+    for groups in (20, 200):
+        recs = spark.range(2 * groups).select(days.alias("date"), F.floor(F.col("id") / 2).alias("grp"), F.lit(True).alias("sub"))
+        sizes = P.daily_panel(recs).rdd.glom().map(len).collect()
+        assert sum(sizes) == 100 * groups and max(sizes) <= 3 * P.TASK_ROWS
