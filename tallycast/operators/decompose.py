@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import lru_cache
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallycast.functions.quantiles import exact_quantiles
-from tallycast.operators.series import interpolate, spread
+from tallycast.operators.series import interpolate, spread, whole_series
 from tallycast.sources.sinks import stage
 
 
-# --- LOESS pieces (regular grid, so every local fit is a row of one matrix expression) ----
+# --- LOESS on a regular grid: sums of a local fit are products of block matrices and the values, for many series at once ----
+
+#: Output positions of a block of matrix rows, and values (days x series) that are decomposed together, about.
+BLOCK, BATCH_VALUES = 16, 1 << 17
+
 
-def _geometry(n: int, at: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Neighbour positions, tricube weights and fit positions; independent of the data."""
+def _geometry(n: int, at: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Neighbour positions and tricube weights of each fit position; independent of the data."""
     width = min(span, n)
     left = np.clip(np.ceil(at - (width - 1) / 2 - 1e-9).astype(int), 0, n - width)
     idx = left[:, None] + np.arange(width)[None, :]
@@ -23,77 +30,131 @@ def _geometry(n: int, at: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray
     h = dist.max(axis=1) + (max(span - n, 0) // 2)
     h = np.where(h == 0, 1.0, h)[:, None]
     tricube = np.where(dist <= 0.001 * h, 1.0, np.where(dist < 0.999 * h, (1 - (dist / h) ** 3) ** 3, 0.0))
-    return idx, tricube, at
-
-
-def _loess(y: np.ndarray, geometry: tuple[np.ndarray, np.ndarray, np.ndarray], robust: np.ndarray) -> np.ndarray:
-    """Local linear fit of ``y`` (positions 0..n-1) at every position of the geometry."""
-    idx, tricube, at = geometry
-    n = len(y)
-    w = tricube * robust[idx]
-    total = w.sum(axis=1)
-    flat = total <= 0
-    w = w / np.where(flat, 1.0, total)[:, None]
-    mean_x = np.einsum("ij,ij->i", w, idx)
-    off = idx - mean_x[:, None]
-    var_x = np.einsum("ij,ij,ij->i", w, off, off)
-    slope_on = np.sqrt(var_x) > 0.001 * (n - 1)
-    lever = np.where(slope_on, (at - mean_x) / np.where(slope_on, var_x, 1.0), 0.0)
-    near = y[idx]
-    fit = np.einsum("ij,ij->i", w, near) + lever * np.einsum("ij,ij,ij->i", w, off, near)
-    return np.where(flat, y[np.clip(np.rint(at).astype(int), 0, n - 1)], fit)
+    return idx, tricube
+
+
+class _Band:
+    """A matrix whose rows have few neighbouring entries, cut into blocks of rows: its product with (days, series)."""
+
+    def __init__(self, idx: np.ndarray, kinds: list[np.ndarray], n: int) -> None:
+        """``idx``: columns of the entries of each row; ``kinds``: their values, for one or several matrices."""
+        self.rows = len(idx)
+        starts = np.arange(0, self.rows, BLOCK)
+        lasts = np.minimum(starts + BLOCK, self.rows) - 1
+        width = int((idx[lasts, -1] - idx[starts, 0]).max()) + 1
+        first = np.minimum(idx[starts, 0], n - width)
+        self.columns = first[:, None] + np.arange(width)
+        self.values = np.zeros((len(starts), len(kinds), BLOCK, width))
+        block, row = np.divmod(np.arange(self.rows), BLOCK)
+        for k, entries in enumerate(kinds):
+            self.values[block[:, None], k, row[:, None], idx - first[block][:, None]] = entries
+
+    def times(self, x: np.ndarray, kinds: int) -> list[np.ndarray]:
+        """Products of the first matrices with ``x``."""
+        blocks, _, _, width = self.values.shape
+        out = self.values[:, :kinds].reshape(blocks, kinds * BLOCK, width) @ x[self.columns]
+        out = out.reshape(blocks, kinds, BLOCK, -1)
+        return [out[:, k].reshape(blocks * BLOCK, -1)[: self.rows] for k in range(kinds)]
+
+
+class _Loess:
+    """Local linear fits at fixed positions of series of n days (positions 0..n-1)."""
+
+    def __init__(self, n: int, at: np.ndarray, span: int) -> None:
+        idx, tricube = _geometry(n, at, span)
+        off = idx - at[:, None]
+        self.n, self.nearest = n, np.clip(np.rint(at).astype(int), 0, n - 1)
+        self.band = _Band(idx, [tricube, tricube * off, tricube * off * off], n)
+
+    def fit(self, y: np.ndarray, robust: np.ndarray) -> np.ndarray:
+        """The fit of each column of ``y``, weights of neighbours multiplied by ``robust``."""
+        total, first, second = self.band.times(robust, 3)
+        level, slope = self.band.times(robust * y, 2)
+        flat = total <= 0
+        total = np.where(flat, 1.0, total)
+        mean, level = first / total, level / total
+        var = second / total - mean * mean
+        on = var > (0.001 * (self.n - 1)) ** 2
+        fit = level - np.where(on, mean / np.where(on, var, 1.0), 0.0) * (slope / total - mean * level)
+        return np.where(flat, y[self.nearest], fit) if flat.any() else fit
+
+
+def _low_pass(n: int, period: int, span: int) -> _Band:
+    """Three moving averages and an unweighted local linear fit of a cycle of n + 2 periods, as one matrix."""
+    idx, w = _geometry(n, np.arange(n, dtype=float), span)
+    w = w / w.sum(axis=1, keepdims=True)
+    off = idx - (w * idx).sum(axis=1, keepdims=True)
+    var = (w * off * off).sum(axis=1)
+    on = np.sqrt(var) > 0.001 * (n - 1)
+    lever = np.where(on, (np.arange(n) - (w * idx).sum(axis=1)) / np.where(on, var, 1.0), 0.0)
+    w = w * (1 + lever[:, None] * off)
+    even = np.ones(period) / period
+    taps = np.convolve(np.convolve(even, even), np.ones(3) / 3)
+    entries = np.array([np.convolve(row, taps) for row in w])
+    return _Band(idx[:, :1] + np.arange(entries.shape[1]), [entries], n + 2 * period)
+
+
+@lru_cache(maxsize=4)
+def _operators(n: int, period: int, seasonal: int, trend: int) -> tuple[dict[int, _Loess], _Band, _Loess]:
+    """Fits of the cycles by length, the low-pass filter and the trend fit of series of n days."""
+    lengths = {len(range(k, n, period)) for k in range(period)}
+    cycles = {m: _Loess(m, np.arange(-1, m + 1, dtype=float), seasonal) for m in lengths}
+    return cycles, _low_pass(n, period, period + 1 + period % 2), _Loess(n, np.arange(n, dtype=float), trend)
 
 
-def _moving(x: np.ndarray, k: int) -> np.ndarray:
-    return np.convolve(x, np.ones(k) / k, mode="valid")
+def stl(y: np.ndarray, period: int = 7, seasonal: int = 7, trend: int = 29, rounds: int = 15, inner: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Seasonal, trend and remainder with bisquare robustness weights; ``y`` is one series, or (days, series) of one length."""
+    if y.ndim == 1:
+        return tuple(part[:, 0] for part in stl(y[:, None], period, seasonal, trend, rounds, inner))
+    n, size = y.shape
+    cycles, low, trend_fit = _operators(n, period, seasonal, trend)
+    phases = {m: [k for k in range(period) if len(range(k, n, period)) == m] for m in cycles}
+    weights, trend_c, seas = np.ones((n, size)), np.zeros((n, size)), np.zeros((n, size))
 
+    def by_phase(x: np.ndarray, m: int) -> np.ndarray:
+        return np.concatenate([x[k::period] for k in phases[m]], axis=1)
 
-def stl(y: np.ndarray, period: int = 7, seasonal: int = 7, trend: int = 29, rounds: int = 15, inner: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Seasonal, trend and remainder with bisquare robustness weights."""
-    n = len(y)
-    low = period + 1 + period % 2
-    weights, trend_c, seas = np.ones(n), np.zeros(n), np.zeros(n)
-    grid, even = np.arange(n, dtype=float), np.ones(n)
-    lengths = {len(range(k, n, period)) for k in range(period)}
-    cycles = {m: _geometry(m, np.arange(-1, m + 1, dtype=float), seasonal) for m in lengths}
-    low_fit, trend_fit = _geometry(n, grid, low), _geometry(n, grid, trend)
     for r in range(rounds + 1):
         for _ in range(inner):
             detrended = y - trend_c
-            cycle = np.empty(n + 2 * period)
-            for s in range(period):
-                sub, rw = detrended[s::period], weights[s::period]
-                cycle[s::period][: len(sub) + 2] = _loess(sub, cycles[len(sub)], rw)
-            smooth = _moving(_moving(_moving(cycle, period), period), 3)
-            seas = cycle[period:-period] - _loess(smooth, low_fit, even)
-            trend_c = _loess(y - seas, trend_fit, weights)
+            cycle = np.empty((n + 2 * period, size))
+            for m, fit in cycles.items():
+                got = fit.fit(by_phase(detrended, m), by_phase(weights, m))
+                for i, k in enumerate(phases[m]):
+                    cycle[k::period][: m + 2] = got[:, i * size : (i + 1) * size]
+            seas = cycle[period:-period] - low.times(cycle, 1)[0]
+            trend_c = trend_fit.fit(y - seas, weights)
         if r < rounds:
             resid = np.abs(y - seas - trend_c)
-            h = 6 * np.median(resid)
-            u = np.where(h > 0, resid / (h if h > 0 else 1.0), 0.0)
+            h = 6 * np.median(np.ascontiguousarray(resid.T), axis=1)
+            u = np.where(h > 0, resid / np.where(h > 0, h, 1.0), 0.0)
             weights = np.where(u <= 0.001, 1.0, np.where(u <= 0.999, (1 - u**2) ** 2, 0.0))
     return seas, trend_c, y - seas - trend_c
 
 
 def decompose(panel: DataFrame, period: int = 7, trend: int = 29) -> DataFrame:
-    """Robust decomposition of every series: one task per series, millions of series.
+    """Robust decomposition of every series, some fifty of one length at a time; millions of series.
 
     Interior missing days are interpolated first; series without two full periods
     keep a null remainder.
     """
-    filled = interpolate(panel, "n", "filled").where("filled is not null").select("date", "grp", "n", "filled")
-
-    def per_series(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        y = pdf["filled"].to_numpy(float)
-        parts = stl(y, period, 7, trend) if len(y) >= 2 * period else (np.full(len(y), np.nan),) * 3
-        out = pdf[["date", "grp", "n"]].copy()
-        out["seasonal"], out["trend"], out["resid"] = parts
-        return out
+    filled = interpolate(panel, "n", "filled").where("filled is not null").select(F.unix_date("date").alias("day"), "grp", "n", "filled")
+
+    def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, ends in whole_series(batches, BATCH_VALUES):
+            y = rows["filled"].to_numpy(zero_copy_only=False)
+            starts = np.concatenate([[0], ends[:-1]])
+            found = np.full((3, len(y)), np.nan)
+            for m in np.unique(ends - starts):
+                if m >= 2 * period:
+                    at = starts[ends - starts == m] + np.arange(m)[:, None]
+                    found[:, at] = stl(y[at], period, 7, trend)
+            parts = [pa.array(x, pa.float64(), from_pandas=True) for x in found]  # NaN becomes null
+            yield pa.RecordBatch.from_arrays([rows["day"], rows["grp"], rows["n"], *parts], names=["day", "grp", "n", "seasonal", "trend", "resid"])
 
     kind = panel.schema["grp"].dataType.simpleString()
-    out = spread(filled).groupBy("grp").applyInPandas(per_series, f"date date, grp {kind}, n bigint, seasonal double, trend double, resid double")
-    return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("seasonal", "trend", "resid")})
+    out = spread(filled).sortWithinPartitions("grp", "day").mapInArrow(parts_of, f"day int, grp {kind}, n bigint, seasonal double, trend double, resid double")
+    return out.select(F.date_from_unix_date("day").alias("date"), "grp", "n", "seasonal", "trend", "resid")
 
 
 def strengths(parts: DataFrame) -> DataFrame:

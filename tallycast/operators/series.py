@@ -7,9 +7,12 @@ natural unit; the number of series is what grows.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -30,6 +33,31 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(parts, "grp")
 
 
+def whole_series(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Rows of a partition sorted by ``grp``, cut between series into batches of ``size`` rows or a little more, and the ends of the series in each."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+
+    def joined() -> tuple[pa.RecordBatch, np.ndarray]:
+        whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        a, b = whole["grp"].slice(0, rows - 1), whole["grp"].slice(1)
+        new = pc.coalesce(pc.not_equal(a, b), pc.not_equal(pc.is_null(a), pc.is_null(b)))  # null is a group as any other
+        return whole, np.append(np.flatnonzero(new.to_numpy(zero_copy_only=False)) + 1, rows)
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            rows += batch.num_rows
+        if rows >= size:
+            whole, ends = joined()
+            if len(ends) > 1:  # the last series may go on in the next batch
+                yield whole.slice(0, ends[-2]), ends[:-1]
+                whole = whole.slice(ends[-2])
+            held, rows = [whole], whole.num_rows
+    if held:
+        yield joined()
+
+
 def acf(panel: DataFrame, lags: int) -> DataFrame:
     """``grp, lag, acf``: known days renumbered, mean and denominator of the whole series."""
     known = panel.where("n is not null").select("grp", "date", F.col("n").cast("double").alias("n"))
