@@ -2,8 +2,8 @@
 
 A model here is one configuration in one refit month. The months of a span share the cuts of their bins and
 grow together. Every (row, model) pair has a margin; a tree level is one small job over all pairs: tasks
-add gradients by (model, node, input, bin), and a tree of tasks adds these sums up, whose size depends on
-models, inputs and bins alone. The driver picks the best splits from them. So twelve monthly refits of several
+add gradients by (model, node, input, bin), other tasks add these sums up by model and pick its best splits, and
+the driver gets nothing but the splits. So twelve monthly refits of several
 configurations cost as many jobs as one, and a loss is nothing but its gradients: squared, absolute,
 Poisson and Tweedie, with a log-level offset or as a ratio to the level.
 
@@ -211,6 +211,11 @@ class Sums:
     def __add__(self, other: Sums) -> Sums:
         return Sums(self.cells + other.cells, self.errors + other.errors)
 
+    def of_models(self) -> Iterator[tuple[tuple[int, int], Sums]]:
+        """The sums of each (configuration, month), which is a model of its own."""
+        for c, m in np.ndindex(self.errors.shape[0], self.errors.shape[2]):
+            yield (c, m), Sums(self.cells[c : c + 1, :, :, m : m + 1], self.errors[c : c + 1, :, m : m + 1])
+
 
 def _histograms(blocks: Iterable[dict], models: Sequence[Model], months: int, inputs: int, done: Sequence[Tree], grown: Tree) -> Iterator[Sums]:
     """Sums over the training pairs of a partition, by the nodes that `grown` has so far."""
@@ -267,9 +272,19 @@ def _best(sums: Sums, c: int, model: Model) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def _level(blocks: RDD, models: list[Model], months: int, inputs: int, held: list[Tree], tree: Tree) -> Tree:
-    """The tree with one level more. A function of its own, so that a job takes along nothing else."""
-    sums = blocks.mapPartitions(lambda it: _histograms(it, models, months, inputs, held, tree)).treeReduce(operator.add)
-    feature, cut, value = (np.stack(x) for x in zip(*(_best(sums, c, model) for c, model in enumerate(models))))
+    """The tree with one level more. A function of its own, so that a job takes along nothing else.
+
+    Sums are added up and decided on where they are, model by model; the driver gets the splits alone, a few bytes a node.
+    """
+    def sums(it: Iterable[dict]) -> Iterator[tuple[tuple[int, int], Sums]]:
+        for part in _histograms(it, models, months, inputs, held, tree):
+            yield from part.of_models()
+
+    parts = blocks.mapPartitions(sums)
+    if blocks.getNumPartitions() > 1:
+        parts = parts.reduceByKey(operator.add, min(blocks.getNumPartitions(), len(models) * months))
+    best = dict(parts.map(lambda kv: (kv[0], _best(kv[1], 0, models[kv[0][0]]))).collect())
+    feature, cut, value = (np.stack([np.concatenate([best[c, m][i] for m in range(months)]) for c in range(len(models))]) for i in range(3))
     return Tree([*tree.feature, feature], [*tree.cut, cut], value.reshape(len(models), months, -1))
 
 

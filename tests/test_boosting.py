@@ -1,10 +1,12 @@
 """Boosted trees against a plain one-model booster, and what they may not see."""
 
 import datetime as dt
+import pickle
 
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark import RDD
 from pyspark.sql import functions as F
 
 from tallycast.models import boosting as B
@@ -148,3 +150,20 @@ def test_topdown_over_boosted_totals(panel):
     assert {r.model for r in done.select("model").distinct().collect()} == {"topdown_gbt_poisson_raw", "gbt_poisson"}
     wape = done.groupBy("model").agg((F.sum(F.abs(F.col("y_pred") - F.col("y_true"))) / F.sum("y_true")).alias("w")).collect()
     assert all(r.w < 0.3 for r in wape)
+
+
+@pytest.mark.parametrize("pairs", [1 << 17, 1 << 9])
+def test_driver_gets_splits_alone(features, monkeypatch, pairs):
+    """Sums of gradients stay in the tasks, in one partition of blocks or in several."""
+    sizes, collect = [], RDD.collect
+
+    def weighed(self):
+        got = collect(self)
+        sizes.append(len(pickle.dumps(got)))
+        return got
+
+    monkeypatch.setattr(B, "PARTITION_PAIRS", pairs)
+    monkeypatch.setattr(RDD, "collect", weighed)
+    models = [B.Model("a", "squared", rate=0.2), B.Model("b", "absolute", rate=0.2)]
+    assert B.boosted_backtest(features, models, DAILY, MONTHS, 1, 3).where("y_pred is not null").count() > 0
+    assert len(sizes) >= 3 and max(sizes) < 1 << 14
