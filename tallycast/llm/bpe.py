@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallycast.llm.common import small_batches
+from tallycast.llm.common import caches_of, emptied_between_operators, small_batches
 from tallycast.llm.pretokens import pretokens
 
 #: Pre-tokens held by one worker's cache, and the longest one held: memory stays bounded.
@@ -163,6 +163,9 @@ def ranks_of(path: str) -> Ranks:
     return Ranks(path)
 
 
+emptied_between_operators(ranks_of.cache_clear)
+
+
 def cached_ids(pieces: list[str], cache: dict[str, bytes], encode_new) -> list[bytes]:
     """Ids of each piece: from the cache, or for all new ones at once."""
     found = list(map(cache.get, pieces))
@@ -212,6 +215,7 @@ def decode_ids(ids: list[bytes], vocabulary: Ranks) -> list[bytes]:
 
 
 def encode_batches(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    caches_of("bpe")
     vocabulary = ranks_of(path)
     for batch in batches:
         texts = batch.column(1).fill_null("").to_pylist()
@@ -220,6 +224,7 @@ def encode_batches(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
 
 
 def decode_batches(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    caches_of("bpe")
     vocabulary = ranks_of(path)
     for batch in batches:
         ids = batch.column(1).to_pylist()
@@ -248,3 +253,10 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """Adds the decoded bytes to a table of doc_id and ids."""
     small_batches(encoded.sparkSession)
     return encoded.select("doc_id", "ids").mapInArrow(lambda it: decode_batches(ranks_path, it), "doc_id long, ids binary, decoded binary")
+
+
+def encode_and_decode(docs: DataFrame, ranks_path: str) -> DataFrame:
+    """What decode(encode(docs)) returns, by one Python worker a task, which holds one vocabulary, instead of two."""
+    small_batches(docs.sparkSession)
+    rows = docs.select("doc_id", F.col("text").cast("string"))
+    return rows.mapInArrow(lambda it: decode_batches(ranks_path, encode_batches(ranks_path, it)), "doc_id long, ids binary, decoded binary")

@@ -20,6 +20,24 @@ BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 #: Bytes of results and texts that a cache of a Python worker keeps, about.
 CACHE_BYTES = 32 << 20
 
+#: How to empty the caches of this Python worker, and the operator that filled them.
+_CACHES: list[Callable[[], None]] = []
+_filled_by = ""
+
+
+def emptied_between_operators(clear: Callable[[], None]) -> None:
+    """Have a cache emptied when a reused worker goes on with another operator."""
+    _CACHES.append(clear)
+
+
+def caches_of(operator: str) -> None:
+    """Called where an operator begins in a task: a reused worker drops what another operator has left."""
+    global _filled_by
+    if _filled_by != operator:
+        for clear in _CACHES:
+            clear()
+        _filled_by = operator
+
 
 def bounded(fn: Callable[[str], tuple[np.ndarray, ...] | np.ndarray]):
     """Cache arrays by text until they hold CACHE_BYTES; then it starts again, so a reused worker keeps no more."""
@@ -39,6 +57,12 @@ def bounded(fn: Callable[[str], tuple[np.ndarray, ...] | np.ndarray]):
             kept[text] = found
         return found
 
+    def clear() -> None:
+        nonlocal held
+        kept.clear()
+        held = 0
+
+    emptied_between_operators(clear)
     return cached
 
 

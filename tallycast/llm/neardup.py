@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallycast.llm.common import bounded, join_on_hot_key, packed, small_batches, staged, text_key
+from tallycast.llm.common import bounded, caches_of, join_on_hot_key, packed, small_batches, staged, text_key
 from tallycast.llm.graph import linked_classes
 from tallycast.llm.words import mix, shingles_of, steps, words_of
 
@@ -94,6 +94,7 @@ def band_rows(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     bands, rows = tuned_bands(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caches_of("neardup")
         for batch in batches:
             of = dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))  # copies at hand count once
             nodes, texts = list(of), list(of.values())

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallycast.llm.common import bounded, join_on_hot_key, packed, small_batches, staged, text_key
+from tallycast.llm.common import bounded, caches_of, join_on_hot_key, packed, small_batches, staged, text_key
 from tallycast.llm.graph import linked_classes
 from tallycast.llm.neardup import band_keys, may_be_near, prob_minhash, tuned_bands, weighted_shingles
 from tallycast.llm.words import STEP, Words, mix, steps, words_of
@@ -99,6 +99,7 @@ def paragraph_bands(docs: DataFrame, least: int) -> DataFrame:
     bands, rows = tuned_bands(THRESHOLD, RECALL, SLOTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caches_of("passages")
         for batch in batches:
             texts = batch.column(0).to_pylist()
             of = {k: t[b:e] for t, found in zip(texts, _paragraphs(texts, least)) for b, e, k in found}
@@ -304,9 +305,11 @@ def deduplicated(docs: DataFrame, least: int = LEAST) -> DataFrame:
     lost = lost.agg(F.collect_set(F.struct("begin", "end")).alias("lost"))
 
     @F.pandas_udf("string")
-    def shortened(text: pd.Series, begins: pd.Series, ends: pd.Series) -> pd.Series:
+    def cut_text(text: pd.Series, begins: pd.Series, ends: pd.Series) -> pd.Series:
         return pd.Series([t if b is None else cut(t, b, e) for t, b, e in zip(text, begins, ends)], dtype=object)
 
+    shortened = cut_text.asNondeterministic()  # so that the filter on its result stays above it: once a row, by one worker a task
+
     keyed = packed(docs, place=F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)), node=text_key())
     met = keyed.join(lost.hint("merge"), ["place", "node"], "left")
     text = shortened(F.col("row.text"), F.col("lost.begin"), F.col("lost.end"))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from tallycast.llm.common import columns_free, packed, small_batches
+from tallycast.llm.common import caches_of, columns_free, packed, small_batches
 from tallycast.llm.pretokens import LETTER, NUMBER, OTHER, SPACE, class_table
 from tallycast.llm.training import training_rows
 from tallycast.llm.words import SEP, SEP_CODE, code_points, fold, steps, words_of
@@ -104,6 +104,7 @@ def statistics(texts: list[str]) -> np.ndarray:
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    caches_of("quality")
     for batch in batches:
         texts = batch.column(batch.num_columns - 1).fill_null("").to_pylist()
         x = np.vstack([statistics(texts[a:b]) for a, b in steps(texts)]) if texts else np.zeros((0, len(STATISTICS)))
@@ -113,6 +114,7 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @F.arrow_udf(ArrayType(DoubleType()))
 def _statistics_of(text: pa.Array) -> pa.Array:
+    caches_of("quality")
     texts = text.to_pylist()
     x = np.vstack([statistics(texts[a:b]) for a, b in steps(texts)]) if texts else np.zeros((0, len(STATISTICS)))
     return pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * len(STATISTICS), pa.array(x.ravel(), pa.float64()))

@@ -9,6 +9,7 @@ import regex
 import tiktoken
 
 from tallycast.llm import bpe
+from tallycast.llm.common import bounded, caches_of
 from tallycast.llm.pretokens import automaton, pretokens
 
 PATH = P.path("byte_bpe_50k.tiktoken")
@@ -46,3 +47,23 @@ def test_operator(spark):
     want = sorted(((t or "").encode(), enc.encode_ordinary(t or "")) for t in texts)
     assert sorted((bytes(r.decoded), np.frombuffer(r.ids, "<u4").tolist()) for r in got) == want
     assert bpe.encode(docs.limit(0), PATH).count() == 0
+
+
+def test_round_trip_by_one_worker_a_task(spark):
+    docs = spark.createDataFrame([(1, "one two\n three"), (2, None), (None, "İx it's")], "doc_id long, text string")
+    both = bpe.encode_and_decode(docs, PATH)
+    assert both._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert sorted(both.collect(), key=str) == sorted(bpe.decode(bpe.encode(docs, PATH), PATH).collect(), key=str)
+
+
+def test_a_worker_drops_the_caches_of_another_operator():
+    caches_of("bpe")
+    one = bpe.ranks_of(PATH)
+    caches_of("bpe")
+    assert bpe.ranks_of(PATH) is one
+    caches_of("neardup")
+    assert bpe.ranks_of.cache_info().currsize == 0
+    made = []
+    cached = bounded(lambda text: made.append(text) or np.zeros(1))
+    cached("a"), cached("a"), caches_of("passages"), cached("a")
+    assert made == ["a", "a"]

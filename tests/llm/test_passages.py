@@ -116,3 +116,9 @@ def test_every_place_of_a_passage_goes(spark):
     left = left_after(spark, texts)
     assert left[0] == texts[0] and x not in left[1] and not windows(left[1]) & windows(texts[0])
     assert len(left[1].split()) == len(texts[1].split()) - 120
+
+
+def test_texts_are_cut_by_one_worker_a_task(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plan = p.deduplicated(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.partition("== Initial Plan ==")[0].count("ArrowEvalPython") == 1
