@@ -13,6 +13,8 @@ from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import compress, count, repeat
+from operator import is_
 
 import numpy as np
 import pyarrow as pa
@@ -169,12 +171,16 @@ emptied_between_operators(ranks_of.cache_clear)
 def cached_ids(pieces: list[str], cache: dict[str, bytes], encode_new) -> list[bytes]:
     """Ids of each piece: from the cache, or for all new ones at once."""
     found = list(map(cache.get, pieces))
-    if None in found:
-        new = encode_new(list(dict.fromkeys(p for p, x in zip(pieces, found) if x is None)))
-        found = [new[p] if x is None else x for p, x in zip(pieces, found)]
-        if len(cache) > CACHE_PIECES:
+    at = list(compress(count(), map(is_, found, repeat(None))))
+    if at:
+        missed = [pieces[i] for i in at]
+        new = encode_new(list(dict.fromkeys(missed)))
+        for i, p in zip(at, missed):
+            found[i] = new[p]
+        if len(cache) > CACHE_PIECES:  # the step at hand stays, and with it the frequent pieces
             cache.clear()
-        cache.update((p, x) for p, x in new.items() if len(p) <= CACHE_CHARS)
+            new = dict(zip(pieces, found))
+        cache.update(new if max(map(len, new)) <= CACHE_CHARS else {p: x for p, x in new.items() if len(p) <= CACHE_CHARS})
     return found
 
 

@@ -172,9 +172,10 @@ def tokenizer_of(path: str):
 
 def _encode_new(tokenizer, blank: np.ndarray, width: int, pieces: list[str]) -> dict[str, bytes]:
     """Ids of each piece. Words behind a blank are encoded many in a row: each begins at the next id with a blank."""
-    words = [p for p in pieces if p[0] == " " and p[1:].isalpha()]
-    rows = [words[i : i + WORDS] for i in range(0, len(words), WORDS)]
-    rows += [[p] for p in pieces if not (p[0] == " " and p[1:].isalpha())]
+    words, others = [], []
+    for p in pieces:
+        (words if p[0] == " " and p[1:].isalpha() else others).append(p)
+    rows = [words[i : i + WORDS] for i in range(0, len(words), WORDS)] + [[p] for p in others]
     out: dict[str, bytes] = {}
     for row, coded in zip(rows, tokenizer.encode_batch_fast(list(map("".join, rows)), add_special_tokens=False)):
         ids = np.array(coded.ids, f"<u{width}")

@@ -67,3 +67,16 @@ def test_a_worker_drops_the_caches_of_another_operator():
     cached = bounded(lambda text: made.append(text) or np.zeros(1))
     cached("a"), cached("a"), caches_of("passages"), cached("a")
     assert made == ["a", "a"]
+
+
+def test_a_full_cache_keeps_the_pieces_at_hand(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_PIECES", 2)
+    asked, cache, long = [], {}, "x" * (bpe.CACHE_CHARS + 1)
+
+    def encode_new(pieces):
+        asked.append(pieces)
+        return {p: p.encode() for p in pieces}
+
+    for step in (["a", "b", "c", "a"], ["a", "d", long, "d"], ["d", "a", "b"]):
+        assert bpe.cached_ids(step, cache, encode_new) == [p.encode() for p in step]
+    assert asked == [["a", "b", "c"], ["d", long], ["b"]] and long not in cache
