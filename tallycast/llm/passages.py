@@ -262,7 +262,8 @@ def removals(docs: DataFrame, least: int = LEAST) -> DataFrame:
     kind is `copy`, `passage` or `paragraph`; pieces of different kinds may overlap. Null and short
     texts lose nothing; rows alike in doc_id and text count as one document and give their pieces
     once; null doc_ids are taken as one id below all others. Other columns are ignored, and an empty
-    table gives none.
+    table gives none. Each kind is written to the shared folder, so a caller's plan does not hold
+    the joins that found the pieces: the driver plans these once, one kind at a time.
     """
     small_batches(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -275,10 +276,12 @@ def removals(docs: DataFrame, least: int = LEAST) -> DataFrame:
     again = join_on_hot_key(rows, texts.where("copies > 1").select("node", "first", "copies"), "node", "copies", rows.count())
     again = again.where((F.col("doc_id") != F.col("first")) & (F.col("words") >= least))
     copies = again.select("doc_id", "node", F.lit(0).cast("long").alias("begin"), F.col("n_chars").alias("end"), F.col("first").alias("kept_doc_id"), F.lit("copy").alias("kind"))
-    paragraphs = repeated_paragraphs(base, least).distinct().withColumn("kind", F.lit("paragraph"))
+    copies = staged(copies, "copies")
+    paragraphs = staged(repeated_paragraphs(base, least).distinct().withColumn("kind", F.lit("paragraph")), "repeated-paragraphs")
     passages = staged(repeated_passages(base), "passages")
     named = passages.join(texts.select("key", "node", "first"), "key").join(texts.select(F.col("key").alias("kept_key"), F.col("first").alias("kept_doc_id")), "kept_key")
     named = named.select(F.col("first").alias("doc_id"), "node", "begin", "end", "kept_doc_id", F.lit("passage").alias("kind")).distinct()
+    named = staged(named, "repeated-passages")
     every = copies.unionByName(paragraphs).unionByName(named)
     return every.withColumns({c: F.nullif(F.col(c), F.lit(LOWEST)) for c in ("doc_id", "kept_doc_id")})
 
@@ -310,7 +313,8 @@ def deduplicated(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
     shortened = cut_text.asNondeterministic()  # so that the filter on its result stays above it: once a row, by one worker a task
 
-    keyed = packed(docs, place=F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)), node=text_key())
+    never_null = F.coalesce(text_key(), F.lit("").cast("binary"))  # else the second use of the join filters nulls, and shuffles all texts again
+    keyed = packed(docs, place=F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)), node=never_null)
     met = keyed.join(lost.hint("merge"), ["place", "node"], "left")
     text = shortened(F.col("row.text"), F.col("lost.begin"), F.col("lost.end"))
     touched = met.where("lost is not null").select("row", text.alias("text")).where(F.trim("text") != "")

@@ -122,3 +122,14 @@ def test_texts_are_cut_by_one_worker_a_task(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     plan = p.deduplicated(docs)._jdf.queryExecution().executedPlan().toString()
     assert plan.partition("== Initial Plan ==")[0].count("ArrowEvalPython") == 1
+
+
+def test_the_driver_plans_a_few_tables_at_once(spark, rows):
+    """The joins that find the pieces are not part of the plan that cuts them, and that one shuffles the texts once."""
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = p.deduplicated(docs)
+    query = out._jdf.queryExecution()
+    assert query.optimizedPlan().collectLeaves().size() <= 8  # documents and three kinds of pieces, for rows that are cut and those that are not
+    out.collect()
+    final = query.executedPlan().toString().partition("== Initial Plan ==")[0]
+    assert "ReusedExchange [row#" in final
