@@ -106,14 +106,17 @@ def text_key(text: str = "text"):
     return F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")))
 
 
-def join_on_hot_key(rows: DataFrame, keyed: DataFrame, key: str, count: str, total: int, how: str = "inner") -> DataFrame:
+def join_on_hot_key(rows: DataFrame, keyed: DataFrame, key: str | list[str], count: str, total: int, how: str = "inner") -> DataFrame:
     """Join rows with a table of one row a key, where one key may hold a third of all rows.
 
-    keyed has the number of rows of each key in `count`. Keys with 1/HOT_KEYS of all rows or more
-    are at most HOT_KEYS, so their side is broadcast; all others meet in an ordinary join.
+    keyed is a staged table that has the number of rows of each key in `count`. Keys with 1/HOT_KEYS of
+    all rows or more are at most HOT_KEYS, so their side is broadcast; all others meet in an ordinary join.
+    Without such keys the ordinary join is all: rows are read once, and nothing is broadcast.
     """
     least = max(2, total // HOT_KEYS + 1)
     hot = keyed.where(F.col(count) >= least)
+    if hot.isEmpty():
+        return rows.join(keyed, key, how)
     rest = keyed.where(F.col(count) < least)
     names = hot.select(key)
     heavy = rows.join(F.broadcast(hot), key, how)
