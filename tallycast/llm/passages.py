@@ -29,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallycast.llm.common import bounded, caches_of, join_on_hot_key, packed, small_batches, staged, text_key
+from tallycast.llm.common import caches_of, join_on_hot_key, packed, small_batches, staged, text_key
 from tallycast.llm.graph import linked_classes
 from tallycast.llm.neardup import band_keys, may_be_near, prob_minhash, tuned_bands, weighted_shingles
-from tallycast.llm.words import STEP, Words, mix, steps, words_of
+from tallycast.llm.words import STEP, Words, mix, steps, word_starts, words_of
 
 LEAST = 50
 THRESHOLD, RECALL, SLOTS = 0.8, 0.995, 24
@@ -55,10 +55,10 @@ def _paragraphs(texts: list[str], least: int) -> list[list[tuple[int, int, bytes
     """Begin, end and key of the paragraphs of `least` words or more of each text."""
     out: list[list[tuple[int, int, bytes]]] = []
     for a, b in steps(texts):
-        w = words_of(texts[a:b])
+        starts = word_starts(texts[a:b])
         base = 0
-        for d, text in enumerate(texts[a:b]):
-            start = w.start[w.first[d] : w.first[d + 1]] - base
+        for text in texts[a:b]:
+            start = starts[slice(*np.searchsorted(starts, [base, base + len(text)]))] - base
             found = []
             if len(start) >= least:
                 spans = _lines(text)
@@ -70,18 +70,29 @@ def _paragraphs(texts: list[str], least: int) -> list[list[tuple[int, int, bytes
 
 
 def paragraph_rows(docs: DataFrame, least: int) -> DataFrame:
-    """doc_id, node (of the text), begin, end and paragraph (key) of the paragraphs that take part."""
+    """doc_id, node (of the text), begin, end, paragraph (key) and bands of the paragraphs that take part; of equal ones of a batch only the first has bands."""
+    bands, rows = tuned_bands(THRESHOLD, RECALL, SLOTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caches_of("passages")
         for batch in batches:
-            found = _paragraphs(batch.column("text").to_pylist(), least)
-            row = np.repeat(np.arange(batch.num_rows), [len(f) for f in found])
+            texts = batch.column("text").to_pylist()
+            found = _paragraphs(texts, least)
+            row = pa.array(np.repeat(np.arange(batch.num_rows), [len(f) for f in found]))
             flat = [p for f in found for p in f]
             b, e, k = zip(*flat) if flat else ((), (), ())
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("node").take(take), pa.array(b, pa.int64()), pa.array(e, pa.int64()), pa.array(k, pa.binary())], names=["doc_id", "node", "begin", "end", "paragraph"])
+            of: dict[bytes, str] = {}
+            fresh = np.zeros(len(flat) + 1, np.int32)
+            for i, (d, p) in enumerate(((d, p) for d, f in enumerate(found) for p in f), 1):
+                if p[2] not in of:
+                    of[p[2]] = texts[d][p[0] : p[1]]
+                    fresh[i] = bands
+            text, element, _ = weighted_shingles(list(of.values()))
+            keys = band_keys(prob_minhash(text, element, np.ones(len(element)), len(of), SLOTS), bands, rows)
+            banded = pa.ListArray.from_arrays(pa.array(np.cumsum(fresh, dtype=np.int32)), pa.array(keys.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(row), batch.column("node").take(row), pa.array(b, pa.int64()), pa.array(e, pa.int64()), pa.array(k, pa.binary()), banded], names=["doc_id", "node", "begin", "end", "paragraph", "bands"])
 
-    return docs.select("doc_id", "node", "text").mapInArrow(run, "doc_id long, node binary, begin long, end long, paragraph binary")
+    return docs.select("doc_id", "node", "text").mapInArrow(run, "doc_id long, node binary, begin long, end long, paragraph binary, bands array<long>")
 
 
 def _paragraph_texts(docs: DataFrame, least: int) -> DataFrame:
@@ -94,40 +105,26 @@ def _paragraph_texts(docs: DataFrame, least: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "node binary, text string")
 
 
-def paragraph_bands(docs: DataFrame, least: int) -> DataFrame:
-    """(band, node) of every paragraph that takes part; equal ones of a batch count once."""
-    bands, rows = tuned_bands(THRESHOLD, RECALL, SLOTS)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        caches_of("passages")
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            of = {k: t[b:e] for t, found in zip(texts, _paragraphs(texts, least)) for b, e, k in found}
-            text, element, _ = weighted_shingles(list(of.values()))
-            keys = band_keys(prob_minhash(text, element, np.ones(len(element)), len(of), SLOTS), bands, rows)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(of.keys(), pa.binary()).take(pa.array(np.repeat(np.arange(len(of)), bands)))], names=["band", "node"])
-
-    return docs.select("text").mapInArrow(run, "band long, node binary")
-
-
-@bounded
-def _shingle_set(text: str) -> np.ndarray:
-    return weighted_shingles([text])[1]
-
-
 def alike(first: list[str], second: list[str]) -> list[bool]:
     """Whether the exact Jaccard similarity of the shingles of each two paragraphs reaches the threshold."""
+    number = {t: i for i, t in enumerate(dict.fromkeys([*first, *second]))}
+    text, shingle, _ = weighted_shingles(list(number))
+    sets = np.split(shingle, np.searchsorted(text, np.arange(1, len(number))))
     out = []
-    for a, b in zip(map(_shingle_set, first), map(_shingle_set, second)):
-        both = len(np.intersect1d(a, b, assume_unique=True))
-        out.append(both >= THRESHOLD * (len(a) + len(b) - both))
+    for x, y in zip(first, second):
+        a, b = sets[number[x]], sets[number[y]]
+        every = np.sort(np.concatenate((a, b)))  # no set has a shingle twice
+        both = np.count_nonzero(every[1:] == every[:-1])
+        out.append(bool(both >= THRESHOLD * (len(a) + len(b) - both)))
     return out
 
 
 def repeated_paragraphs(docs: DataFrame, least: int) -> DataFrame:
     """doc_id, node, begin, end of paragraphs of a class that are not its first, and kept_doc_id."""
-    roots = linked_classes(paragraph_bands(docs, least), _paragraph_texts(docs, least), alike, lambda a, b: may_be_near(a, b, THRESHOLD, weighted=False)).withColumnRenamed("node", "paragraph")
-    rows = staged(paragraph_rows(docs, least), "paragraphs")
+    found = staged(paragraph_rows(docs, least), "paragraphs")
+    bands = found.select(F.explode("bands").alias("band"), F.col("paragraph").alias("node"))
+    roots = linked_classes(bands, _paragraph_texts(docs, least), alike, lambda a, b: may_be_near(a, b, THRESHOLD, weighted=False)).withColumnRenamed("node", "paragraph")
+    rows = found.drop("bands")
     counted = rows.groupBy("paragraph").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "doc_id", "begin")).alias("first"))
     rooted = counted.join(roots, "paragraph", "left").withColumn("root", F.coalesce("root", "paragraph"))
     rooted = staged(rooted, "rooted")
@@ -181,14 +178,16 @@ def chains_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return text[at], chain[at].view(np.int64), at - w.first[text[at]]
 
 
-def windows_of(text: str, chains: list[int]) -> tuple[np.ndarray, ...]:
-    """Least chain, hash, word position, begin and end (code points) of the windows of LEAST words whose least chain is one of `chains`."""
-    w, chain, least, _ = _least_chains([text])
-    at = np.flatnonzero(np.isin(least, np.array(chains, np.int64).view(np.uint64)) & (least != 0))
+def windows_of(texts: list[str], chains: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Text number, least chain, hash, word position, begin and end (code points) of the windows of LEAST words whose least chain is one of `chains`."""
+    w, chain, least, text = _least_chains(texts)
+    at = np.flatnonzero(np.isin(least, chains.view(np.uint64)) & (least != 0))
     window = np.zeros(len(at), np.uint64)
     for j in (*range(0, RUN, CHAIN), RUN - 1):  # chains that together cover the window
         window = window * STEP + chain[at + j]
-    return least[at].view(np.int64), mix(window).view(np.int64), at, w.start[at], w.end[at + LEAST - 1]
+    of = text[at]
+    base = np.cumsum([0, *(len(t) + 1 for t in texts)])[of]
+    return of, least[at].view(np.int64), mix(window).view(np.int64), at - w.first[of], w.start[at] - base, w.end[at + LEAST - 1] - base
 
 
 def chain_rows(docs: DataFrame) -> DataFrame:
@@ -206,29 +205,39 @@ def chain_rows(docs: DataFrame) -> DataFrame:
 
 
 def window_rows(texts: DataFrame) -> DataFrame:
-    """id (least chain and hash), key, at, begin and end of the windows of texts (key, text, chains)."""
+    """chain and window (together the id), key, at, begin and end of the windows of texts (key, text, chains).
+
+    Texts of one step are searched for the chains of all of them: a chain that one shares is shared wherever it is.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, text, chains in zip(*(c.to_pylist() for c in batch.columns)):
-                chain, window, *places = windows_of(text, chains)
-                yield pa.RecordBatch.from_arrays([pa.array(chain), pa.array(window), pa.array(np.full(len(chain), key)), *(pa.array(x.astype(np.int64)) for x in places)], names=["chain", "window", "key", "at", "begin", "end"])
-
-    rows = texts.select("key", "text", "chains").mapInArrow(run, "chain long, window long, key long, at long, begin long, end long")
-    return rows.select(F.struct("chain", "window").alias("id"), "key", "at", "begin", "end")
-
-
-def merged(windows: list[dict]) -> list[tuple[int, int]]:
-    """Begin and end of runs of overlapping windows, given in order."""
-    out: list[tuple[int, int]] = []
-    last = None
-    for w in windows:
-        if last is not None and w["at"] < last + LEAST:
-            out[-1] = (out[-1][0], w["end"])
-        else:
-            out.append((w["begin"], w["end"]))
-        last = w["at"]
-    return out
+            keys, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            for a, b in steps(texts):
+                chains = np.unique(batch.column(2).slice(a, b - a).flatten().to_numpy())
+                text, chain, window, *places = windows_of(texts[a:b], chains)
+                yield pa.RecordBatch.from_arrays([pa.array(chain), pa.array(window), pa.array(keys[text + a]), *(pa.array(x.astype(np.int64)) for x in places)], names=["chain", "window", "key", "at", "begin", "end"])
+
+    return texts.select("key", "text", "chains").mapInArrow(run, "chain long, window long, key long, at long, begin long, end long")
+
+
+def merged(windows: DataFrame) -> DataFrame:
+    """key, begin, end and kept_key of runs of overlapping windows (key, kept_key, at, begin, end)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = np.zeros((5, 0), np.int64)  # the last run, as one window with the begin of its first
+        for batch in batches:
+            key, kept, at, begin, end = np.concatenate([open_, np.stack([c.to_numpy() for c in batch.columns])], axis=1)
+            if len(key):
+                apart = (key[1:] != key[:-1]) | (kept[1:] != kept[:-1]) | (at[1:] >= at[:-1] + LEAST)
+                first = np.concatenate(([0], np.flatnonzero(apart) + 1))
+                open_ = np.array([[key[-1]], [kept[-1]], [at[-1]], [begin[first[-1]]], [end[-1]]])
+                done, last = first[:-1], first[1:] - 1
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[done], begin[done], end[last], kept[done])], names=["key", "begin", "end", "kept_key"])
+        yield pa.RecordBatch.from_arrays([pa.array(open_[i]) for i in (0, 3, 4, 1)], names=["key", "begin", "end", "kept_key"])
+
+    dealt = windows.select("key", "kept_key", "at", "begin", "end").repartition("key").sortWithinPartitions("key", "kept_key", "at")
+    return dealt.mapInArrow(run, "key long, begin long, end long, kept_key long")
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -244,16 +253,9 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     wanted = staged(held.groupBy("key").agg(F.collect_set("chain").alias("chains")), "wanted")
     one_each = docs.groupBy("key").agg(F.first("text").alias("text"), F.min("node").alias("node"), F.max("node").alias("other")).where("node = other").select("key", "text")
     windows = staged(window_rows(one_each.join(wanted.hint("merge"), "key")), "windows")
-    first = windows.groupBy("id").agg(F.min("key").alias("kept_key"), F.max("key").alias("high"), F.count(F.lit(1)).alias("n")).where("kept_key <> high")
-    later = join_on_hot_key(windows, staged(first.select("id", "kept_key", "n"), "first-windows"), "id", "n", windows.count()).where("key <> kept_key")
-    runs = later.groupBy("key", "kept_key").agg(F.sort_array(F.collect_list(F.struct("at", "begin", "end"))).alias("windows"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [(key, b, e, kept_key) for key, kept_key, windows in zip(*(c.to_pylist() for c in batch.columns)) for b, e in merged(windows)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out) if out else ((), (), (), ()))], names=["key", "begin", "end", "kept_key"])
-
-    return runs.mapInArrow(run, "key long, begin long, end long, kept_key long")
+    first = windows.groupBy("chain", "window").agg(F.min("key").alias("kept_key"), F.max("key").alias("high"), F.count(F.lit(1)).alias("n")).where("kept_key <> high").drop("high")
+    later = join_on_hot_key(windows, staged(first, "first-windows"), ["chain", "window"], "n", windows.count()).where("key <> kept_key")
+    return merged(later)
 
 
 def removals(docs: DataFrame, least: int = LEAST) -> DataFrame:

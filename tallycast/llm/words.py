@@ -92,13 +92,23 @@ class Words:
         return np.diff(self.first)
 
 
+def _edges(cp: np.ndarray) -> np.ndarray:
+    """1 where a word starts, -1 where one has ended."""
+    inside = np.zeros(len(cp) + 2, np.int8)
+    inside[1:-1] = word_table()[cp]
+    return np.diff(inside)
+
+
+def word_starts(texts: list[str]) -> np.ndarray:
+    """Positions in the texts, joined by SEP, where their words start; lower-casing makes or breaks no word."""
+    return np.flatnonzero(_edges(code_points(SEP.join(texts))) == 1)
+
+
 def words_of(texts: list[str]) -> Words:
     """Words of texts that together fit one array step."""
     cp = code_points(SEP.join(map(fold, texts)))
     n = len(cp)
-    inside = np.zeros(n + 2, np.int8)
-    inside[1:-1] = word_table()[cp]
-    edge = np.diff(inside)
+    edge = _edges(cp)
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     size = 1 << max(16, int(n + 1).bit_length())
     up, down = powers(size)

@@ -133,3 +133,41 @@ def test_the_driver_plans_a_few_tables_at_once(spark, rows):
     out.collect()
     final = query.executedPlan().toString().partition("== Initial Plan ==")[0]
     assert "ReusedExchange [row#" in final
+
+
+def test_windows_of_many_texts_are_those_of_each_alone():
+    rnd = random.Random(23)
+    shared = prose(rnd, 70, 2)
+    texts = [f"{prose(rnd, 30)} {shared} {prose(rnd, 9)}", "", "short", f"\u00c4rger {shared}", prose(rnd, 120)]
+    chains = p.chains_of(texts)[1]
+    together = list(zip(*(c.tolist() for c in p.windows_of(texts, chains))))
+    alone = [(i, *w[1:]) for i, t in enumerate(texts) for w in zip(*(c.tolist() for c in p.windows_of([t], chains)))]
+    assert together == alone and len({w[0] for w in together}) == 3
+    for i, _, _, at, begin, end in together:
+        assert texts[i][begin:end].replace(".", "").split() == texts[i].replace(".", "").split()[at : at + p.LEAST]
+
+
+def test_runs_of_windows_go_on_across_batches(spark):
+    places = [*range(0, 60), 110, 111, 400, 449, 499, 549]  # at 50 words or more from the last, a run ends
+    rows = [(key, 1, at, 10 * at, 10 * at + 500) for key in (5, 6) for at in places] + [(5, 2, 3, 30, 530)]
+    random.Random(24).shuffle(rows)
+    runs = [(0, 1090), (1100, 1610), (4000, 4990), (4990, 5490), (5490, 5990)]
+    limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "7")
+    try:
+        windows = spark.createDataFrame(rows, "key long, kept_key long, at long, begin long, end long")
+        got = sorted(tuple(r) for r in p.merged(windows).collect())
+    finally:
+        spark.conf.set(limit, before)
+    assert got == sorted([(key, b, e, 1) for key in (5, 6) for b, e in runs] + [(5, 30, 530, 2)])
+
+
+def test_texts_are_searched_for_paragraphs_and_their_bands_at_once(spark):
+    rnd = random.Random(25)
+    one, other = prose(rnd, 60), prose(rnd, 55)
+    docs = spark.createDataFrame([(1, b"x", f"{one}\nshort\n{other}"), (2, b"y", f"{one}\n")], "doc_id long, node binary, text string").coalesce(1)
+    found = p.paragraph_rows(docs, p.LEAST).orderBy("doc_id", "begin").collect()
+    assert [(r.doc_id, r.begin, r.end) for r in found] == [(1, 0, len(one)), (1, len(one) + 7, len(one) + 7 + len(other)), (2, 0, len(one))]
+    bands = p.tuned_bands(p.THRESHOLD, p.RECALL, p.SLOTS)[0]
+    assert found[0].paragraph == found[2].paragraph and [len(r.bands) for r in found] == [bands, bands, 0]
